@@ -100,25 +100,27 @@ def _phone_rows(spark, folder):
     return customers.unionByName(suppliers)
 
 
+def _emails(spark, folder):
+    return email.with_diagnosis(_email_rows(spark, folder), "cli_email")
+
+
+def _phones(spark, folder):
+    return phone.with_diagnosis(_phone_rows(spark, folder), "telefono")
+
+
 @query
 def email_diagnosis(spark, folder):
-    return _email_rows(spark, folder).select(
-        "fila", "cli_email", email.diagnose(F.col("cli_email")).alias("diagnostico")
-    )
+    return _emails(spark, folder).select("fila", "cli_email", "diagnostico")
 
 
 @query
 def email_summary(spark, folder):
-    return analysis.diagnosis_summary(
-        _email_rows(spark, folder), email.diagnose(F.col("cli_email")), email.VALID, email.BLANK
-    )
+    return analysis.diagnosis_summary(_emails(spark, folder), email.VALID, email.BLANK)
 
 
 @query
 def email_detail(spark, folder):
-    return analysis.diagnosis_detail(
-        _email_rows(spark, folder), email.diagnose(F.col("cli_email")), email.VALID, email.BLANK
-    )
+    return analysis.diagnosis_detail(_emails(spark, folder), email.VALID, email.BLANK)
 
 
 @query
@@ -130,23 +132,17 @@ def phone_hn_diagnosis(spark, folder):
 
 @query
 def phone_diagnosis(spark, folder):
-    return _phone_rows(spark, folder).select(
-        "origen", "fila", phone.diagnose(F.col("telefono")).alias("diagnostico")
-    )
+    return _phones(spark, folder).select("origen", "fila", "diagnostico")
 
 
 @query
 def phone_summary(spark, folder):
-    return analysis.diagnosis_summary(
-        _phone_rows(spark, folder), phone.diagnose(F.col("telefono")), phone.VALID, phone.BLANK
-    )
+    return analysis.diagnosis_summary(_phones(spark, folder), phone.VALID, phone.BLANK)
 
 
 @query
 def phone_detail(spark, folder):
-    return analysis.diagnosis_detail(
-        _phone_rows(spark, folder), phone.diagnose(F.col("telefono")), phone.VALID, phone.BLANK
-    )
+    return analysis.diagnosis_detail(_phones(spark, folder), phone.VALID, phone.BLANK)
 
 
 # ---------------------------------------------------------------- analysis
@@ -619,10 +615,6 @@ def promote_types_notice(spark, folder):
     return promotion.promote_types(clientes(spark, folder))[1]
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-
-
 @query
 def ingest_csv_text(spark, folder):
     """A written table read back as text; its own row number column is kept as ``id``."""
@@ -676,7 +668,10 @@ def _write_lines(spark, lines: DataFrame, preamble: list[str], per_file: int = 1
 def _client_lines(spark, folder) -> DataFrame:
     df = clientes(spark, folder)
     cells = F.struct(F.col("fila").alias("id"), "cli_codigo", "cli_nombre", "cli_direccion")
-    return df.select(F.col("fila").alias("orden"), F.to_csv(cells, {"escape": '"'}).alias("linea"))
+    options = {
+        "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    return df.select(F.col("fila").alias("orden"), F.to_csv(cells, options).alias("linea"))
 
 
 _HEADER = "id,cli_codigo,cli_nombre,cli_direccion"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -42,6 +42,16 @@ def diagnose(c: Column, trimmed: Column | None = None) -> Column:
     )
 
 
+def with_diagnosis(df: DataFrame, column: str, output: str = "diagnostico") -> DataFrame:
+    """Adds the diagnosis of a column; its trimmed text is computed once per row."""
+    c = F.col(f"`{column}`").cast("string")
+    return (
+        df.withColumn("__correo", text.strip(c))
+        .withColumn(output, diagnose(c, F.col("__correo")))
+        .drop("__correo")
+    )
+
+
 def is_invalid(diagnosis: Column) -> Column:
     """A blank cell is not an invalid address."""
     return ~diagnosis.isin(VALID, BLANK)

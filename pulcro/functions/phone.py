@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -144,6 +144,11 @@ def digits(trimmed: Column) -> Column:
     return F.regexp_replace(trimmed, rf"[{U.SPACE_CLASS}\-()+]", "")
 
 
+def international(number: Column) -> Column:
+    """Digits from the calling code on, without the ``00`` dialled instead of the plus sign."""
+    return F.regexp_replace(_ascii_digits(number), "^00([1-9])", "$1")
+
+
 def _hn_length_and_prefix(number: Column) -> Column:
     return (
         F.when(F.length(number) < 8, HN_TOO_SHORT)
@@ -169,42 +174,58 @@ def diagnose_hn(c: Column) -> Column:
     )
 
 
-def _diagnose_international(t: Column, number: Column) -> Column:
-    full = _ascii_digits(number)
-    # "00" dialled instead of the plus sign, or after it.
-    dialled = full.rlike("^00[1-9]")
-    e164 = F.when(dialled, F.substring(full, 3, 1 << 30)).otherwise(full)
-    code = F.regexp_extract(e164, known_code_pattern(), 0)
-    national_length = F.length(e164) - F.length(code)
+def _diagnose_international(t: Column, number: Column, full: Column) -> Column:
+    code = F.regexp_extract(full, known_code_pattern(), 0)
+    national_length = F.length(full) - F.length(code)
     typed_length = F.when(t.startswith("+"), F.length(t)).otherwise(F.length(number) + 1)
     return (
-        F.when(e164.rlike(valid_number_pattern()) & (typed_length <= LONGEST_INPUT), VALID)
-        .when(typed_length > LONGEST_INPUT, TOO_LONG)
-        .when(F.length(full) < 3, NOT_A_NUMBER)
-        .when(dialled & (F.length(e164) <= 2), UNRECOGNISED)
-        .when(code == "", UNKNOWN_COUNTRY)
+        F.when(typed_length > LONGEST_INPUT, TOO_LONG)
+        .when(full.rlike(valid_number_pattern()), VALID)
+        .when(F.length(number) < 3, NOT_A_NUMBER)
+        .when((F.length(full) <= 2) & (F.length(number) > 2), UNRECOGNISED)
+        .when(~full.rlike(known_code_pattern()), UNKNOWN_COUNTRY)
         .when(national_length < 2, TOO_SHORT)
         .when(national_length > LONGEST_NATIONAL, TOO_LONG)
         .otherwise(BAD_FOR_COUNTRY)
     )
 
 
-def diagnose(c: Column, trimmed: Column | None = None, number: Column | None = None) -> Column:
+def diagnose(
+    c: Column,
+    trimmed: Column | None = None,
+    number: Column | None = None,
+    full: Column | None = None,
+) -> Column:
     """Label of one number; up to eight digits without ``+`` are judged as Honduran.
 
-    ``trimmed`` and ``number`` may name already computed ``strip(c)`` and ``digits(strip(c))``.
+    ``trimmed``, ``number`` and ``full`` may name already computed ``strip(c)``,
+    ``digits(trimmed)`` and ``international(number)``.
     """
     t = text.strip(c) if trimmed is None else trimmed
     n = digits(t) if number is None else number
+    f = international(n) if full is None else full
     return (
         F.when(c.isNull() | (t == ""), BLANK)
         .when(~t.rlike(ALLOWED), BAD_FORMAT)
         .when(t.rlike(SEPARATORS + r"\z"), TRAILING_SEPARATOR)
-        .when(t.startswith("+") | (F.length(n) > 8), _diagnose_international(t, n))
+        .when(t.startswith("+") | (F.length(n) > 8), _diagnose_international(t, n, f))
         .otherwise(_hn_length_and_prefix(n))
     )
 
 
+def with_diagnosis(df: DataFrame, column: str, output: str = "diagnostico") -> DataFrame:
+    """Adds the diagnosis of a column; its trimmed text and digits are computed once per row."""
+    c = F.col(f"`{column}`").cast("string")
+    trimmed, number, full = (F.col(f"__telefono_{i}") for i in range(3))
+    return (
+        df.withColumn("__telefono_0", text.strip(c))
+        .withColumn("__telefono_1", digits(trimmed))
+        .withColumn("__telefono_2", international(number))
+        .withColumn(output, diagnose(c, trimmed, number, full))
+        .drop("__telefono_0", "__telefono_1", "__telefono_2")
+    )
+
+
 def is_invalid(diagnosis: Column) -> Column:
     """A blank cell is not an invalid number."""
     return ~diagnosis.isin(VALID, BLANK)

@@ -14,6 +14,9 @@ NULL_TOKENS = (
 )
 
 
+NOT_ASCII = r"[^\x{0}-\x{7f}]"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (Unicode white space, not only U+0020)."""
     return F.trim(c, F.lit(U.spaces()))
@@ -29,12 +32,21 @@ def null_tokens_to_null(c: Column) -> Column:
 
 
 def _expand(c: Column) -> Column:
-    """Characters that fold to several ones, e.g. ligatures and fractions."""
-    pairs = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in U.foldings()[2].items()]
-    )
+    """Characters that fold to several ones, e.g. ligatures and fractions.
+
+    Only texts that hold such a character go through the table, one literal whose entries are the
+    character followed by what it stands for.
+    """
+    many = U.foldings()[2]
+    entries = "\x02".join(a + b for a, b in many.items())
+
+    def step(done: Column, entry: Column) -> Column:
+        return F.replace(done, F.substring(entry, 1, 1), F.substring(entry, 2, 100))
+
+    without = F.translate(c, "".join(many), "")
     return F.when(
-        c.rlike(U.expanding()), F.aggregate(pairs, c, lambda acc, p: F.replace(acc, p["a"], p["b"]))
+        c.rlike(NOT_ASCII) & (F.octet_length(without) < F.octet_length(c)),
+        F.aggregate(F.split(F.lit(entries), "\x02"), c, step),
     ).otherwise(c)
 
 
@@ -62,15 +74,8 @@ def _hangul(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    """Compatibility decomposition without combining marks (``José`` -> ``Jose``, ``ﬁ`` -> ``fi``).
-
-    Plain ASCII texts, the bulk of most columns, are passed through untouched.
-    """
-    one_from, one_to, _ = U.foldings()
-    folded = F.regexp_replace(
-        F.translate(_hangul(_expand(c)), one_from, one_to), U.combining() + "+", ""
-    )
-    return F.when(c.rlike(r"[^\x{0}-\x{7f}]"), folded).otherwise(c)
+    """Compatibility decomposition without combining marks (``José`` -> ``Jose``, ``ﬁ`` -> ``fi``)."""
+    return F.translate(_hangul(_expand(c)), *U.fold_translation())
 
 
 def fold_text(c: Column) -> Column:
@@ -80,8 +85,8 @@ def fold_text(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Without accents and ASCII punctuation, white space collapsed; blank text becomes ``''``."""
-    bare = F.regexp_replace(fold_accents(c), r"\p{Punct}+", "")
-    return strip(F.regexp_replace(bare, U.SPACE + "+", " "))
+    bare = F.translate(_hangul(_expand(c)), *U.clean_translation())
+    return F.trim(F.regexp_replace(bare, "  +", " "))
 
 
 def replace_exact(c: Column, find: str, new: str) -> Column:

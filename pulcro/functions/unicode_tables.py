@@ -55,12 +55,6 @@ def spaces() -> str:
     return "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
-@lru_cache(maxsize=None)
-def combining() -> str:
-    """Class of the marks that accent folding drops."""
-    return f"[{_class_body(lambda c: unicodedata.combining(c) != 0)}]"
-
-
 @lru_cache(maxsize=None)
 def numeric() -> str:
     """Class of ``str.isnumeric``: every number category plus ideographs with a numeric value."""
@@ -105,8 +99,34 @@ def foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), many
 
 
+def _translation(pairs: dict[str, str]) -> tuple[str, str]:
+    """Arguments of ``translate``: characters without a counterpart come last and are dropped."""
+    kept = {a: b for a, b in pairs.items() if b}
+    dropped = [a for a, b in pairs.items() if not b]
+    return "".join([*kept, *dropped]), "".join(kept.values())
+
+
+@lru_cache(maxsize=None)
+def fold_translation() -> tuple[str, str]:
+    """One-to-one foldings, combining marks dropped."""
+    single_from, single_to, _ = foldings()
+    marks = {c: "" for c in _assigned() if unicodedata.combining(c)}
+    return _translation({**dict(zip(single_from, single_to)), **marks})
+
+
 @lru_cache(maxsize=None)
-def expanding() -> str:
-    """Class of the characters that fold to several characters."""
-    many = foldings()[2]
-    return f"[{_class_body(lambda c: c in many)}]"
+def clean_translation() -> tuple[str, str]:
+    """Foldings, with punctuation dropped and every white space a blank."""
+    single_from, single_to = fold_translation()
+    bare = dict(zip(single_from, single_to))
+    bare.update(dict.fromkeys(single_from[len(single_to):], ""))
+    bare.update({c: c for c in PUNCTUATION + spaces() if c not in bare})
+    result = {}
+    for char, folded in bare.items():
+        if folded in PUNCTUATION:
+            folded = ""
+        elif folded.isspace():
+            folded = " "
+        if folded != char:
+            result[char] = folded
+    return _translation(result)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import TEXT, apply_rules, check_parameter, get_rule
-from .columns import as_text, column
+from .columns import as_text, column, compute_once
 
 # Category of a row that breaks no rule, and the two shares of the overall result. Fixed values.
 CORRECT = "Correcto"
@@ -110,11 +110,13 @@ class Analysis:
     def detail(self, name: str, only_errors: bool = True) -> DataFrame:
         """Rows of one analysed column: sheet row first, its category last."""
         checked = next(c for c in self.columns if c.name == name)
-        kept = self.rows.filter(F.col(checked.category) != CORRECT) if only_errors else self.rows
-        return kept.select(
+        rows = compute_once(self.rows, {"categoria_error": F.col(checked.category)})
+        if only_errors:
+            rows = rows.filter(F.col("categoria_error") != CORRECT)
+        return rows.select(
             (F.col("fila") + 2).alias("fila_excel"),
             *[column(self.source, n) for n in self.source.columns],
-            F.col(checked.category).alias("categoria_error"),
+            "categoria_error",
         )
 
     def errors(self) -> DataFrame:
@@ -220,27 +222,33 @@ class Analysis:
         )
 
 
-def diagnosis_summary(df: DataFrame, diagnosis: Column, valid: str, blank: str) -> DataFrame:
+def diagnosis_summary(
+    df: DataFrame, valid: str, blank: str, diagnosis: str = "diagnostico"
+) -> DataFrame:
     """total, validos, vacios, invalidos, porcentaje_validos of a diagnosis column."""
+    label = column(df, diagnosis)
     return (
         df.agg(
             F.count(F.lit(1)).alias("total"),
-            F.count_if(diagnosis == valid).alias("validos"),
-            F.count_if(diagnosis == blank).alias("vacios"),
+            F.count_if(label == valid).alias("validos"),
+            F.count_if(label == blank).alias("vacios"),
         )
         .withColumn("invalidos", F.col("total") - F.col("validos") - F.col("vacios"))
         .withColumn("porcentaje_validos", percentage(F.col("validos"), F.col("total")))
     )
 
 
-def diagnosis_detail(df: DataFrame, diagnosis: Column, valid: str, blank: str) -> DataFrame:
+def diagnosis_detail(
+    df: DataFrame, valid: str, blank: str, diagnosis: str = "diagnostico"
+) -> DataFrame:
     """Rows that are neither valid nor blank: sheet row first, diagnosis last."""
+    label = "__etiqueta"
     return (
-        df.withColumn("diagnostico", diagnosis)
-        .filter(~F.col("diagnostico").isin(valid, blank))
+        compute_once(df, {label: column(df, diagnosis)})
+        .filter(~F.col(label).isin(valid, blank))
         .select(
             (F.col("fila") + 2).alias("fila_excel"),
-            *[column(df, name) for name in df.columns],
-            "diagnostico",
+            *[column(df, name) for name in df.columns if name != diagnosis],
+            F.col(label).alias(diagnosis),
         )
     )

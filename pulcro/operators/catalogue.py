@@ -30,7 +30,7 @@ def only_digits_pattern() -> str:
 
 @dataclass(frozen=True)
 class Cell:
-    """Expressions a rule may use; ``trimmed`` and ``digits`` are computed once per row.
+    """Expressions a rule may use; those from ``trimmed`` on are computed once per row.
 
     ``text`` is ``raw`` unless nulls are to be read as a text.
     """
@@ -40,6 +40,7 @@ class Cell:
     text: Column
     trimmed: Column
     digits: Column
+    international: Column
     repeated: Column
 
     @property
@@ -104,7 +105,7 @@ for _rule in (
     ),
     Rule(
         "Teléfono",
-        lambda cell, _: phone.is_invalid(phone.diagnose(cell.raw, cell.trimmed, cell.digits)),
+        lambda cell, _: phone.is_invalid(phone.diagnose(cell.raw, cell.trimmed, cell.digits, cell.international)),
         description="Marca teléfonos con formato inválido (HN o internacional)",
         uses_digits=True,
     ),
@@ -165,13 +166,15 @@ def apply_rules(
     df = flag_duplicates(df, flags)
     raw = {name: as_text(df, name) for name in cells}
     df = df.withColumns({f"__recorte_{i}": text.strip(raw[n]) for n, i in position.items()})
-    digits = {
-        f"__digitos_{position[name]}": phone.digits(F.col(f"__recorte_{position[name]}"))
+    phones = [
+        position[name]
         for name, assigned in rules.items()
         if any(rule.uses_digits for rule in assigned)
-    }
-    if digits:
-        df = df.withColumns(digits)
+    ]
+    if phones:
+        digits = {f"__digitos_{i}": phone.digits(F.col(f"__recorte_{i}")) for i in phones}
+        full = {f"__completo_{i}": phone.international(F.col(f"__digitos_{i}")) for i in phones}
+        df = df.withColumns(digits).withColumns(full)
     computed = []
     for name, assigned in cells.items():
         i = position[name]
@@ -181,6 +184,7 @@ def apply_rules(
             text=raw[name] if null_as_text is None else F.coalesce(raw[name], F.lit(null_as_text)),
             trimmed=F.col(f"__recorte_{i}"),
             digits=F.col(f"__digitos_{i}"),
+            international=F.col(f"__completo_{i}"),
             repeated=F.col(flags[name]) if name in flags else F.lit(False),
         )
         for rule_name, parameter in assigned:

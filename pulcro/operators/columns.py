@@ -65,6 +65,15 @@ def match_key(value: Column) -> Column:
     )
 
 
+def compute_once(df: DataFrame, computed: dict[str, Column]) -> DataFrame:
+    """Adds computed columns that later filters read instead of computing them again.
+
+    The optimizer moves a filter below a projection together with the expressions it refers to,
+    which runs costly rules twice per row; it does not move one below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
+
+
 def check_all(df: DataFrame, names: Iterable[str]) -> list[str]:
     names = list(names)
     for name in names:
