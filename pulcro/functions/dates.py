@@ -43,7 +43,7 @@ MONTHS = (
 
 _MARK = "\x01"
 _NAME = "|".join(sorted({m[:3] for m in MONTHS} | set(MONTHS) | {"sept"}, key=len, reverse=True))
-_WEEKDAY = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?,? +)?"
+_WEEKDAY = "(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?,? +"
 _TIME = (
     r"(?:[t ] *[0-2]?\d:[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?: *[ap]m)?"
     r"(?: *(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?)?"
@@ -52,37 +52,41 @@ _SEP = r" *[/.\- ] *"
 _TH = "(?:st|nd|rd|th)?"
 
 
-def _shapes(preset: str) -> list[tuple[str, str]]:
-    """(shape, rewrite) pairs; a rewrite lists year, month, day and whether the last two may swap."""
+def _shapes(preset: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(shape, rewrite) pairs of values that start with a digit, and with a month name.
+
+    A rewrite lists year, month, day and whether the last two may swap.
+    """
     year_first = "$1,$3,$2,1" if preset == DAYFIRST_COMPAT else "$1,$2,$3,1"
-    full = [
-        (rf"(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}})", "$3,$2,$1,1"),
-        (rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})", year_first),
-        (r"(\d{4})(\d{2})(\d{2})", "$1,$2,$3,0"),
-        (rf"(\d{{1,2}}){_TH}[ \-./,]*({_NAME})\.?[ \-./,]*(\d{{4}}|\d{{2}})", "$3,$2,$1,0"),
-        (rf"({_NAME})\.?[ \-./]*(\d{{1,2}}){_TH}(?:, *| +)(\d{{4}})", "$3,$1,$2,0"),
-    ]
-    short = [
+    digit_first = [
+        (rf"(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}}){_TIME}", "$3,$2,$1,1"),
+        (rf"(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}}){_TIME}", year_first),
+        (rf"(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}", "$1,$2,$3,0"),
+        (
+            rf"(\d{{1,2}}){_TH}[ \-./,]*({_NAME})\.?[ \-./,]*(\d{{4}}|\d{{2}}){_TIME}",
+            "$3,$2,$1,0",
+        ),
         (r"(\d{4})[/.\-](\d{1,2})", "$1,$2,1,0"),
         (r"(\d{1,2})[/.\-](\d{4})", "$2,$1,1,0"),
-        (rf"({_NAME})\.?[ \-./,]*(\d{{4}})", "$2,$1,1,0"),
     ]
     if preset == DAYFIRST_COMPAT:
-        short.append((r"(\d{4})", "$1,1,1,0"))
-        short += [(rf"(\d{{4}})-?q{q}", f"$1,{3 * q - 2},1,0") for q in (1, 2, 3, 4)]
-    return [(rf"(?i)^{_WEEKDAY}{body}{_TIME}\z", new) for body, new in full] + [
-        (rf"(?i)^{body}\z", new) for body, new in short
+        digit_first.append((r"(\d{4})", "$1,1,1,0"))
+        digit_first += [(rf"(\d{{4}})-?q{n}", f"$1,{3 * n - 2},1,0") for n in (1, 2, 3, 4)]
+    name_first = [
+        (rf"({_NAME})\.?[ \-./]*(\d{{1,2}}){_TH}(?:, *| +)(\d{{4}}){_TIME}", "$3,$1,$2,0"),
+        (rf"({_NAME})\.?[ \-./,]*(\d{{4}})", "$2,$1,1,0"),
     ]
+    return digit_first, name_first
 
 
-def parts(c: Column, preset: str = DEFAULT) -> Column:
-    """Mark, year, month, day and swap flag as texts; a single element when no shape fits."""
-    if preset not in (DEFAULT, DAYFIRST_COMPAT):
-        raise ValueError(f"unknown date preset: {preset}")
-    rewritten = text.strip(c)
-    for shape, new in _shapes(preset):
-        rewritten = F.regexp_replace(rewritten, shape, _MARK + new.replace(",", _MARK))
-    return F.split(F.when(~c.contains(_MARK), rewritten), _MARK)
+def _rewrite(t: Column, shapes: list[tuple[str, str]]) -> Column:
+    """Mark-separated parts by the first shape that fits; null when none does."""
+    chain = None
+    for body, new in shapes:
+        shape = rf"(?i)^{body}\z"
+        parts = F.regexp_replace(t, shape, new.replace(",", _MARK))
+        chain = (F if chain is None else chain).when(t.rlike(shape), parts)
+    return chain
 
 
 def _is_date(year: Column, month: Column, day: Column) -> Column:
@@ -99,47 +103,63 @@ def _is_date(year: Column, month: Column, day: Column) -> Column:
     )
 
 
-def format_parts(found: Column, target: str = DEFAULT_TARGET) -> Column:
-    """The date in the target format; null when ``found`` (see ``parts``) is not a real date."""
-    order, separator = TARGETS.get(target, TARGETS[DEFAULT_TARGET])
-    digits = F.get(found, 1)
+def _year(digits: Column) -> Column:
     number = digits.try_cast("int")
-    year = F.when(
-        F.length(digits) == 2, F.pmod(number - CENTURY_START % 100, F.lit(100)) + CENTURY_START
-    ).otherwise(number)
-    token = F.get(found, 2)
-    names = F.lit("".join(m[:3] for m in MONTHS))
-    named = (F.instr(names, F.lower(F.substring(token, 1, 3))) + 2) / 3
-    month = F.when(token.rlike(r"^\d"), token.try_cast("int")).otherwise(named.cast("int"))
-    day = F.get(found, 3).try_cast("int")
+    short = F.pmod(number - CENTURY_START % 100, F.lit(100)) + CENTURY_START
+    return F.when(F.length(digits) == 2, short).otherwise(number)
 
-    def formatted(month: Column, day: Column) -> Column:
-        pieces = {
-            "y": F.lpad(year.cast("string"), 4, "0"),
-            "m": F.lpad(month.cast("string"), 2, "0"),
-            "d": F.lpad(day.cast("string"), 2, "0"),
-        }
-        return F.concat_ws(separator, *[pieces[part] for part in order])
 
-    return F.when(
-        F.size(found) == 5,
-        F.when(_is_date(year, month, day), formatted(month, day)).when(
-            (F.get(found, 4) == "1") & _is_date(year, day, month), formatted(day, month)
-        ),
-    )
+def _month(token: Column) -> Column:
+    names = F.lit("".join(m[:3] for m in MONTHS))
+    named = ((F.instr(names, F.lower(F.substring(token, 1, 3))) + 2) / 3).cast("int")
+    return F.when(token.rlike(r"^\d"), token.try_cast("int")).otherwise(named)
 
 
 def standardise(
     df: DataFrame, columns: Iterable[str], target: str = DEFAULT_TARGET, preset: str = DEFAULT
 ) -> DataFrame:
-    """Rewrites the dates of the columns; values that are not dates stay as they are."""
+    """Rewrites the dates of the columns; values that are not dates stay as they are.
+
+    Every step is a projection of its own, so nothing is computed twice per value.
+    """
+    if preset not in (DEFAULT, DAYFIRST_COMPAT):
+        raise ValueError(f"unknown date preset: {preset}")
     columns = list(columns)
-    helpers = {name: f"__fecha_{i}" for i, name in enumerate(columns)}
-    as_text = {name: F.col(f"`{name}`").cast("string") for name in columns}
-    return (
-        df.withColumns({helpers[n]: parts(as_text[n], preset) for n in columns})
-        .withColumns(
-            {n: F.coalesce(format_parts(F.col(helpers[n]), target), as_text[n]) for n in columns}
+    if not columns:
+        return df
+    digit_first, name_first = _shapes(preset)
+    order, separator = TARGETS.get(target, TARGETS[DEFAULT_TARGET])
+    steps: list[dict[str, Column]] = [{} for _ in range(5)]
+    helpers: list[str] = []
+    for i, name in enumerate(columns):
+        value = F.col(f"`{name}`").cast("string")
+        names = [f"__fecha_{part}_{i}" for part in ("texto", "partes", "a", "m", "d", "n")]
+        helpers += names
+        t, found, year, month, day, number = map(F.col, names)
+        bare = text.strip(value)
+        steps[0][names[0]] = F.when(
+            bare.rlike("^[A-Za-z]"), F.regexp_replace(bare, _WEEKDAY, "")
+        ).otherwise(bare)
+        steps[1][names[1]] = F.split(
+            F.when(t.rlike(r"^\d"), _rewrite(t, digit_first)).otherwise(_rewrite(t, name_first)),
+            _MARK,
         )
-        .drop(*helpers.values())
-    )
+        steps[2][names[2]] = _year(F.get(found, 0))
+        steps[2][names[3]] = _month(F.get(found, 1))
+        steps[2][names[4]] = F.get(found, 2).try_cast("int")
+        may_swap = F.get(found, 3) == "1"
+        steps[3][names[5]] = (
+            F.when(_is_date(year, month, day), year * 10000 + month * 100 + day)
+            .when(may_swap & _is_date(year, day, month), year * 10000 + day * 100 + month)
+            .cast("string")
+        )
+        pieces = {
+            "y": F.substring(number, 1, 4),
+            "m": F.substring(number, 5, 2),
+            "d": F.substring(number, 7, 2),
+        }
+        formatted = F.concat_ws(separator, *[pieces[part] for part in order])
+        steps[4][name] = F.when(number.isNotNull(), formatted).otherwise(value)
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*helpers)
