@@ -23,7 +23,7 @@ from pulcro.session import scratch_path
 from pulcro.sinks import tables
 from pulcro.sources import delimited, numbering, promotion, workbook
 
-from .views import ASSIGNMENTS, clientes, faltantes, proveedores, table
+from .views import ASSIGNMENTS, clientes, faltantes, proveedores, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,8 +71,9 @@ def rule_duplicates(spark, folder):
 @query
 def rule_duplicates_lineitem(spark, folder):
     """Two columns of the largest table, flagged by one aggregation."""
+    rows_of = ("l_orderkey", "l_linenumber", "l_extendedprice")
     flagged = flag_duplicates(
-        table(spark, folder, "lineitem"), {"l_orderkey": "orden", "l_extendedprice": "precio"}
+        spread_table(spark, folder, "lineitem", *rows_of), {"l_orderkey": "orden", "l_extendedprice": "precio"}
     )
     return flagged.select("l_orderkey", "l_linenumber", "l_extendedprice", "orden", "precio")
 
@@ -270,7 +271,7 @@ def quality_metrics(spark, folder):
 
 @query
 def quality_metrics_documents(spark, folder):
-    return metrics.quality_metrics(table(spark, folder, "documents"), "text")
+    return metrics.quality_metrics(spread_table(spark, folder, "documents", "text"), "text")
 
 
 @query
@@ -280,7 +281,7 @@ def quality_metrics_all(spark, folder):
 
 @query
 def quality_metrics_all_documents(spark, folder):
-    return metrics.quality_metrics_all(table(spark, folder, "documents"))
+    return metrics.quality_metrics_all(spread_table(spark, folder, "documents"))
 
 
 @query
@@ -312,12 +313,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def profile_columns(spark, folder):
-    return _rounded(profile.columns_profile(table(spark, folder, "orders")))
+    return _rounded(profile.columns_profile(spread_table(spark, folder, "orders")))
 
 
 @query
 def profile_columns_lineitem(spark, folder):
-    return _rounded(profile.columns_profile(table(spark, folder, "lineitem")))
+    return _rounded(profile.columns_profile(spread_table(spark, folder, "lineitem")))
 
 
 @query
@@ -331,7 +332,7 @@ def report_columns(spark, folder):
 
 def _documents_text(name: str, function) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, "documents").select(
+        return spread_table(spark, folder, "documents", "doc_id", "text").select(
             "doc_id", function(F.col("text")).alias("texto")
         )
 
@@ -426,7 +427,7 @@ def dates_all_columns(spark, folder):
 @query
 def dates_formats(spark, folder):
     """Order dates as text, rewritten to every target format."""
-    df = table(spark, folder, "orders").select(
+    df = spread_table(spark, folder, "orders", "o_orderkey", "o_orderdate").select(
         "o_orderkey",
         *[F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias(f"f{i}")
           for i in range(len(dates.TARGETS))],

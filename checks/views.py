@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulcro.session import spread_small
+
 CLIENTES = """
 SELECT c_custkey AS fila,
   CASE WHEN c_custkey % 97 = 5 THEN NULL
@@ -99,6 +101,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The table for work that is costly per row, see ``spread_small``."""
+    df = table(spark, folder, name)
+    return spread_small(df.select(*columns) if columns else df)
+
+
 def clientes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(CLIENTES, customer=table(spark, folder, "customer"))
 

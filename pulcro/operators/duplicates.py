@@ -7,13 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, materialise, spread
+from ..session import BROADCAST_BYTES, materialise, spread
 from .columns import as_text, match_key
 
 #: Most frequent values that never take part in a shuffle join. What is left out of these holds at
 #: most 1/1001 of the rows per value, however the data is skewed.
 HOT_VALUES = 1_000
 
+#: Bytes a broadcast key takes besides its text.
+ROW_OVERHEAD = 48
+
 
 def repeated_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(columna, clave, n) of every value that occurs more than once, stored reliably.
@@ -58,18 +61,20 @@ def _shuffle_flag(df: DataFrame, key: str, flag: str, repeated: DataFrame) -> Da
 
 
 def flag_duplicates(
-    df: DataFrame, outputs: Mapping[str, str], broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame, outputs: Mapping[str, str], broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Adds a boolean column per entry of ``outputs`` (column -> flag name): value repeated?
 
-    Every member of a repeated group is flagged. The number of repeated values decides how they
-    travel: none, by broadcast up to ``broadcast_rows`` of bounded width, by shuffle beyond.
+    Every member of a repeated group is flagged. The measured size of the repeated values decides
+    how they travel: none at all, by broadcast up to ``broadcast_bytes``, by shuffle beyond.
     """
     if not outputs:
         return df
     repeated = repeated_values(df, list(outputs))
-    sizes = {row["columna"]: row["valores"] for row in
-             repeated.groupBy("columna").agg(F.count(F.lit(1)).alias("valores")).collect()}
+    measured = repeated.groupBy("columna").agg(
+        F.sum(F.octet_length("clave") + ROW_OVERHEAD).alias("bytes")
+    )
+    sizes = {row["columna"]: row["bytes"] for row in measured.collect()}  # one row per column
     for position, (name, flag) in enumerate(outputs.items()):
         size = sizes.get(name, 0)
         if size == 0:
@@ -78,7 +83,7 @@ def flag_duplicates(
         key = f"__clave_{position}"
         mine = repeated.filter(F.col("columna") == name).select("clave", "n")
         df = df.withColumn(key, match_key(as_text(df, name)))
-        if size <= broadcast_rows:
+        if size <= broadcast_bytes:
             small = mine.select(F.col("clave").alias("__valor"))
             df = (
                 df.join(F.broadcast(small), F.col(key) == F.col("__valor"), "left")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .catalogue import HAS_DIGIT, HAS_LETTER, ONLY_LETTERS, SPECIAL, only_digits_pattern
 from .columns import KEY_BYTES, as_text, match_key, scalar_columns
 
-#: Metric -> pattern whose matches it counts.
 def _patterns() -> dict[str, str]:
+    """Metric -> pattern whose matches it counts."""
     return {
         "contiene_numeros": HAS_DIGIT,
         "contiene_letras": HAS_LETTER,
@@ -58,7 +58,9 @@ def _marks(value: Column) -> Column:
 
 
 def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """columna, nulo, largo, marcas, n: one row per distinct value of each column.
+    """columna, valor, nulo, largo, marcas, n: one row per distinct value of each column.
+
+    ``valor`` is the value itself when it is short.
 
     One shuffle for all columns, counts combined before it. Short values travel as they are and
     are tested once per distinct value; long ones are tested at the scan and travel as a digest.
@@ -81,6 +83,7 @@ def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
     return grouped.select(
         "columna",
+        F.col("corto").alias("valor"),
         (F.col("corto").isNull() & F.col("huella").isNull()).alias("nulo"),
         F.coalesce("largo", F.length("corto")).alias("largo"),
         F.coalesce("marcas", F.when(F.col("corto").isNotNull(), _marks(F.col("corto")))).alias(
@@ -90,29 +93,30 @@ def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
-def quality_metrics_all(
-    df: DataFrame, columns: Iterable[str] | None = None, n: int = 10
-) -> DataFrame:
-    """The nine metrics and the length range of every scalar column, from one scan."""
-    columns = list(columns) if columns is not None else scalar_columns(df)
+def summarise(counted: DataFrame, n: int = 10) -> DataFrame:
+    """The nine metrics and the length range of every column of a frequency table."""
     count = F.col("n")
 
     def rows_where(condition: Column) -> Column:
         return F.sum(F.when(condition, count).otherwise(0))
 
-    return (
-        frequencies(df, columns)
-        .groupBy("columna")
-        .agg(
-            rows_where(F.col("nulo")).alias("vacios"),
-            F.sum(count - 1).alias("duplicados"),
-            F.count_if(~F.col("nulo")).alias("unicos"),
-            rows_where(F.col("largo") > n).alias("longitud_mayor"),
-            *[
-                rows_where(F.col("marcas").bitwiseAND(F.lit(1 << bit)) > 0).alias(metric)
-                for bit, metric in enumerate(_patterns())
-            ],
-            F.min("largo").alias("longitud_minima"),
-            F.max("largo").alias("longitud_maxima"),
-        )
+    return counted.groupBy("columna").agg(
+        rows_where(F.col("nulo")).alias("vacios"),
+        F.sum(count - 1).alias("duplicados"),
+        F.count_if(~F.col("nulo")).alias("unicos"),
+        rows_where(F.col("largo") > n).alias("longitud_mayor"),
+        *[
+            rows_where(F.col("marcas").bitwiseAND(F.lit(1 << bit)) > 0).alias(metric)
+            for bit, metric in enumerate(_patterns())
+        ],
+        F.min("largo").alias("longitud_minima"),
+        F.max("largo").alias("longitud_maxima"),
     )
+
+
+def quality_metrics_all(
+    df: DataFrame, columns: Iterable[str] | None = None, n: int = 10
+) -> DataFrame:
+    """The nine metrics and the length range of every scalar column, from one scan."""
+    columns = list(columns) if columns is not None else scalar_columns(df)
+    return summarise(frequencies(df, columns), n)

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .analysis import Analysis
 from .columns import as_text, column, numeric_columns, scalar_columns
-from .metrics import quality_metrics_all
+from .metrics import frequencies
 from .quantiles import exact_quantiles
 
 
@@ -101,26 +102,37 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
 def columns_profile(df: DataFrame) -> DataFrame:
     """Type, empty, distinct, repeated and descriptive statistics of every scalar column.
 
-    Statistics are null for columns that are not numeric. The driver sees one row per column.
+    Distinct counts and quartiles come from one stored frequency table, the other statistics
+    from one aggregation. They are null for columns that are not numeric. The driver sees one row
+    per column.
     """
     spark = df.sparkSession
-    numeric = [n for n in numeric_columns(df) if n in scalar_columns(df)]
-    probabilities = [0.25, 0.5, 0.75]
-    quartiles = exact_quantiles(df, numeric, probabilities)
+    columns = scalar_columns(df)
+    numeric = [n for n in numeric_columns(df) if n in columns]
+    counted = materialise(frequencies(df, columns).select("columna", "valor", "nulo", "n"))
+    own_type = F.lit(None).cast("double")
+    for name in numeric:
+        value = F.col("valor").try_cast(df.schema[name].dataType).cast("double")
+        own_type = F.when(F.col("columna") == name, value).otherwise(own_type)
+    numbers = counted.filter(F.col("columna").isin(*numeric) & ~F.col("nulo")).select(
+        "columna", own_type.alias("valor"), "n"
+    )
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], numbers)
     fixed = spark.createDataFrame(
         [
             (f.name, f.dataType.simpleString(), *quartiles.get(f.name, [None] * 3))
             for f in df.schema.fields
-            if f.name in scalar_columns(df)
+            if f.name in columns
         ],
         "columna string, tipo string, p25 double, p50 double, p75 double",
     )
-    result = fixed.join(
-        F.broadcast(
-            quality_metrics_all(df).select("columna", "vacios", "unicos", "duplicados")
-        ),
-        "columna",
+    count = F.col("n")
+    repeats = counted.groupBy("columna").agg(
+        F.sum(F.when(F.col("nulo"), count).otherwise(0)).alias("vacios"),
+        F.count_if(~F.col("nulo")).alias("unicos"),
+        F.sum(count - 1).alias("duplicados"),
     )
+    result = fixed.join(F.broadcast(repeats), "columna")  # one row per column
     if numeric:
         aggregates = []
         for i, name in enumerate(numeric):

@@ -8,6 +8,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .columns import column
 
 #: Up to this many (estimated) distinct values are ranked by one task per column.
@@ -89,48 +90,61 @@ def _narrow(
     return found
 
 
+def count_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """columna, valor, n: every non-null value of the columns, as double, with its count."""
+    return (
+        df.select(*[column(df, name).cast("double").alias(name) for name in names])
+        .unpivot([], list(names), "columna", "valor")
+        .filter(F.col("valor").isNotNull())
+        .groupBy("columna", "valor")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     names: Sequence[str],
     probabilities: Sequence[float],
+    counted: DataFrame | None = None,
     ranked_values: int = RANKED_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column with linear interpolation; None for a column of nulls."""
-    values = {name: column(df, name).cast("double") for name in names}
-    if not values:
+    """Quantiles per column with linear interpolation; None for a column of nulls.
+
+    ``counted`` may give the counted values (see ``count_values``) if they are stored already.
+    """
+    if not names:
         return {}
-    sizes = df.agg(
-        *[F.count(v).alias(f"n_{i}") for i, v in enumerate(values.values())],
-        *[F.approx_count_distinct(v).alias(f"d_{i}") for i, v in enumerate(values.values())],
-    ).first()
-    count = {name: sizes[f"n_{i}"] for i, name in enumerate(values)}
-    distinct = {name: sizes[f"d_{i}"] for i, name in enumerate(values)}
-    positions = {name: [p * (count[name] - 1) for p in probabilities] for name in values}
+    if counted is None:
+        counted = materialise(count_values(df, names))
+    counted = counted.filter(F.col("columna").isin(*names))
+    sizes = {
+        row["columna"]: row
+        for row in counted.groupBy("columna")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distintos"))
+        .collect()  # one row per column
+    }
+    positions = {n: [p * (sizes[n]["n"] - 1) for p in probabilities] for n in names if n in sizes}
     ranks = {
-        name: sorted({edge for x in positions[name] for edge in (floor(x), ceil(x))})
-        for name in values
-        if count[name]
+        name: sorted({edge for x in some for edge in (floor(x), ceil(x))})
+        for name, some in positions.items()
     }
-    small = [name for name in ranks if distinct[name] <= ranked_values]
+    small = [name for name in ranks if sizes[name]["distintos"] <= ranked_values]
     picked: dict[tuple[str, int], float] = {}
     if small:
-        counted = (
-            df.select(*[values[name].alias(name) for name in small])
-            .unpivot([], small, "columna", "valor")
-            .filter(F.col("valor").isNotNull())
-            .groupBy("columna", "valor")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        picked = _pick(counted, {name: ranks[name] for name in small})
+        chosen = counted.filter(F.col("columna").isin(*small))
+        picked = _pick(chosen, {name: ranks[name] for name in small})
     for name in ranks:
         if name not in small:
-            for rank, v in _narrow(df, values[name], ranks[name], ranked_values).items():
+            value = column(df, name).cast("double")
+            for rank, v in _narrow(df, value, ranks[name], ranked_values).items():
                 picked[(name, rank)] = v
 
-    def at(name: str, x: float) -> float | None:
-        if name not in ranks:
-            return None
+    def at(name: str, x: float) -> float:
         low, high = picked[(name, floor(x))], picked[(name, ceil(x))]
         return low + (high - low) * (x - floor(x))
 
-    return {name: [at(name, x) for x in positions[name]] for name in values}
+    return {
+        name: [at(name, x) for x in positions[name]] if name in ranks
+        else [None] * len(probabilities)
+        for name in names
+    }
