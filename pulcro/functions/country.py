@@ -160,7 +160,7 @@ def with_country_code_from(
         .select(key, F.explode(windows).alias("nombre"))
         .withColumn("sal", F.pmod(F.xxhash64(key), F.lit(16)))
         .join(
-            ranked.withColumn("sal", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long")),
+            ranked.withColumn("sal", F.explode(F.array(*[F.lit(i).cast("long") for i in range(16)]))),
             ["nombre", "sal"],
         )
         .groupBy(key)

@@ -31,9 +31,8 @@ TABLE = (
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(archivo, cuerpo) of the JSON files of a folder, one rule set each."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(path, wholetext=True)  # a rule set is a few lines
         .select(
             F.regexp_replace("_metadata.file_name", r"\.json\z", "").alias("archivo"),
             F.col("value").alias("cuerpo"),
