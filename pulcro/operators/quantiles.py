@@ -13,30 +13,67 @@ from .columns import column
 
 #: Up to this many (estimated) distinct values are ranked by one task per column.
 RANKED_VALUES = 2_000_000
+BUCKETS = 4096
 
 
-def _pick(counted: DataFrame, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], float]:
-    """Values at zero-based ranks from a small table (columna, valor, n) of counted values."""
-    upto = F.sum("n").over(Window.partitionBy("columna").orderBy("valor"))
+def _bucket(limits: Mapping[str, tuple[float, float]]) -> Column:
+    """Equal-width bucket of a value within its column; never decreases as the value grows."""
+    value, bucket = F.col("valor"), F.lit(0)
+    for name, (low, high) in limits.items():
+        span = high - low
+        if 0 < span < float("inf"):
+            place = F.when(F.isnan(value), BUCKETS).otherwise(
+                F.floor((value - low) / span * (BUCKETS - 1))
+            )
+            bucket = F.when(F.col("columna") == name, place).otherwise(bucket)
+    return bucket.cast("int")
+
+
+def _pick(
+    counted: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    limits: Mapping[str, tuple[float, float]],
+) -> dict[tuple[str, int], float]:
+    """Values at zero-based ranks from a table (columna, valor, n) of counted values.
+
+    Buckets are counted first; only the values of buckets that hold a rank are put in order.
+    """
     wanted = F.create_map(
         *[x for name, some in ranks.items()
           for x in (F.lit(name), F.array(*[F.lit(r).cast("long") for r in some]))]
     )
-    hits = (
-        counted.withColumn("hasta", upto)
+    bucketed = counted.withColumn("tramo", _bucket(limits))
+    upto = F.sum("n").over(Window.partitionBy("columna").orderBy("tramo"))
+    hit = (
+        bucketed.groupBy("columna", "tramo")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("hasta", upto)
+        .withColumn("antes", F.col("hasta") - F.col("n"))
+        .withColumn(
+            "rangos",
+            F.filter(
+                wanted[F.col("columna")],
+                lambda r: (r >= F.col("antes")) & (r < F.col("hasta")),
+            ),
+        )
+        .filter(F.size("rangos") > 0)
+        .select("columna", "tramo", "antes", "rangos")
+    )
+    within = F.sum("n").over(Window.partitionBy("columna", "tramo").orderBy("valor"))
+    last = F.col("antes") + F.col("dentro")
+    found = (
+        bucketed.join(F.broadcast(hit), ["columna", "tramo"])  # at most one bucket per rank
+        .withColumn("dentro", within)
         .select(
             "columna",
             "valor",
             F.explode(
-                F.filter(
-                    wanted[F.col("columna")],
-                    lambda r: (r >= F.col("hasta") - F.col("n")) & (r < F.col("hasta")),
-                )
+                F.filter("rangos", lambda r: (r >= last - F.col("n")) & (r < last))
             ).alias("rango"),
         )
         .collect()
     )
-    return {(row["columna"], row["rango"]): row["valor"] for row in hits}
+    return {(row["columna"], row["rango"]): row["valor"] for row in found}
 
 
 def _narrow(
@@ -60,13 +97,19 @@ def _narrow(
             F.count_if(below).alias("antes"),
             F.count_if(inside).alias("dentro"),
             F.approx_count_distinct(F.when(inside, value)).alias("valores"),
+            F.min(F.when(inside, value)).alias("minimo"),
+            F.max(F.when(inside, value)).alias("maximo"),
         ).first()
         if size["valores"] <= ranked_values:
             counted = part.groupBy(F.lit("").alias("columna"), "valor").agg(
                 F.count(F.lit(1)).alias("n")
             )
             same = [r for r, span in open_ranks.items() if span == (low, high)]
-            picked = _pick(counted, {"": [r - size["antes"] for r in same]})
+            picked = _pick(
+                counted,
+                {"": [r - size["antes"] for r in same]},
+                {"": (size["minimo"], size["maximo"])},
+            )
             for r in same:
                 found[r] = picked[("", r - size["antes"])]
                 del open_ranks[r]
@@ -120,7 +163,12 @@ def exact_quantiles(
     sizes = {
         row["columna"]: row
         for row in counted.groupBy("columna")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distintos"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("distintos"),
+            F.min("valor").alias("minimo"),
+            F.max("valor").alias("maximo"),
+        )
         .collect()  # one row per column
     }
     positions = {n: [p * (sizes[n]["n"] - 1) for p in probabilities] for n in names if n in sizes}
@@ -132,7 +180,8 @@ def exact_quantiles(
     picked: dict[tuple[str, int], float] = {}
     if small:
         chosen = counted.filter(F.col("columna").isin(*small))
-        picked = _pick(chosen, {name: ranks[name] for name in small})
+        limits = {name: (sizes[name]["minimo"], sizes[name]["maximo"]) for name in small}
+        picked = _pick(chosen, {name: ranks[name] for name in small}, limits)
     for name in ranks:
         if name not in small:
             value = column(df, name).cast("double")

@@ -58,9 +58,14 @@ def error_report(analysis: Analysis) -> DataFrame:
 
 
 def write_error_report(analysis: Analysis, path: str, max_rows_per_file: int = 5_000_000) -> None:
-    """One folder per analysed column, written by all tasks in parallel."""
+    """One folder per analysed column.
+
+    Rows are rebalanced by section first: files get a sensible size whatever the number of tasks,
+    and a section that holds most of the errors is split over several of them.
+    """
     (
         error_report(analysis)
+        .hint("rebalance", F.col("hoja"))
         .write.mode("errorifexists")
         .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy("hoja")

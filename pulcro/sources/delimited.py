@@ -44,10 +44,10 @@ def _field_count(record: Column, separator: str) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some line leaves a quote open, so that a record may go on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def _leaves_quote_open(line: Column) -> Column:
+    """Whether a record may go on in the next line."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return quotes % 2 == 1
 
 
 def _tidy(rows: DataFrame, names: Sequence[str], null_tokens: bool) -> DataFrame:
@@ -94,37 +94,44 @@ def read_delimited(
     """Reads one or many files with the same layout.
 
     ``skip_rows`` are line numbers of the file, from zero; blank lines are skipped, and
-    ``header_row`` counts what remains. Files are split by line and read in parallel; only when
-    records hold line breaks (looked up in one pass unless told by ``quoted_newlines``) is each
-    file read by one task.
+    ``header_row`` counts what remains. Files are split by line and read in parallel. Only when
+    records hold line breaks (noticed in the pass that counts lines, or told by
+    ``quoted_newlines``) is each file read by one task.
     """
-    if quoted_newlines is None:
-        quoted_newlines = has_quoted_newlines(spark, path)
-    if quoted_newlines:
-        if header_row or skip_rows:
-            raise ValueError("line breaks inside quotes need the header in the first row")
-        return _read_records(spark, path, separator, null_tokens)
-
     lines = spark.read.text(path).select(
         F.col("value").alias("registro"),
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
     )
-    filled = F.col("registro").rlike(U.NOT_SPACE)
-    if skip_rows:
-        lines = number_lines(lines, F.lit(True), "__linea")
-        filled = filled & ~F.col("__linea").isin(*skip_rows)
-    numbered = number_lines(lines, filled, "pos").select("archivo", "pos", "registro")
-    first = numbered.filter(F.col("pos") == header_row).orderBy("archivo").limit(1).collect()
+    keep = F.col("registro").rlike(U.NOT_SPACE)
+    numbered = None
+    if quoted_newlines is not True:
+        unbalanced = _leaves_quote_open(F.col("registro"))
+        if skip_rows:
+            lines = number_lines(lines, F.lit(True), "__linea", F.lit(False)).lines
+            keep = keep & ~F.col("__linea").isin(*skip_rows)
+        numbered = number_lines(lines, keep, "pos", unbalanced)
+        if quoted_newlines is None:
+            quoted_newlines = not numbered.files.filter("abiertas > 0").isEmpty()
+    if quoted_newlines:
+        if header_row or skip_rows:
+            raise ValueError("line breaks inside quotes need the header in the first row")
+        return _read_records(spark, path, separator, null_tokens)
+
+    kept = numbered.lines.select("archivo", "pos", "registro")
+    first = kept.filter(F.col("pos") == header_row).orderBy("archivo").limit(1).collect()
     if not first:
         raise ValueError(f"no header in row {header_row}")
-    header = next(csv.reader([first[0]["registro"].removeprefix("﻿")], delimiter=separator))
+    header = next(csv.reader([first[0]["registro"].removeprefix("\ufeff")], delimiter=separator))
     names = column_names(header)
-    data = numbered.filter(F.col("pos") > header_row).withColumn(
+    data = kept.filter(F.col("pos") > header_row).withColumn(
         "pos", F.col("pos") - header_row - 1
     )
+    counts = numbered.files.select(
+        "archivo", F.greatest(F.col("n") - header_row - 1, F.lit(0)).alias("n")
+    )
     return _split_records(
-        number_across_files(data, "archivo", "pos", "fila"), names, separator, null_tokens
+        number_across_files(data, "archivo", "pos", counts, "fila"), names, separator, null_tokens
     )
 
 

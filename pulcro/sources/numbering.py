@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,32 +67,66 @@ def read_parquet_numbered(spark: SparkSession, path: str, output: str = "fila")
     )
 
 
-def number_lines(lines: DataFrame, keep: Column, output: str) -> DataFrame:
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes how files are cut into splits, which otherwise follows the cores at hand."""
+    setting = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+
+
+@dataclass(frozen=True)
+class NumberedLines:
+    """``lines`` with their number, and (archivo, n, abiertas) per file: lines kept, and how many
+    of them satisfy the test asked for."""
+
+    lines: DataFrame
+    files: DataFrame
+
+
+def number_lines(lines: DataFrame, keep: Column, output: str, test: Column) -> NumberedLines:
     """Numbers the kept lines of each file, from zero.
 
     ``lines`` has archivo and bloque (file and first byte of the split a line was read from). A
     split is read in order by one task, so its lines are numbered from the id of its first one
-    plus the lines of the splits before.
+    plus the lines of the splits before. One pass counts, the pass that uses the lines numbers.
+
+    Both passes must cut the files alike, also when executors come or go between them, so the
+    number of splits aimed at is pinned. Should the cut differ all the same (settings changed in
+    between), ids of a split are shifted and leave the counted range: that is an error, never a
+    wrong number or a lost line.
     """
+    pin_splits(lines.sparkSession)
     marked = lines.filter(keep).withColumn("__id", F.monotonically_increasing_id())
     splits = marked.groupBy("archivo", "bloque").agg(
-        F.min("__id").alias("__primera"), F.count(F.lit(1)).alias("n")
+        F.min("__id").alias("__primera"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(test).alias("abiertas"),
     )
     before = Window.partitionBy("archivo").orderBy("bloque")
-    starts = materialise(
-        splits.withColumn(
-            "__antes", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        ).drop("n")
+    upto = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    starts = materialise(splits.withColumn("__antes", upto - F.col("n")))
+    side = starts.select("archivo", "bloque", "__primera", "__antes", F.col("n").alias("__n"))
+    side = F.broadcast(side) if is_small(starts) else side
+    offset = F.col("__id") - F.col("__primera")
+    position = F.when(
+        (offset >= 0) & (offset < F.col("__n")), offset + F.col("__antes")
+    ).otherwise(F.raise_error(F.lit("files were split differently while numbering lines")))
+    numbered = marked.join(side, ["archivo", "bloque"], "left").select(
+        *lines.columns, position.cast("long").alias(output)
     )
-    side = F.broadcast(starts) if is_small(starts) else starts
-    return marked.join(side, ["archivo", "bloque"]).select(
-        *lines.columns, (F.col("__id") - F.col("__primera") + F.col("__antes")).alias(output)
+    files = starts.groupBy("archivo").agg(
+        F.sum("n").alias("n"), F.sum("abiertas").alias("abiertas")
     )
+    return NumberedLines(numbered, files)
 
 
-def number_across_files(rows: DataFrame, file: str, position: str, output: str) -> DataFrame:
-    """Position over all files, in the order of their paths, from the position inside a file."""
-    counts = rows.groupBy(file).agg((F.max(position) + 1).alias("n"))
+def number_across_files(
+    rows: DataFrame, file: str, position: str, counts: DataFrame, output: str
+) -> DataFrame:
+    """Position over all files, in the order of their paths, from the position inside a file.
+
+    ``counts`` holds the positions ``n`` of each file.
+    """
     starts = materialise(_running_start(counts, file).select(file, "inicio"))
     side = F.broadcast(starts) if is_small(starts) else starts
     kept = [name for name in rows.columns if name not in (file, position)]

@@ -240,7 +240,8 @@ def sheet_table(
     data = rows.filter(F.col("row_no") > header_row).withColumn(
         "row_no", (F.col("row_no") - header_row - 1).cast("long")
     )
-    numbered = number_across_files(data, "path", "row_no", "fila")
+    counts = data.groupBy("path").agg((F.max("row_no") + 1).alias("n"))
+    numbered = number_across_files(data, "path", "row_no", counts, "fila")
     values = [F.get("cells", F.lit(i)) for i in range(len(names))]
     if null_tokens:
         values = [text.null_tokens_to_null(v) for v in values]

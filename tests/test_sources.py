@@ -85,6 +85,18 @@ def test_csv_rows_are_numbered_over_splits_and_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_lines_cut_differently_are_an_error(spark, tmp_path):
+    write(tmp_path, "a.csv", "f\n" + "x\n" * 20_000)
+    rows = delimited.read_delimited(spark, str(tmp_path)).rows
+    assert rows.count() == 20_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        with pytest.raises(Exception, match="split differently"):
+            rows.select("fila").filter("fila >= 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_round_trip_keeps_spaces_and_quotes(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([('a "b", c', "  x "), ("\\", "y\nz")], "a string, b string")
