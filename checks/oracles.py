@@ -403,7 +403,7 @@ LINE_TYPES = {
     "int": ("l_linenumber",),
     "double": ("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
     "string": ("l_returnflag", "l_linestatus"),
-    "timestamp_ntz": ("l_shipdate",),
+    "timestamp": ("l_shipdate",),
 }
 add(
     "profile_histogram",
@@ -451,6 +451,23 @@ def profile_sql(source: str, kinds: dict[str, tuple[str, ...]]) -> str:
     return " UNION ALL ".join(parts)
 
 
+ORDER_TYPES = {
+    "bigint": ("o_orderkey", "o_custkey"),
+    "double": ("o_totalprice",),
+    "string": ("o_orderstatus", "o_orderpriority"),
+    "timestamp": ("o_orderdate",),
+}
+add("profile_columns", profile_sql("orders", ORDER_TYPES))
+add("profile_columns_lineitem", profile_sql("lineitem", LINE_TYPES))
+add(
+    "profile_types",
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS tipo, {len(cs)}::BIGINT AS columnas, "
+        + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in cs)
+        + " AS celdas_vacias FROM lineitem"
+        for kind, cs in LINE_TYPES.items()
+    ),
+)
 PART_TYPES = {
     "bigint": ("p_partkey",),
     "int": ("p_size",),
@@ -817,27 +834,3 @@ ORACLES["ruleset_delete_outcome"] = (
     f"{NAME_KEY} IN (SELECT clave FROM guardadas) AS eliminado "
     "FROM customer WHERE c_custkey % 6 = 1"
 )
-
-
-def typed_profiles() -> None:
-    """Profiles whose type column depends on how timestamps are read."""
-    orders = {
-        "bigint": ("o_orderkey", "o_custkey"),
-        "double": ("o_totalprice",),
-        "string": ("o_orderstatus", "o_orderpriority"),
-        "timestamp_ntz": ("o_orderdate",),
-    }
-    add("profile_columns", profile_sql("orders", orders))
-    add("profile_columns_lineitem", profile_sql("lineitem", LINE_TYPES))
-    add(
-        "profile_types",
-        " UNION ALL ".join(
-            f"SELECT '{kind}' AS tipo, {len(cs)}::BIGINT AS columnas, "
-            + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in cs)
-            + " AS celdas_vacias FROM lineitem"
-            for kind, cs in LINE_TYPES.items()
-        ),
-    )
-
-
-typed_profiles()

@@ -15,6 +15,7 @@ NULL_TOKENS = (
 
 
 NOT_ASCII = r"[^\x{0}-\x{7f}]"
+HANGUL = r"[\x{ac00}-\x{d7a3}]"
 
 
 def strip(c: Column) -> Column:
@@ -31,51 +32,46 @@ def null_tokens_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
+def _jamo(ch: Column) -> Column:
+    """A Hangul syllable as jamo, by the arithmetic of the Unicode standard."""
+    vowels, tails = len(U.HANGUL_VOWELS), len(U.HANGUL_TAILS) + 1
+    index = F.ascii(ch) - U.HANGUL_FIRST
+    tail = index % tails
+    lead = F.floor(index / (vowels * tails)).cast("int")
+    vowel = F.floor((index % (vowels * tails)) / tails).cast("int")
+    return F.when(
+        F.ascii(ch).between(U.HANGUL_FIRST, U.HANGUL_LAST),
+        F.concat(
+            F.substring(F.lit(U.HANGUL_LEADS), lead + 1, F.lit(1)),
+            F.substring(F.lit(U.HANGUL_VOWELS), vowel + 1, F.lit(1)),
+            F.when(tail > 0, F.substring(F.lit(U.HANGUL_TAILS), tail, F.lit(1))).otherwise(""),
+        ),
+    ).otherwise(ch)
+
+
 def _expand(c: Column) -> Column:
-    """Characters that fold to several ones, e.g. ligatures and fractions.
+    """Characters that fold to several ones: ligatures, fractions, Hangul syllables and the like.
 
-    Only texts that hold such a character go through the table, one literal whose entries are the
-    character followed by what it stands for.
+    Only texts that hold such a character are taken apart. The expansions are one literal whose
+    entries are the character followed by what it stands for.
     """
     many = U.foldings()[2]
     entries = "\x02".join(a + b for a, b in many.items())
+    without = F.translate(c, "".join(many), "")
 
     def step(done: Column, entry: Column) -> Column:
         return F.replace(done, F.substring(entry, 1, 1), F.substring(entry, 2, 100))
 
-    without = F.translate(c, "".join(many), "")
-    return F.when(
-        c.rlike(NOT_ASCII) & (F.octet_length(without) < F.octet_length(c)),
-        F.aggregate(F.split(F.lit(entries), "\x02"), c, step),
-    ).otherwise(c)
-
-
-def _hangul(c: Column) -> Column:
-    """Hangul syllables as jamo, by the arithmetic of the Unicode standard."""
-    vowels, tails = len(U.HANGUL_VOWELS), len(U.HANGUL_TAILS) + 1
-
-    def jamo(ch: Column) -> Column:
-        index = F.ascii(ch) - U.HANGUL_FIRST
-        tail = index % tails
-        lead = F.floor(index / (vowels * tails)).cast("int")
-        vowel = F.floor((index % (vowels * tails)) / tails).cast("int")
-        return F.when(
-            F.ascii(ch).between(U.HANGUL_FIRST, U.HANGUL_LAST),
-            F.concat(
-                F.substring(F.lit(U.HANGUL_LEADS), lead + 1, F.lit(1)),
-                F.substring(F.lit(U.HANGUL_VOWELS), vowel + 1, F.lit(1)),
-                F.when(tail > 0, F.substring(F.lit(U.HANGUL_TAILS), tail, F.lit(1))).otherwise(""),
-            ),
-        ).otherwise(ch)
-
+    syllables = F.array_join(F.transform(F.split(c, ""), _jamo), "")
+    found = (F.octet_length(without) < F.octet_length(c)) | c.rlike(HANGUL)
     return F.when(
-        c.rlike(r"[\x{ac00}-\x{d7a3}]"), F.array_join(F.transform(F.split(c, ""), jamo), "")
+        c.rlike(NOT_ASCII) & found, F.aggregate(F.split(F.lit(entries), "\x02"), syllables, step)
     ).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks (``José`` -> ``Jose``, ``ﬁ`` -> ``fi``)."""
-    return F.translate(_hangul(_expand(c)), *U.fold_translation())
+    return F.translate(_expand(c), *U.fold_translation())
 
 
 def fold_text(c: Column) -> Column:
@@ -85,7 +81,7 @@ def fold_text(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Without accents and ASCII punctuation, white space collapsed; blank text becomes ``''``."""
-    bare = F.translate(_hangul(_expand(c)), *U.clean_translation())
+    bare = F.translate(_expand(c), *U.clean_translation())
     return F.trim(F.regexp_replace(bare, "  +", " "))
 
 

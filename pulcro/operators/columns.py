@@ -29,6 +29,11 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def type_name(dtype: T.DataType) -> str:
+    """Name of a type in results; both kinds of timestamp are one."""
+    return "timestamp" if isinstance(dtype, T.TimestampNTZType) else dtype.simpleString()
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .analysis import Analysis
-from .columns import as_text, column, numeric_columns, scalar_columns
+from .columns import as_text, column, numeric_columns, scalar_columns, type_name
 from .metrics import frequencies
 from .quantiles import exact_quantiles
 
@@ -28,7 +28,7 @@ def types(df: DataFrame) -> DataFrame:
     """tipo, columnas, celdas_vacias: how the columns divide into data types."""
     by_type: dict[str, list[str]] = {}
     for field in df.schema.fields:
-        by_type.setdefault(field.dataType.simpleString(), []).append(field.name)
+        by_type.setdefault(type_name(field.dataType), []).append(field.name)
     nulls = df.agg(
         *[F.count_if(column(df, n).isNull()).alias(f"n_{i}") for i, n in enumerate(df.columns)]
     )
@@ -120,7 +120,7 @@ def columns_profile(df: DataFrame) -> DataFrame:
     quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], numbers)
     fixed = spark.createDataFrame(
         [
-            (f.name, f.dataType.simpleString(), *quartiles.get(f.name, [None] * 3))
+            (f.name, type_name(f.dataType), *quartiles.get(f.name, [None] * 3))
             for f in df.schema.fields
             if f.name in columns
         ],
