@@ -136,10 +136,7 @@ def standardise(
         names = [f"__fecha_{part}_{i}" for part in ("texto", "partes", "a", "m", "d", "n")]
         helpers += names
         t, found, year, month, day, number = map(F.col, names)
-        bare = text.strip(value)
-        steps[0][names[0]] = F.when(
-            bare.rlike("^[A-Za-z]"), F.regexp_replace(bare, _WEEKDAY, "")
-        ).otherwise(bare)
+        steps[0][names[0]] = F.regexp_replace(text.strip(value), _WEEKDAY, "")
         steps[1][names[1]] = F.split(
             F.when(t.rlike(r"^\d"), _rewrite(t, digit_first)).otherwise(_rewrite(t, name_first)),
             _MARK,
