@@ -6,9 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .catalogue import HAS_DIGIT, HAS_LETTER, ONLY_LETTERS, SPECIAL, only_digits_pattern
-from .columns import KEY_BYTES, as_text, match_key, scalar_columns
+from .columns import KEY_BYTES, as_text, column, match_key, scalar_columns, type_of
 
 def _patterns() -> dict[str, str]:
     """Metric -> pattern whose matches it counts."""
@@ -93,6 +94,35 @@ def frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
+def number_frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """columna, valor, nulo, n: one row per distinct value of integer and floating columns.
+
+    Keys are fixed in width, an integer per column and the value in its own kind, so equal large
+    integers are never confused; ``valor`` is the value as double.
+    """
+    columns = list(columns)
+    cells = []
+    for position, name in enumerate(columns):
+        value, whole = column(df, name), isinstance(type_of(df, name), T.IntegralType)
+        cells += [
+            F.lit(position),
+            value.cast("bigint") if whole else F.lit(None).cast("bigint"),
+            F.lit(None).cast("double") if whole else value.cast("double") + F.lit(0.0),
+        ]
+    grouped = (
+        df.select(F.stack(F.lit(len(columns)), *cells).alias("i", "entero", "real"))
+        .groupBy("i", "entero", "real")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    names = F.array(*[F.lit(name) for name in columns])
+    return grouped.select(
+        F.get(names, F.col("i")).alias("columna"),
+        F.coalesce("real", F.col("entero").cast("double")).alias("valor"),
+        (F.col("entero").isNull() & F.col("real").isNull()).alias("nulo"),
+        "n",
+    )
+
+
 def summarise(counted: DataFrame, n: int = 10) -> DataFrame:
     """The nine metrics and the length range of every column of a frequency table."""
     count = F.col("n")

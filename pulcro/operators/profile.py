@@ -6,11 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .analysis import Analysis
 from .columns import as_text, column, numeric_columns, scalar_columns, type_name
-from .metrics import frequencies
+from .metrics import frequencies, number_frequencies
 from .quantiles import exact_quantiles
 
 
@@ -99,26 +100,34 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
     )
 
 
+def _counted_values(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
+    """columna, valor (of numbers, as double), nulo, n of every distinct value."""
+    plain = [n for n in numeric if not isinstance(df.schema[n].dataType, T.DecimalType)]
+    parts = []
+    if plain:
+        parts.append(number_frequencies(df, plain))
+    others = [n for n in columns if n not in plain]
+    if others:
+        as_number = F.when(F.col("columna").isin(*numeric), F.col("valor").try_cast("double"))
+        parts.append(
+            frequencies(df, others).select("columna", as_number.alias("valor"), "nulo", "n")
+        )
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def columns_profile(df: DataFrame) -> DataFrame:
     """Type, empty, distinct, repeated and descriptive statistics of every scalar column.
 
-    Distinct counts and quartiles come from one stored frequency table, the other statistics
-    from one aggregation. They are null for columns that are not numeric. The driver sees one row
-    per column.
+    Everything comes from one stored table of counted values. Statistics are null for columns
+    that are not numeric. The driver sees one row per column.
     """
-    spark = df.sparkSession
     columns = scalar_columns(df)
     numeric = [n for n in numeric_columns(df) if n in columns]
-    counted = materialise(frequencies(df, columns).select("columna", "valor", "nulo", "n"))
-    own_type = F.lit(None).cast("double")
-    for name in numeric:
-        value = F.col("valor").try_cast(df.schema[name].dataType).cast("double")
-        own_type = F.when(F.col("columna") == name, value).otherwise(own_type)
-    numbers = counted.filter(F.col("columna").isin(*numeric) & ~F.col("nulo")).select(
-        "columna", own_type.alias("valor"), "n"
+    counted = materialise(_counted_values(df, columns, numeric))
+    quartiles = exact_quantiles(
+        df, numeric, [0.25, 0.5, 0.75], counted.filter(F.col("valor").isNotNull())
     )
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], numbers)
-    fixed = spark.createDataFrame(
+    fixed = df.sparkSession.createDataFrame(
         [
             (f.name, type_name(f.dataType), *quartiles.get(f.name, [None] * 3))
             for f in df.schema.fields
@@ -126,50 +135,34 @@ def columns_profile(df: DataFrame) -> DataFrame:
         ],
         "columna string, tipo string, p25 double, p50 double, p75 double",
     )
-    count = F.col("n")
-    repeats = counted.groupBy("columna").agg(
+    value, count, is_number = F.col("valor"), F.col("n"), F.col("columna").isin(*numeric)
+    known = F.sum(F.when(value.isNotNull(), count))
+    basic = counted.groupBy("columna").agg(
         F.sum(F.when(F.col("nulo"), count).otherwise(0)).alias("vacios"),
         F.count_if(~F.col("nulo")).alias("unicos"),
         F.sum(count - 1).alias("duplicados"),
+        F.when(is_number, F.coalesce(known, F.lit(0))).alias("cantidad"),
+        (F.sum(value * count) / known).alias("media"),
+        F.min(value).alias("minimo"),
+        F.max(value).alias("maximo"),
     )
-    result = fixed.join(F.broadcast(repeats), "columna")  # one row per column
-    if numeric:
-        aggregates = []
-        for i, name in enumerate(numeric):
-            value = column(df, name).cast("double")
-            aggregates += [
-                F.count(value).alias(f"cantidad_{i}"),
-                F.avg(value).alias(f"media_{i}"),
-                F.stddev_samp(value).alias(f"desviacion_{i}"),
-                F.min(value).alias(f"minimo_{i}"),
-                F.max(value).alias(f"maximo_{i}"),
-            ]
-        measures = ("cantidad", "media", "desviacion", "minimo", "maximo")
-        statistics = df.agg(*aggregates).select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(name).alias("columna"),
-                            *[F.col(f"{m}_{i}").alias(m) for m in measures],
-                        )
-                        for i, name in enumerate(numeric)
-                    ]
-                )
-            )
-        )
-        result = result.join(F.broadcast(statistics), "columna", "left")
-    else:
-        nothing = F.lit(None).cast("double")
-        result = result.withColumns(
-            {
-                "cantidad": F.lit(None).cast("long"),
-                **{m: nothing for m in ("media", "desviacion", "minimo", "maximo")},
-            }
+    squares = (
+        counted.join(F.broadcast(basic.select("columna", "media")), "columna")
+        .groupBy("columna")
+        .agg(F.sum((value - F.col("media")) * (value - F.col("media")) * count).alias("cuadrados"))
+    )
+    deviation = F.when(
+        F.col("cantidad") > 1, F.sqrt(F.col("cuadrados") / (F.col("cantidad") - 1))
+    )
+    return (
+        fixed.join(F.broadcast(basic), "columna", "left")  # one row per column each
+        .join(F.broadcast(squares), "columna", "left")
+        .select(
+            "columna", "tipo",
+            *[F.coalesce(n, F.lit(0)).alias(n) for n in ("vacios", "unicos", "duplicados")],
+            F.coalesce("cantidad", F.when(is_number, 0)).alias("cantidad"), "media",
+            deviation.alias("desviacion"), "minimo", "p25", "p50", "p75", "maximo",
         )
-    return result.select(
-        "columna", "tipo", "vacios", "unicos", "duplicados", "cantidad", "media", "desviacion",
-        "minimo", "p25", "p50", "p75", "maximo",
     )
 
 

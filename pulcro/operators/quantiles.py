@@ -43,7 +43,8 @@ def _pick(
           for x in (F.lit(name), F.array(*[F.lit(r).cast("long") for r in some]))]
     )
     bucketed = counted.withColumn("tramo", _bucket(limits))
-    upto = F.sum("n").over(Window.partitionBy("columna").orderBy("tramo"))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("n").over(Window.partitionBy("columna").orderBy("tramo").rowsBetween(*so_far))
     hit = (
         bucketed.groupBy("columna", "tramo")
         .agg(F.sum("n").alias("n"))
@@ -59,7 +60,9 @@ def _pick(
         .filter(F.size("rangos") > 0)
         .select("columna", "tramo", "antes", "rangos")
     )
-    within = F.sum("n").over(Window.partitionBy("columna", "tramo").orderBy("valor"))
+    within = F.sum("n").over(
+        Window.partitionBy("columna", "tramo").orderBy("valor").rowsBetween(*so_far)
+    )
     last = F.col("antes") + F.col("dentro")
     found = (
         bucketed.join(F.broadcast(hit), ["columna", "tramo"])  # at most one bucket per rank
