@@ -763,7 +763,7 @@ def _workbooks(spark, folder) -> DataFrame:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     build = _xlsx
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("c_custkey").drop(columns="libro")
         names = frame[["c_custkey", "c_name"]]
         return pd.DataFrame(

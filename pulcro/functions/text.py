@@ -14,6 +14,9 @@ NULL_TOKENS = (
 )
 
 
+# Characters a stored name may not hold. Fixed value.
+UNSAFE = r"[^a-zA-Z0-9_\-]"
+
 NOT_ASCII = r"[^\x{0}-\x{7f}]"
 HANGUL = r"[\x{ac00}-\x{d7a3}]"
 
@@ -108,4 +111,4 @@ def other_words(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """Name under which a rule set is stored."""
-    return F.regexp_replace(strip(c), r"[^a-zA-Z0-9_\-]", "_")
+    return F.regexp_replace(strip(c), UNSAFE, "_")

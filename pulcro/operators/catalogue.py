@@ -18,6 +18,7 @@ TEXT = "texto"
 NUMBER = "numero"
 DEFAULT_NUMBER = 10
 
+# What the character rules look for. Fixed values.
 HAS_DIGIT = r"\p{Nd}"
 HAS_LETTER = "[A-Za-z]"
 ONLY_LETTERS = r"^\p{L}+\z"
@@ -62,7 +63,6 @@ def _contains(cell: Cell, wanted: str) -> Column:
     return F.coalesce(F.upper(cell.text).contains(F.upper(F.lit(wanted))), F.lit(False))
 
 
-# Rule names. Fixed values.
 RULES: dict[str, Rule] = {}
 
 
@@ -97,28 +97,29 @@ def violates(rule: Rule, cell: Cell, parameter: object = None) -> Column:
     return F.coalesce(rule.build(cell, parameter), F.lit(False))
 
 
+# Rule names. Fixed values.
 for _rule in (
     Rule(
         "Email",
         lambda cell, _: email.is_invalid(email.diagnose(cell.raw, cell.trimmed)),
-        description="Marca correos con formato inválido",
+        description="Direcciones de correo mal formadas; una celda vacía no cuenta",
     ),
     Rule(
         "Teléfono",
         lambda cell, _: phone.is_invalid(phone.diagnose(cell.raw, cell.trimmed, cell.digits, cell.international)),
-        description="Marca teléfonos con formato inválido (HN o internacional)",
+        description="Números que no son de Honduras ni internacionales válidos",
         uses_digits=True,
     ),
     Rule(
         "ID (vacíos + duplicados)",
         lambda cell, _: cell.blank | cell.repeated,
-        description="Marca vacíos o duplicados",
+        description="Identificadores que faltan o se repiten",
         uses_duplicates=True,
     ),
     Rule(
         "Texto general (vacíos + símbolos)",
         lambda cell, _: cell.blank | F.coalesce(cell.text.rlike(SPECIAL), F.lit(False)),
-        description="Marca vacíos o caracteres especiales",
+        description="Textos que faltan o llevan símbolos o tildes",
     ),
     Rule("Vacíos", lambda cell, _: cell.blank),
     Rule("Duplicados", lambda cell, _: cell.repeated, uses_duplicates=True),
@@ -138,7 +139,7 @@ for _rule in (
     Rule(
         "Teléfono Honduras",
         lambda cell, _: phone.is_invalid(phone.diagnose_hn(cell.raw)),
-        description="Marca teléfonos que no son números de Honduras",
+        description="Números que no son de Honduras",
     ),
 ):
     register_rule(_rule)

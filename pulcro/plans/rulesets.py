@@ -101,7 +101,7 @@ def quality_settings(parsed: DataFrame) -> DataFrame:
 
 def load_assignments(parsed: DataFrame, name: str) -> tuple[dict, dict] | None:
     """Assignment and parameters of one dashboard rule set, or None when there is none."""
-    key = F.regexp_replace(F.lit(name.strip()), r"[^a-zA-Z0-9_\-]", "_")
+    key = text.safe_name(F.lit(name))
     rows = (
         dashboard_rules(parsed.filter(F.col("archivo") == key))
         .orderBy("pos")

@@ -141,7 +141,7 @@ def _read_records(
     options = {"header": True, "multiLine": True, "sep": separator, "quote": '"', "escape": '"'}
     reader = spark.read.options(**options)
     header = spark.read.options(**{**options, "header": False}).csv(path).limit(1).first()
-    names = column_names(list(header))
+    names = column_names([cell and cell.removeprefix("\ufeff") for cell in header])
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __registro string"
     rows = (
         reader.option("columnNameOfCorruptRecord", "__registro")

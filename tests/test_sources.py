@@ -35,8 +35,9 @@ def test_csv_text(spark, tmp_path):
 
 
 def test_csv_line_breaks_inside_quotes(spark, tmp_path):
-    path = write(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    _, rows = read(spark, path)
+    path = write(tmp_path, "a.csv", '\ufeffa,b\n1,"x\ny"\n2,z\n')
+    found, rows = read(spark, path)
+    assert found.rows.columns == ["fila", "a", "b"]
     assert rows == [(0, "1", "x\ny"), (1, "2", "z")]
     with pytest.raises(ValueError):
         delimited.read_delimited(spark, path, header_row=1)
