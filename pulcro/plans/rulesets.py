@@ -43,12 +43,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def parse(documents: DataFrame) -> DataFrame:
     """The fields of every document; broken ones are left out."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__danado"}
+    # A generator, so that the filter on broken documents does not parse them once more.
+    fields = F.inline(F.array(F.from_json("cuerpo", DOCUMENT, options)))
     return (
-        documents.select(
-            "archivo", F.from_json("cuerpo", DOCUMENT, options).alias("d")
-        )
-        .filter(F.col("d").isNotNull() & F.col("d.__danado").isNull())
-        .select("archivo", "d.*")
+        documents.filter(F.col("cuerpo").isNotNull())
+        .select("archivo", fields)
+        .filter(F.col("__danado").isNull())
         .drop("__danado")
     )
 

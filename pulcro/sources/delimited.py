@@ -58,16 +58,15 @@ def _tidy(rows: DataFrame, names: Sequence[str], null_tokens: bool) -> DataFrame
 
 
 def _split_records(rows: DataFrame, names: Sequence[str], separator: str, null_tokens: bool):
-    """Rows with fila and registro, or already read cells and the raw text of odd records."""
+    """Splits rows of (fila, registro) into cells; odd records keep their raw text."""
     width = len(names)
     schema = ", ".join(f"c{i} string" for i in range(width)) + ", __registro string"
     options = {
         "sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "__registro",
     }
-    parsed = rows.select(
-        "fila", "registro", F.from_csv("registro", schema, options).alias("__r")
-    ).select("fila", "registro", "__r.*")
+    # A generator, so that the filters on the parsed record do not parse it once more.
+    parsed = rows.select("fila", F.inline(F.array(F.from_csv("registro", schema, options))))
     return _separate(parsed, names, separator, null_tokens)
 
 
