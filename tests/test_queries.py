@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as contract
 from tools.compare import bag
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = contract.QUERIES, contract.ORACLES
 
 
 @pytest.fixture(scope="module")
