@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulcro.llm.common import table
+from pulcro.llm.html_text import extract_text
 from pulcro.llm.line_dedup import dedup_lines
+from pulcro.llm.packing import pack_documents
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
 from pulcro.llm.topk import top_k
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(
+        table(spark, sf_dir, "documents"),
+        tokenizer_file("byte_bpe_50k.json"),
+        tokenizer_file("byte_bpe_50k.tiktoken"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     told = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
@@ -32,6 +49,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -42,5 +63,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_secret_scan, op4_sharding, op7_topk_search, op8_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_secret_scan,
+        op4_sharding,
+        op6_html_extraction,
+        op7_topk_search,
+        op8_line_dedup,
+    )
 }
