@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulcro.llm.common import table
 from pulcro.llm.html_text import extract_text
 from pulcro.llm.line_dedup import dedup_lines
+from pulcro.llm.lm_scoring import score_documents
 from pulcro.llm.packing import pack_documents
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
@@ -62,6 +63,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +76,6 @@ QUERIES = {
         op6_html_extraction,
         op7_topk_search,
         op8_line_dedup,
+        op9_lm_scoring,
     )
 }
