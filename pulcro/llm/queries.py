@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulcro.llm.common import table
+from pulcro.llm.decontaminate import contaminations
 from pulcro.llm.html_text import extract_text
+from pulcro.llm.jaccard_join import similar_documents
 from pulcro.llm.line_dedup import dedup_lines
 from pulcro.llm.lm_scoring import score_documents
 from pulcro.llm.packing import pack_documents
+from pulcro.llm.quality import classify
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
 from pulcro.llm.topk import top_k
@@ -42,6 +45,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_tokens", "perplexity", "entropy", "threshold", "keep")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = shard_documents(docs, regular_tree(24), regular_tree(25))
@@ -50,6 +58,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "exact")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -67,15 +80,23 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_copies", "n_links")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_secret_scan,
+        op3_quality_classifier,
         op4_sharding,
+        op5_benchmark_decontamination,
         op6_html_extraction,
         op7_topk_search,
         op8_line_dedup,
         op9_lm_scoring,
+        op10_ngram_jaccard_join,
     )
 }
