@@ -124,6 +124,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 keys, places, where = template_windows(canon, text)
+                if not len(keys):
+                    continue
                 yield pd.DataFrame(
                     {
                         "h": keys.view(np.int64),
