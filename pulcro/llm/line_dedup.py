@@ -28,13 +28,13 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n, keeper); each is a bucketed table in the shared folder.
+    """Levelled sorted runs of (h1, h2, n, keeper), a key once a run; each is a bucketed table in the shared folder.
 
     Runs are dealt to buckets and sorted by hash when they are written, so a batch is merged with
     them without moving them again.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int = 32):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int = 32):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets
         self.levels: list[list[str]] = []
 
@@ -54,16 +54,13 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Merges the distinct keys (h1, h2, n, top) of a batch and stores them as a new run."""
-        fresh = batch
-        for run in self.runs():
-            fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
-        own = fresh.select(*KEY, "n", F.col("top").alias("keeper"), F.lit(True).alias("first"))
-        if self.levels:
-            known = batch.join(own.select(*KEY), KEY, "left_anti").select(
-                *KEY, "n", F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("first")
-            )
-            own = own.unionByName(known)
-        self._push(0, self._write(own))
+        rest, seen = batch, F.lit(False)
+        for k, run in enumerate(self.runs()):
+            rest = rest.join(run.select(*KEY, F.lit(True).alias(f"in{k}")), KEY, "left")
+            seen = seen | F.coalesce(F.col(f"in{k}"), F.lit(False))
+        # What no run holds is the anti-join; the rest adds its documents to a key already there.
+        keeper = F.when(~seen, F.col("top"))
+        self._push(0, self._write(rest.select(*KEY, "n", keeper.alias("keeper"))))
 
     def _push(self, level: int, name: str) -> None:
         if level == len(self.levels):
@@ -82,16 +79,18 @@ class LineRuns:
         tables = [self.spark.table(n) for n in names] if names is not None else self.runs()
         whole = tables[0]
         for each in tables[1:]:
-            whole = whole.unionByName(each)
-        return whole.groupBy(*KEY).agg(
-            F.sum("n").alias("n"),
-            F.max("keeper").alias("keeper"),
-            F.max("first").alias("first"),
-        )
+            # Sorted runs of the same buckets are merged where they lie.
+            other = each.select(*KEY, F.col("n").alias("m"), F.col("keeper").alias("other"))
+            whole = whole.join(other, KEY, "full").select(
+                *KEY,
+                (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"),
+                F.greatest("keeper", "other").alias("keeper"),
+            )
+        return whole
 
 
 def dropped_lines(
-    docs: DataFrame, min_chars: int = 40, min_documents: int = 5, batches: int = 6
+    docs: DataFrame, min_chars: int = 40, min_documents: int = 5, batches: int = 3
 ) -> DataFrame:
     """(doc_id, t1, t2, places): sorted places of the lines to drop, for documents that have some.
 
@@ -100,9 +99,9 @@ def dropped_lines(
     """
     spark = docs.sparkSession
     text = text_or_empty()
-    edges = docs.where(F.col("doc_id").isNotNull()).approxQuantile(
-        "doc_id", [k / batches for k in range(1, batches)], 0.01
-    )
+    shares = [k / batches for k in range(1, batches)]
+    known = docs.where(F.col("doc_id").isNotNull())
+    edges = known.approxQuantile("doc_id", shares, 0.01) if shares else []
     batch = F.lit(0)
     for edge in sorted(set(edges)):
         batch = batch + F.when(F.col("doc_id") > edge, 0).otherwise(1)
