@@ -6,12 +6,16 @@ import csv
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import unicode_tables as U
-from .numbering import number_across_files, number_lines, with_row_number
+from ..session import is_small, materialise
+from .numbering import number_across_files, number_lines
+
+#: Records that are numbered together.
+BLOCK = 65_536
 
 
 @dataclass(frozen=True)
@@ -44,10 +48,20 @@ def _field_count(record: Column, separator: str) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
-def _leaves_quote_open(line: Column) -> Column:
-    """Whether a record may go on in the next line."""
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return quotes % 2 == 1
+def _quote_states(line: Column, separator: str) -> tuple[Column, Column]:
+    """Whether a line ends inside quotes if it starts outside, and if it starts inside them.
+
+    A quote opens only at the start of a field: an inch mark in a plain field is a character like
+    any other.
+    """
+    s = "\\" + separator
+    inner = '[^"]*+(?:""[^"]*+)*+'  # inside quotes, up to the one that closes
+    fields = f'(?:(?:"{inner}"[^{s}]*+|[^"{s}][^{s}]*+|){s})*+'
+    opened = f'{fields}"{inner}'
+    plain = ~line.contains('"')
+    outside = ~plain & line.rlike(f"(?s)^{opened}$")
+    inside = plain | line.rlike(f'(?s)^(?:{inner}|{inner}"[^{s}]*+{s}{opened})$')
+    return outside, inside
 
 
 def _tidy(rows: DataFrame, names: Sequence[str], null_tokens: bool) -> DataFrame:
@@ -81,6 +95,83 @@ def _separate(parsed: DataFrame, names, separator: str, null_tokens: bool) -> De
     )
 
 
+def _running(rows: DataFrame, value: str, output: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the file up to each one.
+
+    Rows are summed inside their split or block (``bloque``), in the order of ``orden``, and the
+    sums of the ones before are added: no window holds a file.
+    """
+    within = Window.partitionBy("archivo", "bloque").orderBy("orden")
+    across = Window.partitionBy("archivo").orderBy("bloque")
+    before = F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    sums = rows.groupBy("archivo", "bloque").agg(F.sum(value).alias("__n"))
+    sums = sums.withColumn("__antes", F.coalesce(before, F.lit(0))).drop("__n")
+    inside = F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        rows.withColumn("__dentro", inside)
+        .join(sums, ["archivo", "bloque"])
+        .withColumn(output, F.col("__dentro") + F.col("__antes"))
+        .drop("__dentro", "__antes")
+    )
+
+
+def _join_records(lines: DataFrame, separator: str) -> DataFrame:
+    """(archivo, registro_n, registro) from lines of files with line breaks inside quotes.
+
+    A line keeps the state, turns it round, or sets it, whatever it was. So the state at a line
+    follows from the last line that sets it and the number of turns since, first inside each split,
+    then from the start state of the split, which follows from the splits before in the same way.
+    """
+    outside, inside = _quote_states(F.col("registro"), separator)
+    marked = lines.select("archivo", "bloque", "orden", "registro", outside.alias("o"), inside.alias("i"))
+    marked = marked.withColumns(
+        {"turn": (F.col("o") & ~F.col("i")).cast("int"), "fixed": F.when(F.col("o") == F.col("i"), F.col("o").cast("int"))}
+    )
+
+    def state(window, start: Column) -> Column:
+        """State before each row of a window over rows with turn and fixed, from its start state."""
+        past = window.rowsBetween(Window.unboundedPreceding, -1)
+        turns = F.coalesce(F.sum("turn").over(past), F.lit(0))
+        last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", F.col("turns").alias("t"))), True).over(past)
+        value = F.when(last.isNotNull(), last["fixed"] + turns - last["t"]).otherwise(start + turns)
+        return value % 2
+
+    split = Window.partitionBy("archivo", "bloque").orderBy("orden")
+    file = Window.partitionBy("archivo").orderBy("bloque")
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("turns", F.sum("turn").over(upto))
+    # What a whole split does to the state: the last set value and the turns after it, or its turns.
+    ends = marked.groupBy("archivo", "bloque").agg(
+        F.max_by(F.struct("fixed", "turns"), F.when(F.col("fixed").isNotNull(), F.col("orden"))).alias("set"),
+        F.sum("turn").alias("all"),
+    )
+    ends = ends.select(
+        "archivo", "bloque",
+        F.when(F.col("set").isNotNull(), (F.col("set.fixed") + F.col("all") - F.col("set.turns")) % 2).alias("fixed"),
+        F.when(F.col("set").isNotNull(), 0).otherwise(F.col("all")).alias("turn"),
+    )
+    ends = ends.withColumn("turns", F.sum("turn").over(file.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = ends.select("archivo", "bloque", state(file, F.lit(0)).alias("start"))
+    known = marked.join(starts, ["archivo", "bloque"]).withColumn("open", state(split, F.col("start")))
+    known = known.withColumn("begins", (F.col("open") == 0).cast("int"))
+    numbered = _running(known.select("archivo", "bloque", "orden", "registro", "begins"), "begins", "registro_n")
+    joined = numbered.groupBy("archivo", (F.col("registro_n") - 1).alias("registro_n")).agg(
+        F.sort_array(F.collect_list(F.struct("bloque", "orden", "registro"))).alias("p")
+    )
+    return joined.select(
+        "archivo", "registro_n", F.array_join(F.transform("p", lambda x: x["registro"]), "\n").alias("registro")
+    )
+
+
+def _headers(first: DataFrame, separator: str) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> the header records that give them; one record per distinct header."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.select("registro").distinct().orderBy("registro").collect():
+        cells = next(csv.reader([row["registro"].removeprefix("\ufeff")], delimiter=separator))
+        found.setdefault(tuple(column_names(cells)), []).append(row["registro"])
+    return found
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -88,67 +179,60 @@ def read_delimited(
     skip_rows: Collection[int] = (),
     separator: str = ",",
     null_tokens: bool = True,
-    quoted_newlines: bool | None = None,
 ) -> Delimited:
-    """Reads one or many files with the same layout.
+    """Reads one or many files, each by its own header.
 
-    ``skip_rows`` are line numbers of the file, from zero; blank lines are skipped, and
-    ``header_row`` counts what remains. Files are split by line and read in parallel. Only when
-    records hold line breaks (noticed in the pass that counts lines, or told by
-    ``quoted_newlines``) is each file read by one task.
+    ``skip_rows`` are record numbers of a file, from zero; blank records are skipped, and
+    ``header_row`` counts what remains. Files are split by line and read in parallel, also where
+    records hold line breaks: only the files that have a field open at the end of some line are put
+    together from lines, in their splits. Columns are matched by name; a column that a file does
+    not have is null in its rows. Line breaks inside quotes are read as ``\\n``.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("registro"),
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
     )
-    keep = F.col("registro").rlike(U.NOT_SPACE)
-    numbered = None
-    if quoted_newlines is not True:
-        unbalanced = _leaves_quote_open(F.col("registro"))
-        if skip_rows:
-            lines = number_lines(lines, F.lit(True), "__linea", F.lit(False)).lines
-            keep = keep & ~F.col("__linea").isin(*skip_rows)
-        numbered = number_lines(lines, keep, "pos", unbalanced)
-        if quoted_newlines is None:
-            quoted_newlines = not numbered.files.filter("abiertas > 0").isEmpty()
-    if quoted_newlines:
-        if header_row or skip_rows:
-            raise ValueError("line breaks inside quotes need the header in the first row")
-        return _read_records(spark, path, separator, null_tokens)
-
-    kept = numbered.lines.select("archivo", "pos", "registro")
-    first = kept.filter(F.col("pos") == header_row).orderBy("archivo").limit(1).collect()
-    if not first:
+    opens, _ = _quote_states(F.col("registro"), separator)
+    filled = F.col("registro").rlike(U.NOT_SPACE)
+    kept = filled & ~F.col("registro_n").isin(*skip_rows) if skip_rows else filled
+    tests = {"abiertas": opens, "vacias": ~filled}
+    numbered = number_lines(lines, F.lit(True), "registro_n", tests)
+    seen = numbered.files.agg(F.sum("abiertas").alias("abiertas"), F.sum("vacias").alias("vacias")).first()
+    if skip_rows or seen["vacias"]:
+        placed = number_lines(numbered.lines, kept, "pos").lines.select("archivo", "pos", "registro")
+    else:
+        placed = numbered.lines.select("archivo", F.col("registro_n").alias("pos"), "registro")
+    if seen["abiertas"]:
+        several = materialise(numbered.files.filter("abiertas > 0").select("archivo"))
+        several = F.broadcast(several) if is_small(several) else several
+        apart = numbered.lines.withColumnRenamed("registro_n", "orden").join(several, "archivo", "left_semi")
+        joined = _join_records(apart, separator).filter(kept)
+        joined = joined.withColumns(
+            {"bloque": F.floor(F.col("registro_n") / BLOCK), "orden": F.col("registro_n"), "__uno": F.lit(1)}
+        )
+        joined = _running(joined, "__uno", "pos").select("archivo", F.col("pos") - 1, "registro")
+        placed = placed.join(several, "archivo", "left_anti").union(joined)
+    first = materialise(placed.filter(F.col("pos") == header_row).select("archivo", "registro"))
+    headers = _headers(first, separator)
+    if not headers:
         raise ValueError(f"no header in row {header_row}")
-    header = next(csv.reader([first[0]["registro"].removeprefix("\ufeff")], delimiter=separator))
-    names = column_names(header)
-    data = kept.filter(F.col("pos") > header_row).withColumn(
-        "pos", F.col("pos") - header_row - 1
-    )
-    counts = numbered.files.select(
-        "archivo", F.greatest(F.col("n") - header_row - 1, F.lit(0)).alias("n")
-    )
-    return _split_records(
-        number_across_files(data, "archivo", "pos", counts, "fila"), names, separator, null_tokens
-    )
-
-
-def _read_records(
-    spark: SparkSession, path: str, separator: str, null_tokens: bool
-) -> Delimited:
-    options = {"header": True, "multiLine": True, "sep": separator, "quote": '"', "escape": '"'}
-    reader = spark.read.options(**options)
-    header = spark.read.options(**{**options, "header": False}).csv(path).limit(1).first()
-    names = column_names([cell and cell.removeprefix("\ufeff") for cell in header])
-    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __registro string"
-    rows = (
-        reader.option("columnNameOfCorruptRecord", "__registro")
-        .option("enforceSchema", True)
-        .schema(schema)
-        .csv(path)
-    )
-    return _separate(with_row_number(rows), names, separator, null_tokens)
+    data = placed.filter(F.col("pos") > header_row).withColumn("pos", F.col("pos") - header_row - 1)
+    counts = data.groupBy("archivo").agg(F.count(F.lit(1)).alias("n"))
+    rows = number_across_files(data, "archivo", "pos", counts, "fila", keep_file=len(headers) > 1)
+    parts = []
+    for names, records in headers.items():
+        own = rows
+        if len(headers) > 1:
+            these = first.filter(F.col("registro").isin(*records)).select("archivo")
+            these = F.broadcast(these) if is_small(these) else these
+            own = rows.join(these, "archivo", "left_semi").select("fila", "registro")
+        parts.append(_split_records(own, names, separator, null_tokens))
+    every, bad = parts[0].rows, parts[0].bad
+    for part in parts[1:]:
+        every = every.unionByName(part.rows, allowMissingColumns=True)
+        bad = bad.unionByName(part.bad)
+    return Delimited(every, bad)
 
 
 def is_empty(table: Delimited) -> bool:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,14 +78,16 @@ def pin_splits(spark: SparkSession) -> None:
 
 @dataclass(frozen=True)
 class NumberedLines:
-    """``lines`` with their number, and (archivo, n, abiertas) per file: lines kept, and how many
-    of them satisfy the test asked for."""
+    """``lines`` with their number; per file ``archivo``, the lines kept ``n`` and how many of them
+    satisfy each of the tests asked for."""
 
     lines: DataFrame
     files: DataFrame
 
 
-def number_lines(lines: DataFrame, keep: Column, output: str, test: Column) -> NumberedLines:
+def number_lines(
+    lines: DataFrame, keep: Column, output: str, tests: Mapping[str, Column] = MappingProxyType({})
+) -> NumberedLines:
     """Numbers the kept lines of each file, from zero.
 
     ``lines`` has archivo and bloque (file and first byte of the split a line was read from). A
@@ -100,7 +104,7 @@ def number_lines(lines: DataFrame, keep: Column, output: str, test: Column) -> N
     splits = marked.groupBy("archivo", "bloque").agg(
         F.min("__id").alias("__primera"),
         F.count(F.lit(1)).alias("n"),
-        F.count_if(test).alias("abiertas"),
+        *[F.count_if(test).alias(name) for name, test in tests.items()],
     )
     before = Window.partitionBy("archivo").orderBy("bloque")
     upto = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))
@@ -115,13 +119,13 @@ def number_lines(lines: DataFrame, keep: Column, output: str, test: Column) -> N
         *lines.columns, position.cast("long").alias(output)
     )
     files = starts.groupBy("archivo").agg(
-        F.sum("n").alias("n"), F.sum("abiertas").alias("abiertas")
+        F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in tests]
     )
     return NumberedLines(numbered, files)
 
 
 def number_across_files(
-    rows: DataFrame, file: str, position: str, counts: DataFrame, output: str
+    rows: DataFrame, file: str, position: str, counts: DataFrame, output: str, keep_file=False
 ) -> DataFrame:
     """Position over all files, in the order of their paths, from the position inside a file.
 
@@ -129,7 +133,7 @@ def number_across_files(
     """
     starts = materialise(_running_start(counts, file).select(file, "inicio"))
     side = F.broadcast(starts) if is_small(starts) else starts
-    kept = [name for name in rows.columns if name not in (file, position)]
+    kept = [n for n in rows.columns if n != position and (keep_file or n != file)]
     return rows.join(side, file).select(
         (F.col("inicio") + F.col(position)).alias(output), *[F.col(f"`{n}`") for n in kept]
     )

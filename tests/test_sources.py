@@ -39,8 +39,47 @@ def test_csv_line_breaks_inside_quotes(spark, tmp_path):
     found, rows = read(spark, path)
     assert found.rows.columns == ["fila", "a", "b"]
     assert rows == [(0, "1", "x\ny"), (1, "2", "z")]
-    with pytest.raises(ValueError):
-        delimited.read_delimited(spark, path, header_row=1)
+
+
+def test_csv_line_breaks_with_header_offset_blank_and_skipped_rows(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'Informe,"de\n\nvarias"\n\na,b\n-,"x\ny"\n   \n1,"x\n\n""y"""\n2,z\n')
+    _, rows = read(spark, path, header_row=1, skip_rows=(3,))
+    assert rows == [(0, "1", 'x\n\n"y"'), (1, "2", "z")]
+
+
+def test_csv_stray_quotes_open_nothing(spark, tmp_path):
+    write(tmp_path, "a.csv", 'a,b\n5" pipe,1\n x"y",2\n"q""r" s",3\n')
+    write(tmp_path, "b.csv", 'a,b\n"two\nlines",4\n6" pipe,"5\n7"\n')
+    found, rows = read(spark, str(tmp_path), header_row=0)
+    assert [r[0] for r in rows] == list(range(5))
+    assert [r[2] for r in rows] == ["1", "2", "3", "4", "5\n7"]
+    assert [rows[k][1] for k in (0, 1, 3, 4)] == ['5" pipe', ' x"y"', "two\nlines", '6" pipe']
+
+
+def test_csv_columns_follow_the_header_of_each_file(spark, tmp_path):
+    write(tmp_path, "a.csv", "id,n\n1,x\n2,y\n")
+    write(tmp_path, "b.csv", "n,id,más\nz,3,k\n")
+    found, rows = read(spark, str(tmp_path))
+    assert found.rows.columns == ["fila", "id", "n", "más"]
+    assert rows == [(0, "1", "x", None), (1, "2", "y", None), (2, "3", "z", "k")]
+
+
+def test_csv_line_breaks_over_many_splits(spark, tmp_path):
+    """Records that cross splits, splits that begin and end inside quotes."""
+    texts = [f"{i}\n{'línea ' * (i % 7)}\n\"\"{i}\"\"" if i % 3 else f'{i}\' {"x" * (i % 50)}' for i in range(1500)]
+    texts[700] = "largo\n" * 3000
+    body = "".join(f'{i},"{t}"\n' for i, t in enumerate(texts))
+    write(tmp_path, "a.csv", "i,t\n" + body)
+    write(tmp_path, "b.csv", "i,t\n" + "1,plain\n" * 500)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        rows = delimited.read_delimited(spark, str(tmp_path), null_tokens=False).rows.orderBy("fila").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["fila"] for r in rows] == list(range(2000))
+    assert [(r["i"], r["t"]) for r in rows[:1500]] == [(str(i), t.replace('""', '"')) for i, t in enumerate(texts)]
 
 
 def test_csv_rows_with_too_many_fields(spark, tmp_path):
