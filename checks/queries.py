@@ -23,7 +23,7 @@ from pulcro.session import scratch_path
 from pulcro.sinks import tables
 from pulcro.sources import delimited, numbering, promotion, workbook
 
-from .views import ASSIGNMENTS, clientes, faltantes, proveedores, spread_table, table
+from .views import ASSIGNMENTS, clientes, faltantes, proveedores, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +73,7 @@ def rule_duplicates_lineitem(spark, folder):
     """Two columns of the largest table, flagged by one aggregation."""
     rows_of = ("l_orderkey", "l_linenumber", "l_extendedprice")
     flagged = flag_duplicates(
-        spread_table(spark, folder, "lineitem", *rows_of), {"l_orderkey": "orden", "l_extendedprice": "precio"}
+        table(spark, folder, "lineitem").select(*rows_of), {"l_orderkey": "orden", "l_extendedprice": "precio"}
     )
     return flagged.select("l_orderkey", "l_linenumber", "l_extendedprice", "orden", "precio")
 
@@ -271,7 +271,7 @@ def quality_metrics(spark, folder):
 
 @query
 def quality_metrics_documents(spark, folder):
-    return metrics.quality_metrics(spread_table(spark, folder, "documents", "text"), "text")
+    return metrics.quality_metrics(table(spark, folder, "documents").select("text"), "text")
 
 
 @query
@@ -281,7 +281,7 @@ def quality_metrics_all(spark, folder):
 
 @query
 def quality_metrics_all_documents(spark, folder):
-    return metrics.quality_metrics_all(spread_table(spark, folder, "documents"))
+    return metrics.quality_metrics_all(table(spark, folder, "documents"))
 
 
 @query
@@ -301,6 +301,43 @@ def profile_histogram(spark, folder):
     )
 
 
+def _with_gaps(spark, folder) -> DataFrame:
+    """Line items with NaN, infinite and null prices."""
+    k = F.col("l_orderkey")
+    price = (
+        F.when(k % 50 == 3, F.lit(float("nan")))
+        .when(k % 50 == 4, F.lit(float("inf")))
+        .when(k % 50 == 5, F.lit(float("-inf")))
+        .when(k % 50 != 6, F.col("l_extendedprice"))
+    )
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", price.alias("precio"))
+
+
+@query
+def profile_histogram_gaps(spark, folder):
+    return profile.histogram(_with_gaps(spark, folder), "precio").select(
+        "tramo", F.round("desde", 6).alias("desde"), F.round("hasta", 6).alias("hasta"), "cantidad", "fuera"
+    )
+
+
+@query
+def profile_overview_gaps(spark, folder):
+    return profile.overview(_with_gaps(spark, folder))
+
+
+@query
+def quality_metrics_gaps(spark, folder):
+    return metrics.quality_metrics_all(_with_gaps(spark, folder), ["precio"])
+
+
+@query
+def profile_columns_gaps(spark, folder):
+    """NaN is missing; infinite prices are left out here, their mean is not a number."""
+    df = _with_gaps(spark, folder).filter(~F.col("precio").isin(float("inf"), float("-inf")) | F.col("precio").isNull())
+    found = _rounded(profile.columns_profile(df)).filter("columna = 'precio'")
+    return found.select("columna", "vacios", "unicos", "duplicados", "cantidad", "minimo", "maximo")
+
+
 @query
 def profile_lengths(spark, folder):
     return profile.lengths(table(spark, folder, "part"), ["p_name", "p_brand", "p_type"])
@@ -313,12 +350,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query
 def profile_columns(spark, folder):
-    return _rounded(profile.columns_profile(spread_table(spark, folder, "orders")))
+    return _rounded(profile.columns_profile(table(spark, folder, "orders")))
 
 
 @query
 def profile_columns_lineitem(spark, folder):
-    return _rounded(profile.columns_profile(spread_table(spark, folder, "lineitem")))
+    return _rounded(profile.columns_profile(table(spark, folder, "lineitem")))
 
 
 @query
@@ -332,7 +369,7 @@ def report_columns(spark, folder):
 
 def _documents_text(name: str, function) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return spread_table(spark, folder, "documents", "doc_id", "text").select(
+        return table(spark, folder, "documents").select("doc_id", "text").select(
             "doc_id", function(F.col("text")).alias("texto")
         )
 
@@ -344,6 +381,7 @@ _documents_text("text_upper", F.upper)
 _documents_text("text_lower", F.lower)
 _documents_text("text_clean", text.clean_text)
 _documents_text("text_fold", text.fold_text)
+_documents_text("text_fold_expanding", lambda c: text.fold_text(F.concat(c, F.lit(" … ½ ﬁn №"), c)))
 _documents_text("replace_substring", lambda c: text.replace_part(c, ". ", " $1\\ "))
 
 
@@ -399,9 +437,30 @@ def country_code_table(spark, folder):
         F.col("c_custkey").alias("fila"),
         F.concat(F.lit("Av. Núñez, NATION_"), "c_nationkey", F.lit(", piso 3")).alias("direccion"),
     )
-    return country.with_country_code_from(
-        addresses, "direccion", _gazetteer(spark, folder), "fila"
+    return country.with_country_code_from(addresses, "direccion", _gazetteer(spark, folder))
+
+
+@query
+def country_code_many_names(spark, folder):
+    """A street for every order, some repeated or without a code, in long and repeated addresses."""
+    k = F.col("o_orderkey")
+    streets = table(spark, folder, "orders").select(
+        F.concat(F.lit("calle "), k).alias("nombre"),
+        F.when(k % 10 != 3, F.concat(F.lit("O"), k % 1000)).alias("codigo"),
+        k.alias("pos"),
     )
+    again = streets.select("nombre", F.lit("repetido").alias("codigo"), (F.col("pos") + 10_000_000).alias("pos"))
+    addresses = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("fila"),
+        F.when(
+            F.col("c_custkey") % 11 != 0,
+            F.concat(
+                F.repeat(F.lit("Niño perdido; "), (F.col("c_custkey") % 97).cast("int")),
+                F.lit("CÁLLE "), F.col("c_custkey") * 3, F.lit(", calle "), F.col("c_nationkey") * 7,
+            ),
+        ).alias("direccion"),
+    )
+    return country.with_country_code_from(addresses, "direccion", streets.unionByName(again))
 
 
 @query
@@ -427,7 +486,7 @@ def dates_all_columns(spark, folder):
 @query
 def dates_formats(spark, folder):
     """Order dates as text, rewritten to every target format."""
-    df = spread_table(spark, folder, "orders", "o_orderkey", "o_orderdate").select(
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderdate").select(
         "o_orderkey",
         *[F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias(f"f{i}")
           for i in range(len(dates.TARGETS))],
@@ -523,6 +582,18 @@ def drop_duplicate_rows_by_key(spark, folder):
     return rows.drop_duplicate_rows(df, ["p_name", "p_brand"], order="p_partkey")
 
 
+@query
+def drop_duplicate_rows_ties(spark, folder):
+    """Order null for whole groups, partly null, and tied; cells follow from key and order."""
+    k = F.col("l_partkey")
+    order = F.when((k % 3 != 0) & (F.col("l_linenumber") != 2), F.col("l_linenumber"))
+    df = table(spark, folder, "lineitem").select(
+        k.alias("clave"), order.alias("orden"),
+        F.concat_ws("/", k, F.coalesce(order.cast("string"), F.lit("sin"))).alias("celda"),
+    )
+    return rows.drop_duplicate_rows(df, ["clave"], order="orden")
+
+
 @query
 def etl_impact(spark, folder):
     plan = CleaningPlan(
@@ -616,40 +687,82 @@ def promote_types_notice(spark, folder):
     return promotion.promote_types(clientes(spark, folder))[1]
 
 
+def _written(spark, df: DataFrame, order: str, name: str) -> str:
+    """The table as delimited files whose paths follow ``order``."""
+    path = scratch_path(spark, name)
+    tables.write_csv(df.repartitionByRange(4, order).sortWithinPartitions(order), path)
+    return path
+
+
 @query
 def ingest_csv_text(spark, folder):
     """A written table read back as text; its own row number column is kept as ``id``."""
-    path = scratch_path(spark, "clientes")
-    tables.write_csv(clientes(spark, folder).withColumnRenamed("fila", "id"), path)
-    return delimited.read_delimited(spark, path).rows.drop("fila")
+    df = clientes(spark, folder).withColumnRenamed("fila", "id")
+    return delimited.read_delimited(spark, _written(spark, df, "id", "clientes")).rows
 
 
 @query
 def ingest_csv_rows(spark, folder):
     """Row numbers over all files of an ingested table."""
-    path = scratch_path(spark, "orders")
-    tables.write_csv(table(spark, folder, "orders").repartition(4), path)
-    return delimited.read_delimited(spark, path).rows.agg(
-        F.count(F.lit(1)).alias("filas"),
-        F.count_distinct("fila").alias("distintas"),
-        F.min("fila").alias("primera"),
-        F.max("fila").alias("ultima"),
-    )
+    path = _written(spark, table(spark, folder, "orders"), "o_orderkey", "orders")
+    return delimited.read_delimited(spark, path).rows.select("fila", "o_orderkey")
 
 
 @query
 def ingest_csv_multiline(spark, folder):
     """Whole texts with line breaks and quotes inside."""
-    path = scratch_path(spark, "documents")
-    tables.write_csv(table(spark, folder, "documents").select("doc_id", "lang", "text"), path)
-    return delimited.read_delimited(spark, path, null_tokens=False).rows.drop("fila")
+    df = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    path = _written(spark, df, "doc_id", "documents")
+    return delimited.read_delimited(spark, path, null_tokens=False).rows
+
+
+@query
+def ingest_header_offset_multiline(spark, folder):
+    """A title with a line break, a blank line and a skipped record above texts with line breaks."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("orden"),
+        F.to_csv(F.struct("doc_id", "lang", "text"), options).alias("linea"),
+    )
+    preamble = ['"Informe\nde textos",', "", "doc_id,lang,text", '-,"-\n\n-",-']
+    path = _write_lines(spark, lines, preamble)
+    read = delimited.read_delimited(spark, path, header_row=1, skip_rows=(3,), null_tokens=False)
+    return read.rows
+
+
+@query
+def ingest_stray_quote(spark, folder):
+    """Inch marks in plain fields beside files with quoted line breaks."""
+    k = F.col("p_partkey")
+    cell = (
+        F.when(k % 7 == 0, F.concat((k % 40).cast("string"), F.lit('" pipe')))
+        .when(k % 50 == 1, F.concat(F.lit('"two\nlines '), k, F.lit('"')))
+        .otherwise(F.col("p_name"))
+    )
+    lines = table(spark, folder, "part").select(
+        k.alias("orden"), F.concat(k, F.lit(","), cell, F.lit(","), "p_size").alias("linea")
+    )
+    path = _write_lines(spark, lines, ["k,nombre,medida"], per_file=500)
+    return delimited.read_delimited(spark, path).rows
+
+
+@query
+def ingest_mixed_headers(spark, folder):
+    """Files with their columns in another order, and with one more."""
+    path = scratch_path(spark, "mezcla")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    for part, columns in enumerate((("o_orderkey", "o_orderstatus"), ("o_orderstatus", "o_orderkey", "o_orderpriority"))):
+        chosen = orders.filter(F.col("o_orderkey") % 2 == part).select(*columns)
+        ordered = chosen.coalesce(1).sortWithinPartitions("o_orderkey")
+        tables.write_csv(ordered, f"{path}/parte={part}")
+    return delimited.read_delimited(spark, path).rows
 
 
 def _write_lines(spark, lines: DataFrame, preamble: list[str], per_file: int = 100_000) -> str:
     """Writes (orden, linea) as text files that each start with the preamble."""
     path = scratch_path(spark, "lineas")
     data = lines.select(
-        F.floor(F.col("orden") / per_file).cast("int").alias("cubo"), "orden", "linea"
+        F.lpad(F.floor(F.col("orden") / per_file).cast("string"), 8, "0").alias("cubo"), "orden", "linea"
     )
     first = data.select("cubo").distinct()
     heads = first.select(
@@ -681,7 +794,7 @@ _HEADER = "id,cli_codigo,cli_nombre,cli_direccion"
 @query
 def ingest_header_offset(spark, folder):
     path = _write_lines(spark, _client_lines(spark, folder), ["Informe", "", "Hoja 1", _HEADER])
-    return delimited.read_delimited(spark, path, header_row=2).rows.drop("fila")
+    return delimited.read_delimited(spark, path, header_row=2).rows
 
 
 @query
@@ -689,7 +802,7 @@ def ingest_skip_rows(spark, folder):
     preamble = ["Informe", _HEADER, "unidades,-,-,-", "tipos,-,-,-"]
     path = _write_lines(spark, _client_lines(spark, folder), preamble)
     read = delimited.read_delimited(spark, path, header_row=1, skip_rows=(2, 3))
-    return read.rows.drop("fila")
+    return read.rows
 
 
 def _uneven_lines(spark, folder) -> DataFrame:
@@ -706,13 +819,13 @@ def _uneven_lines(spark, folder) -> DataFrame:
 @query
 def ingest_bad_records(spark, folder):
     path = _write_lines(spark, _uneven_lines(spark, folder), ["a,b,c"])
-    return delimited.read_delimited(spark, path).bad.select("registro")
+    return delimited.read_delimited(spark, path).bad
 
 
 @query
 def ingest_good_records(spark, folder):
     path = _write_lines(spark, _uneven_lines(spark, folder), ["a,b,c"])
-    return delimited.read_delimited(spark, path).rows.select("a", "b", "c")
+    return delimited.read_delimited(spark, path).rows
 
 
 def _xlsx(sheets: dict[str, pd.DataFrame]) -> bytes:
@@ -758,52 +871,6 @@ def _xlsx(sheets: dict[str, pd.DataFrame]) -> bytes:
     return buffer.getvalue()
 
 
-def _workbooks(spark, folder) -> DataFrame:
-    """Customers as workbooks of at most a thousand rows: (path, content)."""
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    build = _xlsx
-
-    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("c_custkey").drop(columns="libro")
-        names = frame[["c_custkey", "c_name"]]
-        return pd.DataFrame(
-            {"path": [f"libro-{key[0]:08d}.xlsx"],
-             "content": [build({"Clientes": frame, "Nombres": names})]}
-        )
-
-    customers = table(spark, folder, "customer").select(
-        "c_custkey", "c_name", "c_acctbal", "c_mktsegment",
-        F.floor(F.col("c_custkey") / 1000).alias("libro"),
-    )
-    return customers.groupBy("libro").applyInPandas(pack, "path string, content binary")
-
-
-@query
-def ingest_workbooks(spark, folder):
-    return workbook.sheet_table(workbook.workbook_cells(_workbooks(spark, folder)))
-
-
-@query
-def ingest_workbooks_sheet(spark, folder):
-    cells = workbook.workbook_cells(_workbooks(spark, folder))
-    return workbook.sheet_table(cells, "Nombres")
-
-
-@query
-def workbook_sheets(spark, folder):
-    return workbook.list_sheets(workbook.workbook_cells(_workbooks(spark, folder)))
-
-
-@query
-def workbook_errors(spark, folder):
-    """Files that are no workbooks are reported, one row each."""
-    files = table(spark, folder, "supplier").select(
-        F.concat(F.lit("libro-"), "s_suppkey").alias("path"),
-        F.encode("s_name", "UTF-8").alias("content"),
-    )
-    return workbook.read_errors(workbook.workbook_cells(files)).select("path")
-
-
 @query
 def sink_csv(spark, folder):
     path = scratch_path(spark, "part")
@@ -903,6 +970,43 @@ def ruleset_upsert(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def ruleset_upsert_last_wins(spark, folder):
+    """Two incoming rule sets whose names give one key: the later one is stored."""
+    first = _incoming(spark, folder)
+    k = F.regexp_replace("nombre", "/", "_")
+    later = first.filter(F.col("nombre").startswith("nuevo/")).withColumns({"nombre": k, "regla": F.lit("Email")})
+    stored = rulesets.as_table(_parsed(spark, folder)).limit(0)
+    both = first.coalesce(1).unionByName(later.coalesce(1))
+    return rulesets.upsert(stored, both).select("clave", "nombre", "regla")
+
+
+@query
+def ruleset_apply_dashboard(spark, folder):
+    """A stored rule set, read by its name and applied to the customers."""
+    name = table(spark, folder, "customer").filter("c_custkey = 7").first()["c_name"]
+    assignments, parameters = rulesets.load_assignments(_parsed(spark, folder), name)
+    return Analysis(clientes(spark, folder), assignments, parameters).category_distribution()
+
+
+@query
+def ruleset_apply_quality(spark, folder):
+    name = table(spark, folder, "customer").filter("c_custkey = 6").first()["c_name"]
+    assignments = rulesets.quality_assignments(_parsed(spark, folder), name)
+    return Analysis(clientes(spark, folder), assignments).category_distribution()
+
+
+@query
+def ruleset_exists(spark, folder):
+    """Whether rule sets are stored under some names: one of each kind, a broken one, none."""
+    stored = _parsed(spark, folder).withColumnRenamed("archivo", "clave")
+    names = table(spark, folder, "customer").filter("c_custkey IN (1, 2, 5)").select("c_name").collect()
+    asked = [r["c_name"] for r in names] + ["no hay"]
+    return spark.createDataFrame(
+        [(n, rulesets.exists(stored, f" {n} ")) for n in asked], "nombre string, existe boolean"
+    )
+
+
 def _unwanted(spark, folder) -> DataFrame:
     return (
         table(spark, folder, "customer")

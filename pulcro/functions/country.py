@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.columns import match_key
 from ..session import is_small, materialise
 from . import text
 
@@ -71,8 +72,8 @@ PLACES = {
     "washington": "US",
 }
 
-#: Gazetteer tables up to this many names are compiled into the plan.
-LITERAL_NAMES = 2_000
+#: Characters of a text that are searched together; a stretch also sees the start of the next one.
+STRETCH = 512
 
 
 def by_length(places: Mapping[str, str]) -> list[tuple[str, str]]:
@@ -109,64 +110,77 @@ def with_country_code(
 
 
 def with_country_code_from(
-    df: DataFrame, column: str, gazetteer: DataFrame, key: str, output: str = "pais_codigo"
+    df: DataFrame,
+    column: str,
+    gazetteer: DataFrame,
+    output: str = "pais_codigo",
+    word_boundary: bool = False,
 ) -> DataFrame:
     """Same look-up with a gazetteer table (nombre, codigo, pos), names already folded.
 
-    ``pos`` breaks ties between names of equal length. A small table, checked by count, becomes
-    literals of the plan. A larger one is matched by equality: every window of the text whose
-    length is that of some name is joined with the names, so the work per row is bounded by its
-    own text and no pair is built that does not match. ``key`` identifies a row of ``df``.
+    ``pos`` breaks ties between names of equal length. Entries without a name or a code are no
+    names; of entries with one name the first by ``pos`` counts. Distinct folded texts are searched
+    once: every place of a text is joined, by as many characters as the shortest name has, with the
+    names that begin so, and the rest of the name is compared there. The way is the same for any
+    number of names; they are broadcast if they are counted to be few, else shuffled. Rows are
+    matched with their text by a key of bounded width, so they need no key of their own.
     """
-    names = gazetteer.select("nombre", "codigo", "pos").filter(F.col("nombre") != "")
-    if is_small(names, LITERAL_NAMES):
-        rows = names.orderBy("pos").collect()
-        places: dict[str, str] = {}
-        for row in rows:
-            places.setdefault(row["nombre"], row["codigo"])
-        if not places:
-            return df.withColumn(output, F.lit(None).cast("string"))
-        return with_country_code(df, column, output, places)
-
+    names = gazetteer.filter((F.col("nombre") != "") & F.col("codigo").isNotNull())
     ranked = materialise(
-        names.groupBy("nombre").agg(F.min(F.struct("pos", "codigo")).alias("mejor"))
-    ).select(
-        "nombre",
-        F.struct(-F.length("nombre"), F.col("mejor.pos")).alias("rango"),
-        F.col("mejor.codigo").alias("codigo"),
+        names.groupBy("nombre").agg(
+            F.min("pos").alias("pos"), F.min_by("codigo", "pos").alias("codigo")
+        )
     )
-    lengths = sorted(
-        row[0] for row in ranked.select(F.length("nombre").alias("n")).distinct().collect()
+    sizes = ranked.agg(
+        F.min(F.length("nombre")).alias("least"), F.max(F.length("nombre")).alias("most")
+    ).first()
+    if sizes["least"] is None:
+        return df.withColumn(output, F.lit(None).cast("string"))
+    least, most = sizes["least"], sizes["most"]
+    folded = text.fold_text(F.col(column).cast("string"))
+    texts = (
+        df.select(folded.alias("__plegado"))
+        .filter(F.length("__plegado") >= least)
+        .select(match_key(F.col("__plegado")).alias("__texto"), "__plegado")
+        .groupBy("__texto")
+        .agg(F.first("__plegado").alias("__plegado"))
     )
-    folded = F.col("__plegado")
-    windows = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array(*[F.lit(n) for n in lengths]),
-                lambda n: F.when(
-                    F.length(folded) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(folded) - n + 1),
-                        lambda start: F.substring(folded, start, n),
-                    ),
-                ).otherwise(F.array().cast("array<string>")),
-            )
+    # Cut once into stretches, so that a place is found in a short text however long the whole is.
+    cut = F.regexp_extract_all("__plegado", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    stretch = F.col("__tramos")[F.col("__i")]
+    # A name may begin in a stretch and end in the following ones.
+    ahead = -(-most // STRETCH)
+    after = F.array_join(F.slice("__tramos", F.col("__i") + 2, ahead), "")
+    before = F.when(F.col("__i") > 0, F.right(F.col("__tramos")[F.col("__i") - 1], F.lit(1)))
+    places = (
+        texts.select("__texto", cut.alias("__tramos"))
+        .select("__texto", "__tramos", F.explode(F.sequence(F.lit(0), F.size("__tramos") - 1)).alias("__i"))
+        .select(
+            "__texto",
+            F.coalesce(before, F.lit("")).alias("__antes"),
+            F.length(stretch).alias("__largo"),
+            F.concat(stretch, F.left(after, F.lit(most))).alias("__tramo"),
         )
-    )
-    # A name that a third of all texts contain would send a third of the windows to one task:
-    # the names are repeated over 16 salts, the windows spread over them.
-    found = (
-        df.select(key, text.fold_text(F.col(column).cast("string")).alias("__plegado"))
-        .select(key, F.explode(windows).alias("nombre"))
-        .withColumn("sal", F.pmod(F.xxhash64(key), F.lit(16)))
-        .join(
-            ranked.withColumn("sal", F.explode(F.array(*[F.lit(i).cast("long") for i in range(16)]))),
-            ["nombre", "sal"],
+        .select("*", F.explode(F.sequence(F.lit(1), F.col("__largo"))).alias("__pos"))
+        .select(
+            "__texto",
+            F.expr(f"substring(__tramo, __pos, {most + 1})").alias("__resto"),
+            F.expr("if(__pos > 1, substring(__tramo, __pos - 1, 1), __antes)").alias("__previo"),
         )
-        .groupBy(key)
-        .agg(F.min_by("codigo", "rango").alias(output))
+        .withColumn("__inicio", F.substring("__resto", 1, least))
+    )
+    keyed = ranked.select(F.substring("nombre", 1, least).alias("__inicio"), "nombre", "pos", "codigo")
+    keyed = F.broadcast(keyed) if is_small(ranked) else keyed
+    found = places.join(keyed, "__inicio").filter(F.col("__resto").startswith(F.col("nombre")))
+    if word_boundary:
+        inside = r"[\p{L}\p{N}]"
+        behind = F.expr("substring(__resto, length(nombre) + 1, 1)")
+        found = found.filter(~F.col("__previo").rlike(inside) & ~behind.rlike(inside))
+    best = found.groupBy("__texto").agg(
+        F.min_by("codigo", F.struct(-F.length("nombre"), "pos", "nombre")).alias(output)
     )
-    return df.join(found, key, "left")
+    keyed_rows = df.withColumn("__texto", match_key(folded))
+    return keyed_rows.join(best, "__texto", "left").drop("__texto")
 
 
 def count_unmatched(df: DataFrame, output: str = "pais_codigo") -> DataFrame:

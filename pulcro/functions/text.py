@@ -17,7 +17,7 @@ NULL_TOKENS = (
 # Characters a stored name may not hold. Fixed value.
 UNSAFE = r"[^a-zA-Z0-9_\-]"
 
-NOT_ASCII = r"[^\x{0}-\x{7f}]"
+ASCII, NOT_ASCII = r"[\x{0}-\x{7f}]", r"[^\x{0}-\x{7f}]"
 HANGUL = r"[\x{ac00}-\x{d7a3}]"
 
 
@@ -55,21 +55,20 @@ def _jamo(ch: Column) -> Column:
 def _expand(c: Column) -> Column:
     """Characters that fold to several ones: ligatures, fractions, Hangul syllables and the like.
 
-    Only texts that hold such a character are taken apart. The expansions are one literal whose
-    entries are the character followed by what it stands for.
+    Only texts that hold such a character are taken apart, into stretches of ASCII and single other
+    characters; each of these is looked up once, so the work is one pass over the text.
     """
     many = U.foldings()[2]
-    entries = "\x02".join(a + b for a, b in many.items())
+    entries = [F.split(F.lit("\x02".join(part)), "\x02") for part in (many, many.values())]
+    table = F.map_from_arrays(*entries)
     without = F.translate(c, "".join(many), "")
-
-    def step(done: Column, entry: Column) -> Column:
-        return F.replace(done, F.substring(entry, 1, 1), F.substring(entry, 2, 100))
-
-    syllables = F.array_join(F.transform(F.split(c, ""), _jamo), "")
+    stretches = F.regexp_extract_all(c, F.lit(f"{ASCII}+|{NOT_ASCII}"), F.lit(0))
+    expanded = F.transform(
+        stretches,
+        lambda part: F.when(part.rlike(NOT_ASCII), F.coalesce(F.try_element_at(table, part), _jamo(part))).otherwise(part),
+    )
     found = (F.octet_length(without) < F.octet_length(c)) | c.rlike(HANGUL)
-    return F.when(
-        c.rlike(NOT_ASCII) & found, F.aggregate(F.split(F.lit(entries), "\x02"), syllables, step)
-    ).otherwise(c)
+    return F.when(c.rlike(NOT_ASCII) & found, F.array_join(expanded, "")).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:

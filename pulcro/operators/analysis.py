@@ -71,12 +71,19 @@ class Analysis:
     ):
         self.source = df
         self.columns, self._problems = _compile(df, assignments, parameters or {})
+        self._null_as_text = null_as_text
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The rows with one category column per analysed column."""
+        df = self.source
         flags = {
             (c.name, rule): f"__marca_{i}_{j}"
             for i, c in enumerate(self.columns)
             for j, (rule, _) in enumerate(c.rules)
         }
-        flagged = apply_rules(df, {c.name: list(c.rules) for c in self.columns}, flags, null_as_text)
+        rules = {c.name: list(c.rules) for c in self.columns}
+        flagged = apply_rules(df, rules, flags, self._null_as_text)
         categories = [
             F.coalesce(
                 *[F.when(F.col(flags[(c.name, rule)]), F.lit(rule)) for rule, _ in c.rules],
@@ -84,8 +91,7 @@ class Analysis:
             ).alias(c.category)
             for c in self.columns
         ]
-        #: The rows with one category column per analysed column.
-        self.rows = flagged.select(*[column(df, name) for name in df.columns], *categories)
+        return flagged.select(*[column(df, name) for name in df.columns], *categories)
 
     @property
     def any_error(self) -> Column:

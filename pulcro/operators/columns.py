@@ -47,13 +47,26 @@ def scalar_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """The named column with NaN as null: both are missing values."""
+    value = column(df, name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    return value
+
+
+def missing(df: DataFrame, name: str) -> Column:
+    """Whether the value is null or NaN."""
+    return known(df, name).isNull()
+
+
 def as_text(df: DataFrame, name: str) -> Column:
-    """Text form of a scalar column; nested columns have none."""
+    """Text form of a scalar column, null where the value is missing; nested columns have none."""
     dtype = type_of(df, name)
     if name not in scalar_columns(df):
         raise TypeError(f"column {name} of type {dtype.simpleString()} has no text form")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return (column(df, name) + F.lit(0.0)).cast("string")  # one text for 0.0 and -0.0
+        return (known(df, name) + F.lit(0.0)).cast("string")  # one text for 0.0 and -0.0
     return column(df, name).cast("string")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalogue import HAS_DIGIT, HAS_LETTER, ONLY_LETTERS, SPECIAL, only_digits_pattern
-from .columns import KEY_BYTES, as_text, column, match_key, scalar_columns, type_of
+from .columns import KEY_BYTES, as_text, known, match_key, scalar_columns, type_of
 
 def _patterns() -> dict[str, str]:
     """Metric -> pattern whose matches it counts."""
@@ -103,7 +103,7 @@ def number_frequencies(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     columns = list(columns)
     cells = []
     for position, name in enumerate(columns):
-        value, whole = column(df, name), isinstance(type_of(df, name), T.IntegralType)
+        value, whole = known(df, name), isinstance(type_of(df, name), T.IntegralType)
         cells += [
             F.lit(position),
             value.cast("bigint") if whole else F.lit(None).cast("bigint"),
@@ -145,8 +145,42 @@ def summarise(counted: DataFrame, n: int = 10) -> DataFrame:
 
 
 def quality_metrics_all(
-    df: DataFrame, columns: Iterable[str] | None = None, n: int = 10
+    df: DataFrame, columns: Iterable[str] | None = None, n: int = 10, approximate: bool = False
 ) -> DataFrame:
-    """The nine metrics and the length range of every scalar column, from one scan."""
+    """The nine metrics and the length range of every scalar column, from one scan.
+
+    ``approximate`` counts distinct values by sketch, in one aggregation without any shuffle of
+    values.
+    """
     columns = list(columns) if columns is not None else scalar_columns(df)
-    return summarise(frequencies(df, columns), n)
+    if not approximate or not columns:
+        return summarise(frequencies(df, columns), n)
+    cells = df.select(*[as_text(df, name).alias(f"c{i}") for i, name in enumerate(columns)])
+    parts = []
+    for i in range(len(columns)):
+        value = F.col(f"c{i}")
+        distinct = F.approx_count_distinct(F.when(value.isNotNull(), match_key(value)))
+        parts += [
+            F.count_if(value.isNull()).alias(f"vacios_{i}"),
+            distinct.alias(f"unicos_{i}"),
+            F.count_if(F.length(value) > n).alias(f"longitud_mayor_{i}"),
+            *[F.count_if(value.rlike(p)).alias(f"{m}_{i}") for m, p in _patterns().items()],
+            F.min(F.length(value)).alias(f"longitud_minima_{i}"),
+            F.max(F.length(value)).alias(f"longitud_maxima_{i}"),
+        ]
+    told = cells.agg(F.count(F.lit(1)).alias("filas"), *parts)
+    names = ("longitud_mayor", *_patterns(), "longitud_minima", "longitud_maxima")
+
+    def entry(i: int, name: str) -> Column:
+        empty = F.col(f"vacios_{i}")
+        unique = F.least(F.col(f"unicos_{i}"), F.col("filas") - empty)
+        one = F.when(empty > 0, 1).otherwise(0)
+        return F.struct(
+            F.lit(name).alias("columna"),
+            empty.alias("vacios"),
+            (F.col("filas") - unique - one).alias("duplicados"),
+            unique.alias("unicos"),
+            *[F.col(f"{m}_{i}").alias(m) for m in names],
+        )
+
+    return told.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))

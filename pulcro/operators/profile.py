@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
 from .analysis import Analysis
-from .columns import as_text, column, numeric_columns, scalar_columns, type_name
+from .columns import as_text, known, match_key, missing, numeric_columns, scalar_columns, type_name
 from .metrics import frequencies, number_frequencies
 from .quantiles import exact_quantiles
 
@@ -19,7 +19,7 @@ def overview(df: DataFrame) -> DataFrame:
     """filas, columnas, celdas_vacias of the table."""
     empty = F.lit(0).cast("long")
     for name in df.columns:
-        empty = empty + F.count_if(column(df, name).isNull())
+        empty = empty + F.count_if(missing(df, name))
     return df.agg(F.count(F.lit(1)).alias("filas"), empty.alias("celdas_vacias")).select(
         "filas", F.lit(len(df.columns)).cast("long").alias("columnas"), "celdas_vacias"
     )
@@ -31,7 +31,7 @@ def types(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         by_type.setdefault(type_name(field.dataType), []).append(field.name)
     nulls = df.agg(
-        *[F.count_if(column(df, n).isNull()).alias(f"n_{i}") for i, n in enumerate(df.columns)]
+        *[F.count_if(missing(df, n)).alias(f"n_{i}") for i, n in enumerate(df.columns)]
     )
     position = {name: i for i, name in enumerate(df.columns)}
     entries = []
@@ -73,28 +73,37 @@ def lengths(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
 
 
 def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
-    """tramo, desde, hasta, cantidad: equal-width bins over the range, the last one closed."""
-    value = column(df, name).cast("double")
-    limits = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    schema = "tramo int, desde double, hasta double, cantidad long"
+    """tramo, desde, hasta, cantidad, fuera: equal-width bins over the range, the last one closed.
+
+    Range and bins are of the finite values; ``fuera`` is the number of infinite ones, the same in
+    every row. Missing values, NaN among them, are not counted.
+    """
+    value = known(df, name).cast("double")
+    infinite = F.abs(value) == F.lit(float("inf"))
+    finite = F.when(~infinite, value)
+    limits = df.agg(
+        F.min(finite).alias("low"), F.max(finite).alias("high"), F.count_if(infinite).alias("n")
+    ).first()
+    schema = "tramo int, desde double, hasta double, cantidad long, fuera long"
     if limits["low"] is None:
         return df.sparkSession.createDataFrame([], schema)
     low, high = limits["low"], limits["high"]
     width = (high - low) / bins
-    position = F.least(F.floor((value - low) / width), F.lit(bins - 1)) if width else F.lit(0)
+    position = F.least(F.floor((finite - low) / width), F.lit(bins - 1)) if width else F.lit(0)
     counts = (
-        df.filter(value.isNotNull())
+        df.filter(finite.isNotNull())
         .groupBy(position.cast("int").alias("tramo"))
         .agg(F.count(F.lit(1)).alias("cantidad"))
     )
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("tramo"))
     return (
-        every.join(F.broadcast(counts), "tramo", "left")  # at most one row per bin
+        every.join(counts, "tramo", "left")
         .select(
             "tramo",
             (F.lit(low) + F.col("tramo") * F.lit(width)).alias("desde"),
             (F.lit(low) + (F.col("tramo") + 1) * F.lit(width)).alias("hasta"),
             F.coalesce("cantidad", F.lit(0).cast("long")).alias("cantidad"),
+            F.lit(limits["n"]).cast("long").alias("fuera"),
         )
         .orderBy("tramo")
     )
@@ -115,54 +124,83 @@ def _counted_values(df: DataFrame, columns: list[str], numeric: list[str]) -> Da
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def columns_profile(df: DataFrame) -> DataFrame:
+PROFILE = (
+    "columna string, tipo string, vacios long, unicos long, duplicados long, cantidad long, "
+    "media double, desviacion double, minimo double, p25 double, p50 double, p75 double, "
+    "maximo double"
+)
+
+
+def columns_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, empty, distinct, repeated and descriptive statistics of every scalar column.
 
-    Everything comes from one stored table of counted values. Statistics are null for columns
-    that are not numeric. The driver sees one row per column.
+    Counts, mean, deviation and extremes are one aggregation over one scan. Exact distinct counts
+    and quartiles come from a stored table of counted values, which can be as large as the input;
+    ``approximate`` takes sketches in the same aggregation instead and stores nothing. Statistics
+    are null for columns that are not numeric. The driver sees one row per column.
     """
     columns = scalar_columns(df)
     numeric = [n for n in numeric_columns(df) if n in columns]
+    if not columns:
+        return df.sparkSession.createDataFrame([], PROFILE)
+    parts = []
+    for i, name in enumerate(columns):
+        value = known(df, name)
+        number = value.cast("double") if name in numeric else F.lit(None).cast("double")
+        parts += [
+            F.count_if(value.isNull()).alias(f"vacios_{i}"),
+            F.avg(number).alias(f"media_{i}"),
+            F.stddev_samp(number).alias(f"desviacion_{i}"),
+            F.min(number).alias(f"minimo_{i}"),
+            F.max(number).alias(f"maximo_{i}"),
+        ]
+        if approximate:
+            key = value if name in numeric else match_key(as_text(df, name))
+            parts += [
+                F.approx_count_distinct(F.when(value.isNotNull(), key)).alias(f"unicos_{i}"),
+                F.percentile_approx(number, [0.25, 0.5, 0.75]).alias(f"cuartiles_{i}"),
+            ]
+    stats = df.agg(F.count(F.lit(1)).alias("filas"), *parts)
+
+    def entry(i: int, name: str) -> Column:
+        empty, rows = F.col(f"vacios_{i}"), F.col("filas")
+        unique = F.col(f"unicos_{i}") if approximate else F.lit(None).cast("long")
+        filled = rows - empty
+        shown = [F.get(f"cuartiles_{i}", F.lit(k)) if approximate else F.lit(None).cast("double") for k in range(3)]
+        return F.struct(
+            F.lit(name).alias("columna"),
+            F.lit(type_name(df.schema[name].dataType)).alias("tipo"),
+            empty.alias("vacios"),
+            F.least(unique, filled).alias("unicos"),
+            F.greatest(filled - unique, F.lit(0)).alias("duplicados"),
+            (filled if name in numeric else F.lit(None).cast("long")).alias("cantidad"),
+            *[F.col(f"{n}_{i}").alias(n) for n in ("media", "desviacion", "minimo")],
+            *[q.alias(p) for q, p in zip(shown, ("p25", "p50", "p75"), strict=True)],
+            F.col(f"maximo_{i}").alias("maximo"),
+        )
+
+    described = stats.select(F.inline(F.array(*[entry(i, n) for i, n in enumerate(columns)])))
+    if approximate:
+        # A null counts as one value, as in the exact form.
+        repeated = F.col("duplicados") + F.greatest(F.col("vacios") - 1, F.lit(0))
+        return described.withColumn("duplicados", repeated)
     counted = materialise(_counted_values(df, columns, numeric))
     quartiles = exact_quantiles(
         df, numeric, [0.25, 0.5, 0.75], counted.filter(F.col("valor").isNotNull())
     )
     fixed = df.sparkSession.createDataFrame(
-        [
-            (f.name, type_name(f.dataType), *quartiles.get(f.name, [None] * 3))
-            for f in df.schema.fields
-            if f.name in columns
-        ],
-        "columna string, tipo string, p25 double, p50 double, p75 double",
-    )
-    value, count, is_number = F.col("valor"), F.col("n"), F.col("columna").isin(*numeric)
-    known = F.sum(F.when(value.isNotNull(), count))
-    basic = counted.groupBy("columna").agg(
-        F.sum(F.when(F.col("nulo"), count).otherwise(0)).alias("vacios"),
-        F.count_if(~F.col("nulo")).alias("unicos"),
-        F.sum(count - 1).alias("duplicados"),
-        F.when(is_number, F.coalesce(known, F.lit(0))).alias("cantidad"),
-        (F.sum(value * count) / known).alias("media"),
-        F.min(value).alias("minimo"),
-        F.max(value).alias("maximo"),
-    )
-    squares = (
-        counted.join(F.broadcast(basic.select("columna", "media")), "columna")
-        .groupBy("columna")
-        .agg(F.sum((value - F.col("media")) * (value - F.col("media")) * count).alias("cuadrados"))
+        [(n, *quartiles.get(n, [None] * 3)) for n in columns],
+        "columna string, p25 double, p50 double, p75 double",
     )
-    deviation = F.when(
-        F.col("cantidad") > 1, F.sqrt(F.col("cuadrados") / (F.col("cantidad") - 1))
+    distinct = counted.groupBy("columna").agg(
+        F.count_if(~F.col("nulo")).alias("unicos"), F.sum(F.col("n") - 1).alias("duplicados")
     )
-    return (
-        fixed.join(F.broadcast(basic), "columna", "left")  # one row per column each
-        .join(F.broadcast(squares), "columna", "left")
-        .select(
-            "columna", "tipo",
-            *[F.coalesce(n, F.lit(0)).alias(n) for n in ("vacios", "unicos", "duplicados")],
-            F.coalesce("cantidad", F.when(is_number, 0)).alias("cantidad"), "media",
-            deviation.alias("desviacion"), "minimo", "p25", "p50", "p75", "maximo",
-        )
+    whole = described.drop("unicos", "duplicados", "p25", "p50", "p75")
+    whole = whole.join(F.broadcast(fixed), "columna").join(F.broadcast(distinct), "columna", "left")
+    zero = [F.coalesce(n, F.lit(0)).alias(n) for n in ("unicos", "duplicados")]
+    return whole.select(
+        "columna", "tipo", "vacios", *zero, "cantidad", "media", "desviacion", "minimo",
+        "p25", "p50", "p75", "maximo",
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .columns import column
+from .columns import known
 
 #: Up to this many (estimated) distinct values are ranked by one task per column.
 RANKED_VALUES = 2_000_000
@@ -139,7 +139,7 @@ def _narrow(
 def count_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """columna, valor, n: every non-null value of the columns, as double, with its count."""
     return (
-        df.select(*[column(df, name).cast("double").alias(name) for name in names])
+        df.select(*[known(df, name).cast("double").alias(name) for name in names])
         .unpivot([], list(names), "columna", "valor")
         .filter(F.col("valor").isNotNull())
         .groupBy("columna", "valor")
@@ -187,7 +187,7 @@ def exact_quantiles(
         picked = _pick(chosen, {name: ranks[name] for name in small}, limits)
     for name in ranks:
         if name not in small:
-            value = column(df, name).cast("double")
+            value = known(df, name).cast("double")
             for rank, v in _narrow(df, value, ranks[name], ranked_values).items():
                 picked[(name, rank)] = v
 

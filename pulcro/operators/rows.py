@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .columns import as_text, check_all, column, text_columns
+from .columns import as_text, check_all, column, known, missing, text_columns
 
 
 def keep_values(df: DataFrame, name: str | None, values: Sequence) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def fill_nulls(df: DataFrame, value: str, skip: Iterable[str] = ()) -> DataFrame:
-    """Nulls of every column become ``value``.
+    """Nulls, and NaN, of every column become ``value``.
 
     A column whose type cannot hold the value becomes text, decided from the schema and the
     value alone.
@@ -66,7 +66,7 @@ def fill_nulls(df: DataFrame, value: str, skip: Iterable[str] = ()) -> DataFrame
         if isinstance(kind, T.StringType):
             filled[name] = F.coalesce(column(df, name), F.lit(value))
         elif fits[name]:
-            filled[name] = F.coalesce(column(df, name), F.lit(value).cast(kind))
+            filled[name] = F.coalesce(known(df, name), F.lit(value).cast(kind))
         else:
             filled[name] = F.coalesce(as_text(df, name), F.lit(value))
     return df.withColumns(filled) if filled else df
@@ -129,13 +129,13 @@ def replace_values(
 
 
 def drop_empty_rows(df: DataFrame, columns: Iterable[str] | None = None, how="all") -> DataFrame:
-    """Without rows whose columns are all (or, with ``how='any'``, partly) null or blank."""
+    """Without rows whose columns are all (or, with ``how='any'``, partly) null, NaN or blank."""
     if how not in ("all", "any"):
         raise ValueError("how is 'all' or 'any'")
     names = check_all(df, columns) if columns is not None else df.columns
     texts = set(text_columns(df))
     empty = [
-        text.is_blank(column(df, n)) if n in texts else column(df, n).isNull() for n in names
+        text.is_blank(column(df, n)) if n in texts else missing(df, n) for n in names
     ]
     if not empty:
         return df
@@ -145,13 +145,21 @@ def drop_empty_rows(df: DataFrame, columns: Iterable[str] | None = None, how="al
     return df.filter(~condition)
 
 
+def _digest(columns: Iterable[Column], seed: str) -> Column:
+    """64 bits of some cells; a null is a value of its own, not the same as in another place."""
+    cells = [part for c in columns for part in (c.isNull(), c)]
+    return F.xxhash64(F.lit(seed), *cells)
+
+
 def drop_duplicate_rows(
     df: DataFrame, columns: Iterable[str] | None = None, order: str = "fila"
 ) -> DataFrame:
-    """The first row, by ``order``, of every group of equal rows.
+    """The first row, by ``order``, of every group of equal rows; all its cells are of one row.
 
-    Groups shrink to their first row before the shuffle, so a row repeated through a third of the
-    table costs one row per task; no window sorts the group.
+    A null ``order`` comes last. Of several rows that are first, one is chosen by its cells. Groups
+    shrink to the least order before the shuffle, so a row repeated through a third of the table
+    costs one row per task; then rows meet the least order of their group, named by 128 bits of the
+    key. No window or sort of whole groups is needed.
     """
     keys = check_all(df, columns) if columns is not None else [n for n in df.columns if n != order]
     others = [n for n in df.columns if n not in keys and n != order]
@@ -159,14 +167,15 @@ def drop_duplicate_rows(
     if not others:
         first = df.groupBy(*keyed).agg(F.min(order).alias(order))
         return first.select(*[column(df, n) for n in df.columns])
-    rest = F.struct(*[column(df, n) for n in [order, *others]])
-    first = df.groupBy(*keyed).agg(F.min_by(rest, F.col(order)).alias("__primera"))
-    return first.select(
-        *[
-            column(df, n) if n in keys else F.col("__primera").getField(n).alias(n)
-            for n in df.columns
-        ]
-    )
+    group = ["__g1", "__g2"]
+    named = df.withColumns({g: _digest(keyed, g) for g in group})
+    least = named.groupBy(*group).agg(F.min(order).alias("__least"))
+    first = named.join(least, group).where(column(df, order).eqNullSafe(F.col("__least")))
+    first = first.withColumn("__tie", _digest([column(df, n) for n in others], "tie"))
+    chosen = first.groupBy(*group).agg(F.min("__tie").alias("__chosen"))
+    whole = first.join(chosen, group).where(F.col("__tie") == F.col("__chosen"))
+    # What is left of a group is one row, or the same row several times.
+    return whole.select(*[column(df, n) for n in df.columns]).distinct()
 
 
 def impact(before: DataFrame, after: DataFrame) -> DataFrame:

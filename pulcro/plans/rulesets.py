@@ -118,6 +118,16 @@ def load_assignments(parsed: DataFrame, name: str) -> tuple[dict, dict] | None:
     return assignments, parameters
 
 
+def quality_assignments(parsed: DataFrame, name: str) -> dict[str, list[str]] | None:
+    """Assignment of one quality rule set, the rules its flags ask for; None when there is none."""
+    key = text.safe_name(F.lit(name))
+    row = quality_settings(parsed.filter(F.col("archivo") == key)).first()
+    if row is None or row["columna"] is None:
+        return None
+    flags = (("validar_email", "Email"), ("validar_telefono", "Teléfono"))
+    return {row["columna"]: [rule for flag, rule in flags if row[flag]]}
+
+
 def exists(keyed: DataFrame, name: str, key: str = "clave") -> bool:
     """Whether a rule set is stored under the safe form of the name."""
     return not keyed.filter(F.col(key) == text.safe_name(F.lit(name))).isEmpty()
@@ -161,9 +171,14 @@ def stamp(rule_sets: DataFrame, moment: Column | None = None) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The table with the incoming rule sets put in place of those stored under the same key."""
-    keys = incoming.select("clave").distinct()
-    return stored.join(keys, "clave", "left_anti").unionByName(incoming)
+    """The table with the incoming rule sets put in place of those stored under the same key.
+
+    Names that differ can share a key; of such incoming rule sets the last one is stored.
+    """
+    numbered = incoming.withColumn("__orden", F.monotonically_increasing_id())
+    last = numbered.groupBy("clave").agg(F.max_by("nombre", "__orden").alias("__ultimo"))
+    chosen = incoming.join(last, "clave").where(F.col("nombre").eqNullSafe(F.col("__ultimo")))
+    return stored.join(last, "clave", "left_anti").unionByName(chosen.drop("__ultimo"))
 
 
 def delete(stored: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

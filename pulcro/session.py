@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-#: Tables up to this size may lie in fewer splits than there are cores.
-SPREAD_BYTES = 256 * 1024 * 1024
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
@@ -53,15 +50,3 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def spread(buckets: int = 1024) -> Column:
     """Bucket number that spreads rows evenly, whatever their values are."""
     return F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deals the rows of a small table to all cores before costly work on each row.
-
-    A small file is one split, hence one task. Beyond ``SPREAD_BYTES``, by the estimate of the
-    optimizer, a table has splits enough and is left alone: nothing large is ever shuffled here.
-    """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

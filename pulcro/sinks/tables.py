@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.analysis import Analysis
+from ..session import scratch_path
 
 # Characters a section label may not hold, its greatest length, and its name when nothing is
 # left. Fixed values.
@@ -29,8 +30,13 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, name: str) -> DataFrame:
-    """Makes the result available by name to whatever analyses it next."""
-    df.createOrReplaceTempView(name)
+    """Makes the result available by name to whatever analyses it next.
+
+    The result is stored first, so that its plan does not run once for every analysis.
+    """
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    df.sparkSession.read.schema(df.schema).parquet(path).createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 

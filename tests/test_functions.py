@@ -123,16 +123,28 @@ def test_country_word_boundary(texts):
     assert [r["pais_codigo"] for r in df.orderBy("fila").collect()] == [None, "US"]
 
 
-@pytest.mark.parametrize("literal_names", [2_000, 0])
-def test_country_table_both_ways(spark, texts, monkeypatch, literal_names):
-    """A gazetteer beyond the literal size gives the same codes through the join."""
-    monkeypatch.setattr(country, "LITERAL_NAMES", literal_names)
+def test_country_table(spark, texts):
     rows = [(name, code, i) for i, (name, code) in enumerate(country.PLACES.items())]
-    gazetteer = spark.createDataFrame(rows, "nombre string, codigo string, pos int")
-    df = country.with_country_code_from(texts(list(ADDRESSES)), "v", gazetteer, "fila")
+    gazetteer = spark.createDataFrame([*rows, ("", "X", -1), ("sin dato", None, -1)], "nombre string, codigo string, pos int")
+    df = country.with_country_code_from(texts(list(ADDRESSES)), "v", gazetteer)
     assert [r["pais_codigo"] for r in df.orderBy("fila").collect()] == list(ADDRESSES.values())
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_country_table_of_any_size_with_repeated_and_long_texts(spark, texts, monkeypatch, few):
+    """Names broadcast or shuffled, names longer than a stretch, names that cross stretches."""
+    monkeypatch.setattr(country, "is_small", lambda df: df.count() <= few)
+    monkeypatch.setattr(country, "STRETCH", 7)
+    names = [("peru", "PE", 0), ("chile", "CL", 1), ("peru", "XX", 2), ("republica de chile del sur", "RC", 3)]
+    gazetteer = spark.createDataFrame(names, "nombre string, codigo string, pos int")
+    given = ["de Perú", "a chile", None, "en peru", "x" * 50 + "chile" + "y" * 50, "a chile", "República de Chile del Sur", "per", ""]
+    df = country.with_country_code_from(texts(given), "v", gazetteer)
+    assert [r["pais_codigo"] for r in df.orderBy("fila").collect()] == ["PE", "CL", None, "PE", "CL", "CL", "RC", None, None]
+    whole = country.with_country_code_from(texts(["perus", "un peru.", "xchile chile"]), "v", gazetteer, word_boundary=True)
+    assert [r["pais_codigo"] for r in whole.orderBy("fila").collect()] == [None, "PE", "CL"]
+    assert country.with_country_code_from(texts(given), "v", gazetteer.limit(0)).filter("pais_codigo is not null").count() == 0
+
+
 def clean_in_python(value):
     if value is None:
         return None

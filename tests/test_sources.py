@@ -314,13 +314,6 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(folder)
 
 
-def test_large_tables_are_not_spread(spark, sf, monkeypatch):
-    df = table(spark, sf, "orders")
-    assert "RoundRobin" in session.spread_small(df)._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(session, "SPREAD_BYTES", 10)
-    assert session.spread_small(df) is df
-
-
 def test_decimals_are_numbers(spark):
     from pulcro.operators import profile
 
