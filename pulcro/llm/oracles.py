@@ -102,3 +102,89 @@ FROM d
 
 
 ORACLES["op4_sharding"] = _sharding()
+
+
+def _secrets() -> str:
+    def q(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    # The base patterns, written out once more; the last column is the group and its least length.
+    keyword, value = "(?i:password|passwd|secret|token|api_?key)", "[A-Za-z0-9+/_.=-]+"
+    assign = "(" + keyword + ")[\"']?\\x20*[:=]\\x20*[\"']?(" + value + ")"
+    kinds = (
+        (0, "assign", assign, f"length(regexp_extract(hit, {q(assign)}, 2)) >= 12"),
+        (1, "access", "AKIA[A-Z0-9]+", "length(hit) >= 18"),
+        (2, "hex", "[0-9a-f]+", "length(hit) >= 16"),
+        (3, "entropy", "[A-Za-z0-9+/_=-]{20,}", "entropy"),
+    )
+    told = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    parts = " UNION ALL ".join(
+        f"SELECT r, {rank} AS rank, '{kind}' AS kind, unnest(regexp_extract_all(text, {q(p)}, 0)) AS hit, "
+        f"unnest(list_slice(string_split_regex(text, {q(p)}), 1, -2)) AS gap, "
+        f"unnest(range(len(regexp_extract_all(text, {q(p)}, 0)))) AS i FROM d WHERE regexp_matches(text, {q(p)})"
+        for rank, kind, p, _ in kinds
+    )
+    good = " OR ".join(f"(rank = {rank} AND {test})" for rank, _, _, test in kinds[:3])
+    windows = (
+        "list_max(list_transform(range(length(hit) - 19), lambda i: log2(20) - list_sum(list_transform("
+        "map_values(list_histogram(string_split(substr(hit, i + 1, 20), ''))), lambda c: c * log2(c))) / 20))"
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({parts}),
+s AS (
+    SELECT *, (sum(length(gap) + length(hit)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS b FROM m
+), p AS (SELECT r, rank, kind, hit, b - length(hit) AS a, b FROM s),
+base AS (SELECT * FROM p WHERE {good}),
+tried AS (
+    SELECT *, {windows} AS most FROM p WHERE rank = 3
+        AND NOT regexp_full_match(hit, '[^0-9]+') AND NOT regexp_full_match(hit, '[0-9+/_=-]+')
+        AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
+        AND NOT regexp_matches(hit, '(?i)example|changeme|placeholder|dummy|xxxx|your')
+        AND len(list_distinct(list_transform(range(length(hit)),
+            lambda k: (k % 2) || substr(hit, k + 1, 1)))) > 2
+), found AS (
+    SELECT r, rank, kind, hit, a, b FROM base UNION ALL
+    SELECT r, rank, kind, hit, a, b FROM tried
+    WHERE most >= CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3.0
+            WHEN regexp_full_match(hit, '[A-Za-z0-9]+') THEN 3.6 ELSE 3.7 END
+        AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = tried.r AND base.a < tried.b AND tried.a < base.b)
+)
+SELECT any_value(d.doc_id) AS doc_id,
+    count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'entropy') AS n_entropy,
+    sha256(coalesce({told} FILTER (kind <> 'entropy'), '')) AS base_sha256,
+    coalesce({told} FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN found ON found.r = d.r GROUP BY d.r
+"""
+
+
+ORACLES["op2_secret_scan"] = _secrets()
+ORACLES["op10_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT r, unnest(list_transform(
+        range(CASE WHEN len(words) = 0 THEN 0 ELSE greatest(len(words) - 4, 1) END),
+        lambda i: array_to_string(words[i + 1 : i + 5], ' '))) AS shingle
+    FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r
+    GROUP BY a.r, b.r
+), links AS (
+    SELECT x.a, x.b, x.n = na.n AND x.n = nb.n AS same
+    FROM shared x JOIN n na ON na.r = x.a JOIN n nb ON nb.r = x.b
+    WHERE x.n >= 0.8 * (na.n + nb.n - x.n)
+), reach AS (
+    SELECT r AS a, r AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), classes AS (
+    SELECT reach.a AS r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a
+), counts AS (
+    SELECT a AS r, count(*) FILTER (same) AS n_copies, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT d.doc_id, class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN classes USING (r) LEFT JOIN counts USING (r)
+"""
