@@ -629,6 +629,12 @@ def dated(c: str, target: str) -> str:
 
 
 add("dates_column", f"SELECT fila, {dated('cli_fecha', '%d/%m/%Y')} AS fecha FROM clientes")
+add(
+    "dates_column_dayfirst",
+    "SELECT fila, CASE cli_fecha WHEN '2024-03-04' THEN '03/04/2024' WHEN '12/25/2024' "
+    "THEN '25/12/2024' WHEN '4 Mar 2024' THEN '04/03/2024' WHEN '03.04.2024' THEN '03/04/2024' "
+    "ELSE cli_fecha END AS fecha FROM clientes",
+)
 add(
     "dates_all_columns",
     "SELECT fila, "

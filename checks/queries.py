@@ -475,6 +475,13 @@ def dates_column(spark, folder):
     return dates.standardise(df, ["fecha"])
 
 
+@query
+def dates_column_dayfirst(spark, folder):
+    """Day before month wherever that makes a date, also in dates that begin with the year."""
+    df = clientes(spark, folder).select("fila", F.col("cli_fecha").alias("fecha"))
+    return dates.standardise(df, ["fecha"], preset=dates.DAYFIRST_COMPAT)
+
+
 @query
 def dates_all_columns(spark, folder):
     plan = CleaningPlan(dates=ALL_TEXT, date_format="YYYY-MM-DD")

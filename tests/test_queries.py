@@ -50,3 +50,44 @@ def test_rule_pass_is_one_scan(spark, sf):
     plan = QUERIES["column_error_rate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert "cli_fecha" not in plan and "c_mktsegment" not in plan
+
+
+def test_first_of_equal_rows_sorts_no_groups(spark, sf):
+    plan = QUERIES["drop_duplicate_rows_by_key"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Window" not in plan
+
+
+def test_approximate_profile_stores_nothing_and_shuffles_one_row(spark, sf):
+    from pulcro.operators import metrics, profile
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for found in (profile.columns_profile(df, approximate=True), metrics.quality_metrics_all(df, approximate=True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "RDDScan" not in plan and "hashpartitioning" not in plan
+    exact = {r["columna"]: r for r in profile.columns_profile(df).collect()}
+    for row in profile.columns_profile(df, approximate=True).collect():
+        other = exact[row["columna"]]
+        assert (row["vacios"], row["cantidad"], row["minimo"], row["maximo"]) == (
+            other["vacios"], other["cantidad"], other["minimo"], other["maximo"],
+        )
+        assert abs(row["unicos"] - other["unicos"]) <= 0.15 * other["unicos"]
+
+
+def test_missing_values_of_the_profile(spark):
+    from pulcro.operators import profile, rows
+
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (2.0, None), (None, "a")], "x double, t string")
+    row = next(r for r in profile.columns_profile(df).collect() if r["columna"] == "x")
+    assert (row["vacios"], row["cantidad"], row["media"], row["maximo"]) == (2, 2, 1.5, 2.0)
+    assert [r["x"] for r in rows.fill_nulls(df, "0").collect()] == [1.0, 0.0, 2.0, 0.0]
+    assert rows.drop_empty_rows(df, how="any").count() == 1
+
+
+def test_duplicate_rows_keep_whole_rows(spark):
+    from pulcro.operators import rows
+
+    given = [(None, "a", "x"), (None, "a", "y"), (3, "b", None), (2, "b", "z"), (2, "b", "w"), (None, "b", "v"), (1, None, "n")]
+    df = spark.createDataFrame(given, "fila int, k string, c string")
+    found = {r["k"]: tuple(r) for r in rows.drop_duplicate_rows(df, ["k"]).collect()}
+    assert found["a"] in given and found["b"] in [(2, "b", "z"), (2, "b", "w")] and found[None] == (1, None, "n")
+    assert len(found) == 3
