@@ -1,0 +1,34 @@
+"""Queries that SQL can say equal their SQL; all are registered under their numbers."""
+
+import re
+from pathlib import Path
+
+import __spark_entry__ as contract
+import duckdb
+import pytest
+from pulcro.llm.oracles import ORACLES
+from pulcro.llm.queries import QUERIES
+from tools.compare import bag
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    connection = duckdb.connect()
+    for path in sorted(Path(sf).glob("*.parquet")):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def test_each_operator_has_one_query():
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert set(ORACLES) <= set(QUERIES) and set(ORACLES) <= set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_its_sql(spark, sf, duck, name):
+    df = QUERIES[name](spark, sf)
+    result = duck.execute(ORACLES[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert bag(df.columns, df.collect()) == bag(names, result.fetchall())
