@@ -74,6 +74,13 @@ class LineRuns:
                 self.spark.sql(f"DROP TABLE {each}")
             self._push(level + 1, merged)
 
+    def drop(self) -> None:
+        """Takes the runs out of the catalogue; their files lie in the shared folder."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
     def merged(self, names: list[str] | None = None) -> DataFrame:
         """One row a key over the given runs (all by default): documents in all and the keeper."""
         tables = [self.spark.table(n) for n in names] if names is not None else self.runs()
@@ -120,7 +127,8 @@ def dropped_lines(
     for k in range(len(set(edges)) + 1):
         holders = lines.where(F.col("batch") == k).groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
         runs.add(holders.groupBy(*KEY).agg(F.count("one").alias("n"), F.max("doc_id").alias("top")))
-    frequent = runs.merged().where(F.col("n") >= min_documents).select(*KEY, "keeper")
+    frequent = store(runs.merged().where(F.col("n") >= min_documents).select(*KEY, "keeper"), "frequent")
+    runs.drop()
     hits = lines.join(frequent, KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return hits.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
