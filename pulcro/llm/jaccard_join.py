@@ -29,7 +29,7 @@ PLACES = 64
 ALIKE = 0.55
 RECALL, DEPTH = 0.9999, 3
 #: Nodes of up to so many sets are compared by brute force; at the last depth all are, in blocks.
-NODE_SETS, LAST_DEPTH = 512, 6
+NODE_SETS, LAST_DEPTH = 2048, 6
 BLOCK_SETS = 256
 _SEEDS = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
