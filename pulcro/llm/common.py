@@ -13,6 +13,9 @@ from pulcro.session import scratch_path
 
 #: Rows per numbered block: bounds the window that counts within a block.
 BLOCK_ROWS = 65_536
+#: Rows that a Python worker gets at a time while a table is stored.
+BATCH_ROWS = 1_024
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder; later plans read the files, whatever executors die."""
+    """Writes ``df`` once to the shared folder; later plans read the files, whatever executors die.
+
+    While it is written, Python workers get batches of at most ``BATCH_ROWS`` rows: texts can be long,
+    and a worker holds a batch several times over. The session's own setting is put back afterwards.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    given = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(given) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, given)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ UNITS = frozenset(
 )
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
 #: What a placeholder of each kind hashes to.
-SLOT = {k: hash64(b"slot", bytes([k])) for k in (NUMBER, NAME, UNIT)}
+SLOT = {k: hash64(b"slot", k) for k in (NUMBER, NAME, UNIT)}
 EDGES = re.compile(r"^\W+|\W+$")
 AMOUNT = re.compile(r"[\d][\d.,:/]*([^\W\d]*)")
 
@@ -53,9 +53,11 @@ class Canon(dict):
         self.ends = np.zeros(1024, dtype=bool)
 
     def __missing__(self, word: str) -> int:
-        core = EDGES.sub("", word)
+        core = word.strip(".,;:!?") if word[:1].isalpha() else word
+        if not core.isalpha():
+            core = EDGES.sub("", word)
         low = core.lower()
-        amount = AMOUNT.fullmatch(core)
+        amount = AMOUNT.fullmatch(core) if core[:1].isdigit() else None
         if not core:
             kind = NOTHING
         elif amount and (not amount[1] or amount[1].lower() in UNITS):
@@ -170,7 +172,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", *text_key(text_or_empty()), text_or_empty().alias("text"))
-    hits = slim.mapInPandas(find, f"doc_id {kind}, t1 long, t2 long, h long, at long, own array<string>")
+    schema = f"doc_id {kind}, t1 long, t2 long, h long, at long, own array<string>"
+    hits = store(slim.mapInPandas(find, schema), "hits")
     met = hits.join(items, "h").where(F.size("own") == F.size("slots"))
     # Every slot pairs a value of the item with one of the document.
     pairs = F.zip_with("slots", "own", lambda a, b: F.struct(a.alias("a"), b.alias("b")))

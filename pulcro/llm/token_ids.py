@@ -8,7 +8,7 @@ import re
 import struct
 
 #: Words kept in memory by one Python worker, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: Letters up to here are letters to every version of the Unicode tables that the libraries carry.
 SETTLED = "ɏ"
 _SPACES = re.compile(r"\s\s")
