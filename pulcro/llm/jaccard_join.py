@@ -27,7 +27,7 @@ THRESHOLD, WIDTH = 0.8, 5
 PLACES = 64
 #: Sketches must agree at this share of places to be compared exactly: five deviations below 0.8.
 ALIKE = 0.55
-RECALL, DEPTH = 0.9999, 3
+RECALL = 0.9999
 #: Nodes of up to so many sets are compared by brute force; at the last depth all are, in blocks.
 NODE_SETS, LAST_DEPTH = 2048, 6
 BLOCK_SETS = 256
@@ -46,6 +46,33 @@ def runs_needed(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def recall_of(runs: int, depth: int) -> float:
+    """Share of the pairs at the threshold that meet in ``runs`` down to ``depth`` and look alike.
+
+    All runs draw from one sketch, so the places at which a pair agrees are binomial and the same in
+    all of them: a pair that agrees at few has less of a chance in every run.
+    """
+    found = 0.0
+    for agree in range(math.ceil(ALIKE * PLACES), PLACES + 1):
+        chance = math.comb(PLACES, agree) * THRESHOLD**agree * (1 - THRESHOLD) ** (PLACES - agree)
+        alive = 1.0
+        for _ in range(depth):
+            # Each place that agrees is drawn with probability 1 / (THRESHOLD * PLACES).
+            alive = 1 - (1 - alive / (THRESHOLD * PLACES)) ** agree
+        found += chance * (1 - (1 - alive) ** runs)
+    return found
+
+
+def runs_for(recall: float, depth: int) -> int:
+    """Least runs that reach ``recall`` down to ``depth``, with the spread of the sketches."""
+    if recall_of(10**6, depth) < recall:
+        raise ValueError(f"sketches of {PLACES} places cannot reach a recall of {recall}")
+    runs = runs_needed(recall, depth)
+    while recall_of(runs, depth) < recall:
+        runs += 1
+    return runs
+
+
 def sketch(keys: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions over a set, its low 32 bits."""
     least = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -241,7 +268,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     nodes = twins.select("sid", "sketch")
     equal = twins.where("many > 1").select("sketch", F.col("sid").alias("a"))
     equal = sets.select("sketch", F.col("sid").alias("b")).join(equal, "sketch").select("a", "b").where("a <> b")
-    edges = equal.unionByName(_alike(nodes, runs_needed(RECALL, DEPTH)))
+    edges = equal.unionByName(_alike(nodes, runs_for(RECALL, LAST_DEPTH)))
     groups = store(components(edges), "groups")
 
     # Members of a group are dealt to blocks; each pair of blocks is compared once.

@@ -97,3 +97,20 @@ def test_sketches_estimate_the_similarity():
         for i in range(0, 2000, 100)
     ]
     assert np.mean(agree) == pytest.approx(0.8, abs=0.05)
+
+
+def test_recall_holds_down_to_the_last_depth():
+    """Drawn pairs at the threshold, with one sketch for all runs as the operator has it."""
+    rng = np.random.default_rng(3)
+    depth, pairs = jaccard_join.LAST_DEPTH, 20_000
+    runs = jaccard_join.runs_for(jaccard_join.RECALL, depth)
+    agree = rng.binomial(jaccard_join.PLACES, jaccard_join.THRESHOLD, pairs)
+    met = np.zeros(pairs, dtype=bool)
+    for _ in range(runs):
+        nodes = np.ones(pairs, dtype=int)
+        for _ in range(depth):
+            nodes = rng.binomial(nodes * agree, 1 / (jaccard_join.THRESHOLD * jaccard_join.PLACES))
+        met |= nodes > 0
+    assert met.mean() >= 0.9995
+    assert jaccard_join.recall_of(runs, depth) >= jaccard_join.RECALL
+    assert jaccard_join.recall_of(20, depth) < 0.993
