@@ -188,3 +188,15 @@ shared AS (
 SELECT d.doc_id, class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
 FROM d LEFT JOIN classes USING (r) LEFT JOIN counts USING (r)
 """
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+f AS (
+    SELECT *, strlen(html) AS n, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first
+    FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+    CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to,
+    url AS target_uri, NULL::VARCHAR AS problem
+FROM f
+"""

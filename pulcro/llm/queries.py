@@ -16,6 +16,8 @@ from pulcro.llm.quality import classify
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
 from pulcro.llm.topk import top_k
+from pulcro.llm.warc import read_warc, resolve_revisits, write_warc
+from pulcro.session import scratch_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -85,6 +87,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    found = resolve_revisits(read_warc(spark, path, payloads=False))
+    revisit = F.col("record_type") == "revisit"
+    return found.select(
+        F.col("page").cast("long").alias("page_id"),
+        F.col("full_bytes").alias("payload_bytes"),
+        F.col("full_digest").alias("payload_digest"),
+        "record_type",
+        F.when(revisit, F.col("full_page").cast("long")).alias("refers_to"),
+        "target_uri",
+        "problem",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,5 +116,6 @@ QUERIES = {
         op8_line_dedup,
         op9_lm_scoring,
         op10_ngram_jaccard_join,
+        op13_warc,
     )
 }
