@@ -73,17 +73,30 @@ def _descend(tree: list[tuple[int, int, int]]) -> str:
     return f"({numbers}[{at}])"
 
 
-def _sharding() -> str:
-    def tree(n: int) -> list[tuple[int, int, int]]:
-        return [(k // 8, k // 4 % 2, k % 4) for k in range(n)]
-
-    # The table of CRC-32: eight halvings of each byte with the reflected polynomial.
+def _crc_table() -> str:
+    """The table of CRC-32: eight halvings of each byte with the reflected polynomial."""
     halving = "xor(c >> 1, (c & 1) * 3988292384)"
     entry = "b"
     for _ in range(8):
         entry = halving.replace("c", f"({entry})") if entry == "b" else f"list_transform([{entry}], lambda c: {halving})[1]"
+    return f"list_transform(range(256), lambda b: {entry})"
+
+
+def _crc_of_number(number: str) -> str:
+    """CRC-32 of the decimal text of a number, with the table ``t.crc``."""
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return (
+        f"xor(4294967295, list_reduce(list_concat([4294967295], {codes}), "
+        "lambda c, x: xor(c >> 8, t.crc[1 + (xor(c, x) & 255)])))"
+    )
+
+
+def _sharding() -> str:
+    def tree(n: int) -> list[tuple[int, int, int]]:
+        return [(k // 8, k // 4 % 2, k % 4) for k in range(n)]
+
     return f"""
-WITH t AS (SELECT list_transform(range(256), lambda b: {entry}) AS crc),
+WITH t AS (SELECT {_crc_table()} AS crc),
 d AS (
     SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
         xor(4294967295, list_reduce(
@@ -200,3 +213,36 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
     url AS target_uri, NULL::VARCHAR AS problem
 FROM f
 """
+ORACLES["op11_periodic_runs"] = f"""
+WITH t AS (SELECT {_crc_table()} AS crc),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id, {_crc_of_number("doc_id")} AS h,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS own
+    FROM documents, t
+), g AS (SELECT *, h // 10 AS g, len(own) AS n FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (
+    SELECT r, i, CASE WHEN i >= a THEN own[1 + a + (i - a) % p] ELSE own[1 + i] END AS word
+    FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), same AS (
+    SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND x.i < y.i
+), island AS (
+    SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same
+), stretch AS (
+    SELECT r, q, min(i) AS s, count(*) + q AS l FROM island GROUP BY r, q, k
+), runs AS (
+    SELECT r, s, l, min(q) AS q FROM stretch WHERE l >= 2 * q AND l >= 12 GROUP BY r, s, l
+), longest AS (
+    SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY l DESC, s, q) = 1
+), told AS (
+    SELECT r, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM runs GROUP BY r
+), gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS words, count(*) AS n FROM w ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(told.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,
+    (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(told.runs, '')) AS runs_sha256,
+    sha256(coalesce(words, '')) AS collapsed_sha256, coalesce(kept.n, 0)::BIGINT AS n_kept
+FROM d LEFT JOIN longest USING (r) LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""

@@ -12,6 +12,7 @@ from pulcro.llm.jaccard_join import similar_documents
 from pulcro.llm.line_dedup import dedup_lines
 from pulcro.llm.lm_scoring import score_documents
 from pulcro.llm.packing import pack_documents
+from pulcro.llm.periodic_runs import find_runs
 from pulcro.llm.quality import classify
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
@@ -87,6 +88,30 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """In a tenth of the documents the words from one on repeat with a period; both follow from the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = (h / 10).cast("long")
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    rows = docs.select("doc_id", g.alias("g"), F.col("text").alias("plain"), F.when(h % 10 == 0, words).alias("text"))
+    n = "size(text)"
+    rows = rows.withColumn("a", F.expr(f"cast(if({n} > 0, g % {n}, 0) as int)"))
+    rows = rows.withColumn("p", F.expr(f"cast(1 + floor(({n} - a) / (3 + g % 8)) as int)"))
+    cycle = f"flatten(array_repeat(slice(text, a + 1, p), cast(ceil(({n} - a) / p) as int)))"
+    planted = f"array_join(concat(slice(text, 1, a), slice({cycle}, 1, {n} - a)), ' ')"
+    return rows.select("doc_id", F.expr(f"if(text is null, plain, {planted})").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    told = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.select("doc_id", "found.*").selectExpr(
+        "doc_id", "n_runs", "start", "length", "period",
+        "cast(floor(1000 * length / period) as bigint) as exponent_milli",
+        f"sha2({told}, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256", "n_kept",
+    )
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -116,6 +141,7 @@ QUERIES = {
         op8_line_dedup,
         op9_lm_scoring,
         op10_ngram_jaccard_join,
+        op11_periodic_runs,
         op13_warc,
     )
 }
