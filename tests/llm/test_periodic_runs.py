@@ -65,7 +65,7 @@ def test_time_does_not_follow_the_square():
 def test_rows(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t "), (4, "a " * 11), (5, "\x0ba " * 12 + "b"), (5, "\x0ba " * 12 + "b"),
-        (None, "x y z " * 6), (6, "a b c d e f " * 2 + "q " + "u v " * 6), (7, "w" * 50_000),
+        (None, "x\u00a0y z " * 6), (6, "a b c d e f " * 2 + "q " + "u v " * 6), (7, "w" * 50_000),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("period", F.lit(2))
     found = periodic_runs.find_runs(docs)
@@ -77,7 +77,7 @@ def test_rows(spark):
         assert told[k] == (0, 0, None, None, None, "")
     assert told[4] == (11, 0, None, None, None, ("a " * 11)[:-1])
     assert told[5] == (2, 1, 0, 12, 1, "a b")
-    assert told[None] == (2, 1, 0, 12, 2, "x y z")
+    assert told[None] == (2, 1, 0, 12, 2, "x\u00a0y z")
     assert told[6][:5] == (9, 2, 0, 12, 6) and told[7][:2] == (1, 0)
     runs = [tuple(r) for k, f in answers if k == 6 for r in f["runs"]]
     assert runs == [(0, 12, 6), (13, 12, 2)]
