@@ -246,3 +246,34 @@ SELECT doc_id, coalesce(told.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIG
     sha256(coalesce(words, '')) AS collapsed_sha256, coalesce(kept.n, 0)::BIGINT AS n_kept
 FROM d LEFT JOIN longest USING (r) LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
 """
+ORACLES["op12_prefix_trie"] = f"""
+WITH t AS (SELECT {_crc_table()} AS crc),
+o AS (
+    SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, list(said ORDER BY i) AS own, any_value(h) AS h FROM o JOIN (
+        SELECT conv_id, {_crc_of_number("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), t
+    ) USING (conv_id) GROUP BY conv_id
+), b AS (
+    SELECT c.conv_id, list_concat(coalesce(f.own, [])[1 : c.h], c.own[c.h + 1 :]) AS said
+    FROM c LEFT JOIN c f ON f.conv_id = c.conv_id - c.conv_id % 5
+), m AS (
+    SELECT conv_id, len(said) AS n, unnest(range(len(said) + 1)) AS depth, said FROM b
+), p AS (SELECT conv_id, n, depth, said[1 : depth]::VARCHAR AS prefix, said[1 : depth - 1]::VARCHAR AS up,
+        CASE WHEN depth > 0 THEN strlen(said[depth].t) ELSE 0 END AS bytes FROM m
+), v AS (
+    SELECT depth, prefix, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+        string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+    FROM p GROUP BY depth, prefix
+), k AS (SELECT depth - 1 AS depth, up AS prefix, count(*) AS n FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN k USING (depth, prefix)),
+below AS (
+    SELECT p.depth, p.prefix, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved
+    FROM w JOIN p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.prefix
+)
+SELECT w.conv_id, w.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves,
+    saved::BIGINT AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN below USING (depth, prefix) LEFT JOIN v a ON a.depth = w.depth - 1 AND a.prefix = w.up AND w.depth > 0
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulcro.llm.common import table
+from pulcro.llm.common import store, table
 from pulcro.llm.decontaminate import contaminations
 from pulcro.llm.html_text import extract_text
 from pulcro.llm.jaccard_join import similar_documents
@@ -13,6 +13,7 @@ from pulcro.llm.line_dedup import dedup_lines
 from pulcro.llm.lm_scoring import score_documents
 from pulcro.llm.packing import pack_documents
 from pulcro.llm.periodic_runs import find_runs
+from pulcro.llm.prefix_trie import numbered_turns, prefix_trie
 from pulcro.llm.quality import classify
 from pulcro.llm.secret_scan import find_secrets
 from pulcro.llm.sharding import regular_tree, shard_documents
@@ -112,6 +113,27 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that begin with up to eight turns of the first of their five; turns and all numbers."""
+    ids = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    ids = ids.withColumns({
+        "h": F.crc32(F.col("conv_id").cast("string")) % 9, "base": F.col("conv_id") - F.col("conv_id") % 5,
+    })
+    lenders = ids.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    ids = ids.join(lenders, "base", "left").withColumn("lent", F.least("h", F.coalesce("base_n", F.lit(0).cast("long"))))
+    ids = store(ids.withColumn("n_turns", F.col("lent") + F.greatest(F.col("n") - F.col("h"), F.lit(0))), "rebuilt")
+    own = turns.join(ids, "conv_id").where("place >= h").withColumn("depth", F.expr("lent + place - h + 1"))
+    lent = turns.where("place < 8").withColumnRenamed("conv_id", "base").join(ids, "base").where("place < h")
+    lent = lent.withColumn("depth", F.col("place") + 1)
+    columns = ["conv_id", "depth", "n_turns", "t1", "t2", "bytes"]
+    return own.select(*columns).unionByName(lent.select(*columns)), ids.select("conv_id", "n_turns")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = store(numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(*_rebuilt(turns))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -142,6 +164,7 @@ QUERIES = {
         op9_lm_scoring,
         op10_ngram_jaccard_join,
         op11_periodic_runs,
+        op12_prefix_trie,
         op13_warc,
     )
 }
