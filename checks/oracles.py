@@ -861,6 +861,35 @@ add(
     "ELSE o_orderstatus END AS b, CASE WHEN o_orderkey % 11 <> 5 THEN o_orderpriority END AS c "
     "FROM orders) WHERE o_orderkey % 11 <> 3",
 )
+QUOTED = (
+    f"(SELECT {place('p_partkey')}, p_partkey AS p, CASE WHEN p_partkey % 50 = 1 THEN 'two' || chr(10) || 'lines ' || "
+    "p_partkey ELSE p_name END AS nombre, p_size::VARCHAR AS medida FROM part)"
+)
+add(
+    "ingest_unclosed_quote",
+    f"SELECT fila, p::VARCHAR AS k, nombre, medida FROM {QUOTED} WHERE p % 100 NOT IN (80, 90)",
+)
+add(
+    "ingest_unclosed_quote_bad",
+    "SELECT fila, p || ',' || CASE p % 100 WHEN 80 THEN '\"abierta' ELSE 'x\",\"y' END || ',' || medida AS registro "
+    f"FROM {QUOTED} WHERE p % 100 IN (80, 90)",
+)
+add(
+    "ingest_bad_files",
+    "SELECT lpad((c_custkey // 25)::VARCHAR, 8, '0') AS cubo, CASE WHEN any_value(c_custkey // 25 % 5) < 2 "
+    "THEN count(*) ELSE 0 END AS filas, CASE any_value(c_custkey // 25 % 5) WHEN 2 THEN 'Codificación UTF-16' "
+    "WHEN 3 THEN 'Contiene bytes nulos (binario o UTF-16 sin marca)' WHEN 4 THEN 'Codificación distinta de UTF-8' "
+    "END AS problema FROM customer GROUP BY c_custkey // 25 UNION ALL "
+    "SELECT 'zz_entero', count(*), NULL FROM customer WHERE c_custkey < 25 UNION ALL "
+    "VALUES ('zz_cortado', 0, 'Comprimido truncado o dañado'), ('zz_vacio', 0, 'Archivo vacío'), "
+    "('zz_corto', 0, 'Sin fila de encabezado')",
+)
+add(
+    "ingest_bad_files_rows",
+    f"SELECT {place('copia, c_custkey')}, c_custkey::VARCHAR AS id, 'José' AS descripción, c_name AS nombre FROM ("
+    "SELECT 0 AS copia, * FROM customer WHERE c_custkey // 25 % 5 < 2 UNION ALL "
+    "SELECT 1, * FROM customer WHERE c_custkey < 25)",
+)
 add("sink_csv", "SELECT * FROM part")
 add("sink_parquet", "SELECT * FROM part")
 

@@ -835,6 +835,85 @@ def ingest_good_records(spark, folder):
     return delimited.read_delimited(spark, path).rows
 
 
+def _quoted_lines(spark, folder) -> DataFrame:
+    """Quoted line breaks, and near the end of each file two fields that open quotes and never close them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    cell = (
+        F.when(k % 50 == 1, F.concat(F.lit('"two\nlines '), k, F.lit('"')))
+        .when(k % 100 == 80, F.lit('"abierta'))
+        .when(k % 100 == 90, F.lit('x","y'))
+        .otherwise(F.col("p_name"))
+    )
+    line = F.concat(k, F.lit(","), cell, F.lit(","), size)
+    return table(spark, folder, "part").select(k.alias("orden"), line.alias("linea"))
+
+
+@query
+def ingest_unclosed_quote(spark, folder):
+    """Rows behind a quote that is never closed are read as rows."""
+    path = _write_lines(spark, _quoted_lines(spark, folder), ["k,nombre,medida"], per_file=100)
+    return delimited.read_delimited(spark, path).rows
+
+
+@query
+def ingest_unclosed_quote_bad(spark, folder):
+    path = _write_lines(spark, _quoted_lines(spark, folder), ["k,nombre,medida"], per_file=100)
+    return delimited.read_delimited(spark, path).bad
+
+
+def _odd_files(spark, folder) -> str:
+    """Files of 25 customers: plain, marked UTF-8, UTF-16 with and without mark, Latin-1; one cut and
+    one whole compressed copy of the first, an empty one, one without its header row."""
+    k = F.col("c_custkey")
+    lines = table(spark, folder, "customer").select(
+        F.floor(k / 25).alias("n"), F.struct(k, F.concat_ws(",", k, F.lit("José"), "c_name").alias("l")).alias("linea")
+    )
+    whole = F.concat(
+        F.lit("Informe\nid,descripción,nombre\n"), F.array_join(F.sort_array(F.collect_list("linea"))["l"], "\n"), F.lit("\n")
+    )
+    files = lines.groupBy("n").agg(whole.alias("texto"))
+    mark, t = F.unhex(F.lit("EFBBBF")), F.col("texto")
+    stored = (
+        F.when(F.col("n") % 5 == 1, F.concat(mark, F.encode(t, "UTF-8")))
+        .when(F.col("n") % 5 == 2, F.encode(t, "UTF-16"))
+        .when(F.col("n") % 5 == 3, F.encode(t, "UTF-16BE"))
+        .when(F.col("n") % 5 == 4, F.encode(t, "ISO-8859-1"))
+        .otherwise(F.encode(t, "UTF-8"))
+    )
+    path = scratch_path(spark, "archivos")
+    # The sink adds the last byte, a line end in all of these.
+    value = F.expr("cast(substring(datos, 1, octet_length(datos) - 1) as string)")
+    parts = files.withColumn("datos", stored).select(F.lpad(F.col("n").cast("string"), 8, "0").alias("cubo"), value.alias("v"))
+    parts.repartition("cubo").write.partitionBy("cubo").option("lineSep", "\n").text(path)
+    first = files.filter("n = 0").select(F.expr("left(texto, length(texto) - 1)"))
+    first.write.option("compression", "gzip").text(f"{path}/cubo=zz_entero")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (packed,) = [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/cubo=zz_entero/part-*"))]
+    source = fs.open(packed)
+    half = source.readNBytes(fs.getFileStatus(packed).getLen() // 2)
+    source.close()
+    for name, data in (("zz_cortado/a.csv.gz", half), ("zz_vacio/a.csv", b""), ("zz_corto/a.csv", "Informe\n".encode())):
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/cubo={name}"))
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
+@query
+def ingest_bad_files(spark, folder):
+    """Every file with what is wrong with it and the rows read from it."""
+    read = delimited.read_delimited_files(spark, _odd_files(spark, folder), header_row=1)
+    return read.files.select(F.regexp_extract("archivo", "cubo=([a-z0-9_]+)", 1).alias("cubo"), "filas", "problema")
+
+
+@query
+def ingest_bad_files_rows(spark, folder):
+    """The rows of the good files, numbered over them."""
+    return delimited.read_delimited_files(spark, _odd_files(spark, folder), header_row=1).rows
+
+
 def _xlsx(sheets: dict[str, pd.DataFrame]) -> bytes:
     """A small workbook with inline texts, for tests of the reader."""
     names = list(sheets)

@@ -6,12 +6,13 @@ import csv
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import unicode_tables as U
 from ..session import is_small, materialise
+from . import inspection
 from .numbering import number_across_files, number_lines
 
 #: Records that are numbered together.
@@ -20,7 +21,8 @@ BLOCK = 65_536
 
 @dataclass(frozen=True)
 class Delimited:
-    """``rows``: fila and the text columns. ``bad``: fila, registro of rows with too many fields."""
+    """``rows``: fila and the text columns. ``bad``: fila, registro of records with too many fields or
+    with quotes that are never closed."""
 
     rows: DataFrame
     bad: DataFrame
@@ -29,6 +31,14 @@ class Delimited:
         return self.bad.agg(F.count(F.lit(1)).alias("malos"))
 
 
+@dataclass(frozen=True)
+class FilesRead(Delimited):
+    """Also ``files``: archivo, bytes, filas (records read, bad ones included) and, for files that
+    were set apart, problema."""
+
+    files: DataFrame
+
+
 def column_names(header: Sequence[str | None]) -> list[str]:
     """Names from header cells: empty ones are numbered, repeated ones get a suffix."""
     names: list[str] = []
@@ -72,7 +82,7 @@ def _tidy(rows: DataFrame, names: Sequence[str], null_tokens: bool) -> DataFrame
 
 
 def _split_records(rows: DataFrame, names: Sequence[str], separator: str, null_tokens: bool):
-    """Splits rows of (fila, registro) into cells; odd records keep their raw text."""
+    """Splits rows of (fila, registro, rota) into cells; odd records keep their raw text."""
     width = len(names)
     schema = ", ".join(f"c{i} string" for i in range(width)) + ", __registro string"
     options = {
@@ -80,18 +90,18 @@ def _split_records(rows: DataFrame, names: Sequence[str], separator: str, null_t
         "columnNameOfCorruptRecord": "__registro",
     }
     # A generator, so that the filters on the parsed record do not parse it once more.
-    parsed = rows.select("fila", F.inline(F.array(F.from_csv("registro", schema, options))))
+    raw = F.when(F.col("rota"), F.col("registro")).alias("__rota")
+    parsed = rows.select("fila", raw, F.inline(F.array(F.from_csv("registro", schema, options))))
     return _separate(parsed, names, separator, null_tokens)
 
 
 def _separate(parsed: DataFrame, names, separator: str, null_tokens: bool) -> Delimited:
-    """A short record is padded with nulls and fine; one with too many fields is bad."""
-    too_long = F.col("__registro").isNotNull() & (
-        _field_count(F.col("__registro"), separator) > len(names)
-    )
+    """A short record is padded with nulls and fine; one with too many fields, or left open, is bad."""
+    raw = F.col("__registro")
+    is_bad = F.col("__rota").isNotNull() | (raw.isNotNull() & (_field_count(raw, separator) > len(names)))
     return Delimited(
-        rows=_tidy(parsed.filter(~too_long), names, null_tokens),
-        bad=parsed.filter(too_long).select("fila", F.col("__registro").alias("registro")),
+        rows=_tidy(parsed.filter(~is_bad), names, null_tokens),
+        bad=parsed.filter(is_bad).select("fila", F.coalesce("__rota", raw).alias("registro")),
     )
 
 
@@ -115,8 +125,8 @@ def _running(rows: DataFrame, value: str, output: str) -> DataFrame:
     )
 
 
-def _join_records(lines: DataFrame, separator: str) -> DataFrame:
-    """(archivo, registro_n, registro) from lines of files with line breaks inside quotes.
+def _with_states(lines: DataFrame, separator: str) -> DataFrame:
+    """Adds whether quotes are open before each line (``open``) and after it (``after``), 0 or 1.
 
     A line keeps the state, turns it round, or sets it, whatever it was. So the state at a line
     follows from the last line that sets it and the number of turns since, first inside each split,
@@ -153,14 +163,49 @@ def _join_records(lines: DataFrame, separator: str) -> DataFrame:
     ends = ends.withColumn("turns", F.sum("turn").over(file.rowsBetween(Window.unboundedPreceding, 0)))
     starts = ends.select("archivo", "bloque", state(file, F.lit(0)).alias("start"))
     known = marked.join(starts, ["archivo", "bloque"]).withColumn("open", state(split, F.col("start")))
-    known = known.withColumn("begins", (F.col("open") == 0).cast("int"))
-    numbered = _running(known.select("archivo", "bloque", "orden", "registro", "begins"), "begins", "registro_n")
+    after = F.when(F.col("open") == 0, F.col("o")).otherwise(F.col("i")).cast("int")
+    return known.select("archivo", "bloque", "orden", "registro", "open", after.alias("after"))
+
+
+def _recovered(lines: DataFrame, separator: str) -> DataFrame:
+    """(archivo, bloque, orden, registro, begins, rota): where records begin, whatever is never closed.
+
+    If a file ends inside quotes, the line with which its last record begins is a record of its own
+    (``rota``), and the lines after it are read anew from outside quotes, until no file ends inside
+    them. Each round looks only at the lines behind the last failure, of files that have one.
+    """
+    parts = []
+    columns = ["archivo", "bloque", "orden", "registro"]
+    begins = F.col("open") == 0
+    while True:
+        known = _with_states(lines, separator)
+        ends = known.groupBy("archivo").agg(
+            F.max_by("after", "orden").alias("after"), F.max(F.when(begins, F.col("orden"))).alias("abre")
+        )
+        left_open = materialise(ends.filter("after = 1").select("archivo", "abre"))
+        known = known.select(*columns, begins.cast("int").alias("begins"))
+        if left_open.isEmpty():
+            parts.append(known.withColumn("rota", F.lit(False)))
+            break
+        side = F.broadcast(left_open) if is_small(left_open) else left_open
+        known = known.join(side, "archivo", "left")
+        upto = known.filter("abre IS NULL OR orden <= abre")
+        parts.append(upto.select(*columns, "begins", F.col("orden").eqNullSafe(F.col("abre")).alias("rota")))
+        lines = materialise(known.filter("orden > abre").select(*columns))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def _join_records(lines: DataFrame, separator: str) -> DataFrame:
+    """(archivo, registro_n, registro, rota) from lines of files with line breaks inside quotes."""
+    numbered = _running(_recovered(lines, separator), "begins", "registro_n")
     joined = numbered.groupBy("archivo", (F.col("registro_n") - 1).alias("registro_n")).agg(
-        F.sort_array(F.collect_list(F.struct("bloque", "orden", "registro"))).alias("p")
-    )
-    return joined.select(
-        "archivo", "registro_n", F.array_join(F.transform("p", lambda x: x["registro"]), "\n").alias("registro")
+        F.sort_array(F.collect_list(F.struct("bloque", "orden", "registro"))).alias("p"), F.max("rota").alias("rota")
     )
+    whole = F.array_join(F.transform("p", lambda x: x["registro"]), "\n")
+    return joined.select("archivo", "registro_n", whole.alias("registro"), "rota")
 
 
 def _headers(first: DataFrame, separator: str) -> dict[tuple[str, ...], list[str]]:
@@ -183,16 +228,57 @@ def read_delimited(
     """Reads one or many files, each by its own header.
 
     ``skip_rows`` are record numbers of a file, from zero; blank records are skipped, and
-    ``header_row`` counts what remains. Files are split by line and read in parallel, also where
+    ``header_row`` counts what remains. A field that opens a quote and never closes it makes its
+    record's first line bad; the lines after it are read as records again. Files are split by line and read in parallel, also where
     records hold line breaks: only the files that have a field open at the end of some line are put
     together from lines, in their splits. Columns are matched by name; a column that a file does
     not have is null in its rows. Line breaks inside quotes are read as ``\\n``.
     """
-    lines = spark.read.text(path).select(
+    return _read(_lines(spark.read, path), header_row, skip_rows, separator, null_tokens)[0]
+
+
+def read_delimited_files(
+    spark: SparkSession,
+    path: str,
+    header_row: int = 0,
+    skip_rows: Collection[int] = (),
+    separator: str = ",",
+    null_tokens: bool = True,
+) -> FilesRead:
+    """``read_delimited`` of those files that can be read; the others are reported, one row each.
+
+    Files are inspected first (``inspection``): empty, unreadable, truncated or wrongly encoded ones
+    are set apart and the rest is read. A file without the header row is reported too. An error is
+    raised only if no file has one.
+    """
+    seen = materialise(inspection.inspect_files(spark, path))
+    apart = materialise(seen.filter(F.col("problema").isNotNull()).select("archivo"))
+    lines = _lines(spark.read.option("ignoreCorruptFiles", "true"), path)
+    if not apart.isEmpty():
+        if not is_small(apart):
+            raise ValueError("too many unreadable files")
+        # Broadcast, so that lines stay in the order of their split.
+        lines = lines.join(F.broadcast(apart), "archivo", "left_anti")
+    read, headed, counts = _read(lines, header_row, skip_rows, separator, null_tokens)
+    headed = headed.withColumn("__cabeza", F.lit(True))
+    problem = F.coalesce("problema", F.when(F.col("__cabeza").isNull(), inspection.NO_HEADER))
+    files = seen.join(headed, "archivo", "left").join(counts, "archivo", "left")
+    files = files.select("archivo", "bytes", F.coalesce("n", F.lit(0)).alias("filas"), problem.alias("problema"))
+    return FilesRead(read.rows, read.bad, files)
+
+
+def _lines(reader: DataFrameReader, path: str) -> DataFrame:
+    return reader.text(path).select(
         F.col("value").alias("registro"),
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
     )
+
+
+def _read(
+    lines: DataFrame, header_row: int, skip_rows: Collection[int], separator: str, null_tokens: bool
+) -> tuple[Delimited, DataFrame, DataFrame]:
+    """The table, the files that have a header (archivo), and records per file (archivo, n)."""
     opens, _ = _quote_states(F.col("registro"), separator)
     filled = F.col("registro").rlike(U.NOT_SPACE)
     kept = filled & ~F.col("registro_n").isin(*skip_rows) if skip_rows else filled
@@ -203,15 +289,17 @@ def read_delimited(
         placed = number_lines(numbered.lines, kept, "pos").lines.select("archivo", "pos", "registro")
     else:
         placed = numbered.lines.select("archivo", F.col("registro_n").alias("pos"), "registro")
+    placed = placed.withColumn("rota", F.lit(False))
     if seen["abiertas"]:
         several = materialise(numbered.files.filter("abiertas > 0").select("archivo"))
         several = F.broadcast(several) if is_small(several) else several
         apart = numbered.lines.withColumnRenamed("registro_n", "orden").join(several, "archivo", "left_semi")
-        joined = _join_records(apart, separator).filter(kept)
+        # Stored: header, counts and rows read them, and finding them takes several shuffles.
+        joined = materialise(_join_records(apart, separator).filter(kept))
         joined = joined.withColumns(
             {"bloque": F.floor(F.col("registro_n") / BLOCK), "orden": F.col("registro_n"), "__uno": F.lit(1)}
         )
-        joined = _running(joined, "__uno", "pos").select("archivo", F.col("pos") - 1, "registro")
+        joined = _running(joined, "__uno", "pos").select("archivo", F.col("pos") - 1, "registro", "rota")
         placed = placed.join(several, "archivo", "left_anti").union(joined)
     first = materialise(placed.filter(F.col("pos") == header_row).select("archivo", "registro"))
     headers = _headers(first, separator)
@@ -226,13 +314,13 @@ def read_delimited(
         if len(headers) > 1:
             these = first.filter(F.col("registro").isin(*records)).select("archivo")
             these = F.broadcast(these) if is_small(these) else these
-            own = rows.join(these, "archivo", "left_semi").select("fila", "registro")
+            own = rows.join(these, "archivo", "left_semi").select("fila", "registro", "rota")
         parts.append(_split_records(own, names, separator, null_tokens))
     every, bad = parts[0].rows, parts[0].bad
     for part in parts[1:]:
         every = every.unionByName(part.rows, allowMissingColumns=True)
         bad = bad.unionByName(part.bad)
-    return Delimited(every, bad)
+    return Delimited(every, bad), first.select("archivo"), counts
 
 
 def is_empty(table: Delimited) -> bool:

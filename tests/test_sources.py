@@ -12,7 +12,7 @@ from checks.views import table
 from pulcro import session
 from pulcro.plans import rulesets
 from pulcro.sinks import tables
-from pulcro.sources import delimited, numbering, promotion, workbook
+from pulcro.sources import delimited, inspection, numbering, promotion, workbook
 
 
 def write(folder, name, content):
@@ -319,3 +319,39 @@ def test_decimals_are_numbers(spark):
 
     df = spark.createDataFrame([(Decimal("1.50"),), (Decimal("2.50"),)], "d decimal(10,2)")
     assert profile.columns_profile(df).select(F.round("p50", 2)).first()[0] == 2.0
+
+
+def test_quotes_that_are_never_closed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x\ny"\n2,"abierta\n3,x","y\n4,z\n7,u\n')
+    (tmp_path / "b.csv").write_text('k,v\n9,"todo\nbien"\n')
+    read = delimited.read_delimited(spark, str(tmp_path))
+    rows = {r["k"]: (r["fila"], r["v"]) for r in read.rows.collect()}
+    assert rows["1"] == (0, "x\ny") and rows["4"] == (3, "z") and rows["9"][1] == "todo\nbien"
+    bad = {r["fila"]: r["registro"] for r in read.bad.collect()}
+    # The second one shows only when the lines behind the first are read anew.
+    assert bad == {1: '2,"abierta', 2: '3,x","y'} and rows["7"] == (4, "u")
+    assert sorted([r[0] for r in rows.values()] + list(bad)) == list(range(len(rows) + len(bad)))
+
+
+def test_files_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    import gzip
+
+    text = "k,v\n" + "".join(f"{i},año\n" for i in range(3000))
+    whole = gzip.compress(text.encode())
+    stored = {
+        "a.csv": text.encode(), "b.csv.gz": whole[:-9], "c.csv.gz": whole + gzip.compress(b"9000,dos\n"),
+        "d.csv": text.encode("latin-1"), "e.csv": text.encode("utf-16"), "f.csv": text.encode("utf-16-le"),
+        "g.csv": b"", "h.csv": "\ufeffk,v\n1,x".encode(), "i.csv": text.encode("utf-32"), "j.csv.gz": b"no gzip",
+    }
+    for name, data in stored.items():
+        (tmp_path / name).write_bytes(data)
+    read = delimited.read_delimited_files(spark, str(tmp_path))
+    files = {r["archivo"].rsplit("/", 1)[1]: (r["bytes"], r["filas"], r["problema"]) for r in read.files.collect()}
+    assert {n: f[0] for n, f in files.items()} == {n: len(d) for n, d in stored.items()}
+    assert {n: f[1] for n, f in files.items() if f[1]} == {"a.csv": 3000, "c.csv.gz": 3001, "h.csv": 1}
+    assert {n: f[2] for n, f in files.items() if f[2]} == {
+        "b.csv.gz": inspection.TRUNCATED, "d.csv": inspection.NOT_UTF_8, "e.csv": inspection.UTF_16,
+        "f.csv": inspection.BINARY, "g.csv": inspection.EMPTY, "i.csv": inspection.UTF_32, "j.csv.gz": inspection.TRUNCATED,
+    }
+    assert read.rows.count() == 6001 and read.bad.count() == 0
+    assert sorted(r["fila"] for r in read.rows.select("fila").collect()) == list(range(6001))
