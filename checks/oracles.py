@@ -9,6 +9,7 @@ from __future__ import annotations
 from pulcro.functions import email, phone
 from pulcro.operators import analysis
 
+from . import phone_numbers
 from .views import ASSIGNMENTS, ctes
 
 W = ctes()
@@ -179,6 +180,18 @@ ORACLES["email_detail"] = (
 ORACLES["phone_hn_diagnosis"] = (
     f"{W}, {phones(HN_CASE + ' AS diagnostico')} SELECT origen, fila, diagnostico FROM diagnosticos"
 )
+BAD_THERE, VALID_THERE = "Número con formato inválido para su país", "Válido"
+JUDGED = [
+    (f"+{code} {n}", label, basis if label == VALID_THERE else None)
+    for plan, basis in ((phone_numbers.BY_HAND, "rango nacional"), (phone_numbers.BY_LENGTH, "solo longitud"))
+    for code in plan
+    for n, label in zip(plan[code], (VALID_THERE, BAD_THERE))
+] + [(f"+{n}", "Código de país inválido", None) for n in phone_numbers.UNASSIGNED]
+ORACLES["phone_plan_diagnosis"] = (
+    "SELECT c_custkey AS fila, telefono, diagnostico, criterio FROM customer JOIN (VALUES "
+    + ", ".join(f"({i}, {q(n)}, {q(label)}, {q(basis) if basis else 'NULL'})" for i, (n, label, basis) in enumerate(JUDGED))
+    + f") AS v(i, telefono, diagnostico, criterio) ON i = c_custkey % {len(JUDGED)}"
+)
 PHONES = f", {phones(PHONE_CASE + ' AS diagnostico')}"
 ORACLES["phone_diagnosis"] = f"{W}{PHONES} SELECT origen, fila, diagnostico FROM diagnosticos"
 ORACLES["phone_summary"] = f"{W}{PHONES} {summary_sql('diagnosticos', phone.VALID, phone.BLANK)}"

@@ -23,6 +23,7 @@ from pulcro.session import scratch_path
 from pulcro.sinks import tables
 from pulcro.sources import delimited, numbering, promotion, workbook
 
+from . import phone_numbers
 from .views import ASSIGNMENTS, clientes, faltantes, proveedores, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,16 @@ def phone_diagnosis(spark, folder):
     return _phones(spark, folder).select("origen", "fila", "diagnostico")
 
 
+@query
+def phone_plan_diagnosis(spark, folder):
+    """Every customer has one of the numbers judged by hand; the plan is joined as a table."""
+    numbers = [f"+{code} {n}" for plan in (phone_numbers.BY_HAND, phone_numbers.BY_LENGTH) for code in plan for n in plan[code]]
+    numbers += [f"+{n}" for n in phone_numbers.UNASSIGNED]
+    one = F.element_at(F.array(*map(F.lit, numbers)), (F.col("c_custkey") % len(numbers) + 1).cast("int"))
+    given = table(spark, folder, "customer").select(F.col("c_custkey").alias("fila"), one.alias("telefono"))
+    return phone.with_plan_diagnosis(given, "telefono")
+
+
 @query
 def phone_summary(spark, folder):
     return analysis.diagnosis_summary(_phones(spark, folder), phone.VALID, phone.BLANK)

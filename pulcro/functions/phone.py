@@ -1,8 +1,8 @@
 """Telephone diagnosis: Honduran eight-digit numbers and international ones.
 
-The numbering plan is compiled into one regular expression. Calling codes are prefix-free, so an
-alternation over the whole number decides both the country and its national pattern without a
-join or a per-row pattern look-up.
+The built-in numbering plan is compiled into one regular expression. Calling codes are prefix-free,
+so an alternation over the whole number decides both the country and its national pattern without a
+join or a per-row pattern look-up. A plan that comes as a table is joined by its prefixes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from ..session import is_small
+from . import phone_plan, text
 from . import unicode_tables as U
 
 # Diagnosis labels. Fixed values.
@@ -34,68 +35,6 @@ BAD_FOR_COUNTRY = "Número con formato inválido para su país"
 # First digits of Honduran numbers. Fixed values.
 HN_FIRST_DIGITS = "23789"
 
-# National numbers (without calling code) of the countries the gazetteer names, from the public
-# E.164 plans. Fixed values.
-NATIONAL_PATTERNS = {
-    "1": r"1?[2-9]\d{2}[2-9]\d{6}",
-    "31": r"0?(?:[1-57]\d{8}|6[1-58]\d{7}|8[08]\d{5,8}|90\d{5,8})",
-    "33": r"0?[1-9]\d{8}",
-    "34": r"[5-9]\d{8}",
-    "40": r"0?[237-9]\d{8}",
-    "41": r"0?[2-9]\d{8}",
-    "44": r"0?(?:[1-357-9]\d{9}|1\d{8}|800\d{6})",
-    "45": r"[2-9]\d{7}",
-    "46": r"0?[1-9]\d{6,9}",
-    "47": r"[2-9]\d{7}",
-    "49": r"0?[1-9]\d{4,13}",
-    "51": r"0?(?:9\d{8}|[14-8]\d{7})",
-    "52": r"[2-9]\d{9}",
-    "56": r"[2-9]\d{8}",
-    "57": r"0?(?:3\d{9}|60[124-8]\d{7}|1[89]00\d{6,7})",
-    "82": r"0?(?:1\d{8,9}|2\d{7,8}|[3-6]\d{7,9}|70\d{8}|80\d{6,8})",
-    "86": r"0?(?:1[3-9]\d{9}|10\d{8}|2\d{9}|[3-9]\d{9,10})",
-    "502": r"[2-7]\d{7}",
-    "503": r"[267]\d{7}",
-    "504": r"[237-9]\d{7}",
-    "506": r"[245-8]\d{7}",
-    "507": r"(?:[1-9]\d{6}|6\d{7})",
-    "593": r"0?(?:9\d{8}|[2-7]\d{7})",
-    "598": r"0?(?:[249]\d{7})",
-}
-
-# The other assigned calling codes by length of their national numbers, from the public E.164
-# plans. Fixed values.
-NATIONAL_LENGTHS = {
-    (3, 12): "43 62",
-    (4, 6): "247 290 682 683",
-    (4, 12): "352 358",
-    (5, 8): "500 676 677 678 685 688 690",
-    (6, 6): "298 299 508 672 681 687",
-    (6, 9): "252 355 359 376 385 689",
-    (6, 12): "39 378 381",
-    (7, 7): "220 238 239 246 248 291 297 501 592 597 673 674 679 680 691 692 960",
-    (7, 8): "230 241 267 269 372 599 670 675 686 965 968 974 975",
-    (7, 10): "231 243 245 254 263 265 353 354 423 880 95 882 883",
-    (8, 8): "65 216 222 223 224 226 227 228 232 235 236 253 257 266 350 356 357 370 371 373 374 377 "
-    "386 389 505 509 591 800 808 852 853 973 976 993 53",
-    (8, 9): "32 36 66 84 213 225 237 250 258 264 268 382 383 387 595 855 961 962 963 966 967 970 "
-    "971 972",
-    (8, 10): "20 60 63 64 81 92 98 229 234 850 856 964 977 996",
-    (9, 9): "27 30 48 61 93 94 211 212 218 221 233 240 242 244 249 251 255 256 260 261 262 351 375 "
-    "380 420 421 590 594 596 881 886 979 992 994 995 998",
-    (9, 12): "870 878 888",
-    (10, 10): "7 58 90 91",
-    (10, 11): "54 55",
-}
-
-# Calling codes whose national numbers may carry a leading trunk zero. Fixed values.
-TRUNK_ZERO = frozenset(
-    "20 27 32 43 48 54 55 58 60 61 62 63 64 66 81 84 90 91 92 93 94 95 98 211 212 213 218 233 234 "
-    "243 249 250 251 254 255 256 260 263 264 353 355 358 359 370 373 374 380 381 382 383 385 386 "
-    "387 389 421 595 855 856 880 886 961 962 963 964 966 967 970 971 972 976 977 992 994 995 "
-    "996".split()
-)
-
 SEPARATORS = rf"[{U.SPACE_CLASS}\-()]"
 ALLOWED = rf"^\+?[\p{{Nd}}{U.SPACE_CLASS}\-()]+\z"
 LONGEST_INPUT = 250
@@ -105,12 +44,7 @@ LONGEST_NATIONAL = 17
 @lru_cache(maxsize=None)
 def numbering_plan() -> dict[str, str]:
     """Calling code -> pattern of the national number."""
-    plan = {}
-    for (low, high), codes in NATIONAL_LENGTHS.items():
-        for code in codes.split():
-            trunk = "0?" if code in TRUNK_ZERO else ""
-            plan[code] = rf"{trunk}\d{{{low},{high}}}"
-    return {**plan, **NATIONAL_PATTERNS}
+    return {code: phone_plan.national_pattern(code) for code in phone_plan.national_ranges()}
 
 
 def _alternation(plan: dict[str, str]) -> str:
@@ -174,22 +108,40 @@ def diagnose_hn(c: Column) -> Column:
     )
 
 
-def _diagnose_international(t: Column, number: Column, full: Column) -> Column:
-    code = F.regexp_extract(full, known_code_pattern(), 0)
+def _diagnose_international(
+    t: Column, number: Column, full: Column, code: Column | None = None, valid: Column | None = None
+) -> Column:
+    """``code`` (empty if unknown) and ``valid`` come from the built-in plan unless they are given."""
+    code = F.regexp_extract(full, known_code_pattern(), 0) if code is None else code
+    valid = full.rlike(valid_number_pattern()) if valid is None else valid
     national_length = F.length(full) - F.length(code)
     typed_length = F.when(t.startswith("+"), F.length(t)).otherwise(F.length(number) + 1)
     return (
         F.when(typed_length > LONGEST_INPUT, TOO_LONG)
-        .when(full.rlike(valid_number_pattern()), VALID)
+        .when(valid, VALID)
         .when(F.length(number) < 3, NOT_A_NUMBER)
         .when((F.length(full) <= 2) & (F.length(number) > 2), UNRECOGNISED)
-        .when(~full.rlike(known_code_pattern()), UNKNOWN_COUNTRY)
+        .when(code == "", UNKNOWN_COUNTRY)
         .when(national_length < 2, TOO_SHORT)
         .when(national_length > LONGEST_NATIONAL, TOO_LONG)
         .otherwise(BAD_FOR_COUNTRY)
     )
 
 
+def _diagnose(c: Column, t: Column, n: Column, international_case: Column) -> Column:
+    return (
+        F.when(c.isNull() | (t == ""), BLANK)
+        .when(~t.rlike(ALLOWED), BAD_FORMAT)
+        .when(t.rlike(SEPARATORS + r"\z"), TRAILING_SEPARATOR)
+        .when(_is_international(t, n), international_case)
+        .otherwise(_hn_length_and_prefix(n))
+    )
+
+
+def _is_international(t: Column, n: Column) -> Column:
+    return t.startswith("+") | (F.length(n) > 8)
+
+
 def diagnose(
     c: Column,
     trimmed: Column | None = None,
@@ -204,13 +156,7 @@ def diagnose(
     t = text.strip(c) if trimmed is None else trimmed
     n = digits(t) if number is None else number
     f = international(n) if full is None else full
-    return (
-        F.when(c.isNull() | (t == ""), BLANK)
-        .when(~t.rlike(ALLOWED), BAD_FORMAT)
-        .when(t.rlike(SEPARATORS + r"\z"), TRAILING_SEPARATOR)
-        .when(t.startswith("+") | (F.length(n) > 8), _diagnose_international(t, n, f))
-        .otherwise(_hn_length_and_prefix(n))
-    )
+    return _diagnose(c, t, n, _diagnose_international(t, n, f))
 
 
 def with_diagnosis(df: DataFrame, column: str, output: str = "diagnostico") -> DataFrame:
@@ -226,6 +172,49 @@ def with_diagnosis(df: DataFrame, column: str, output: str = "diagnostico") -> D
     )
 
 
+def with_plan_diagnosis(
+    df: DataFrame, column: str, plan: DataFrame | None = None, output: str = "diagnostico", basis: str = "criterio"
+) -> DataFrame:
+    """Adds the diagnosis of a column by a plan that is a table, and what a valid number was judged by.
+
+    ``plan`` has prefijo (digits from the calling code on, each once), codigo, minimo and maximo
+    (digits of the whole number; null: no such numbers) and criterio. The longest prefix of a number
+    decides: one equi-join for each length of prefix the plan has, broadcast if the plan is counted
+    to be small. Numbers without the plus sign and with up to eight digits are judged as Honduran;
+    ``basis`` is null for them and for numbers that are not valid.
+    """
+    plan = phone_plan.default_plan(df.sparkSession) if plan is None else plan
+    small = is_small(plan)
+    sizes = sorted(r[0] for r in plan.select(F.length("prefijo")).distinct().collect())
+    c = F.col(f"`{column}`").cast("string")
+    trimmed, number, full = (F.col(f"__telefono_{i}") for i in range(3))
+    rows = (
+        df.withColumn("__telefono_0", text.strip(c))
+        .withColumn("__telefono_1", digits(trimmed))
+        .withColumn("__telefono_2", international(number))
+    )
+    asked = F.when(trimmed.rlike(ALLOWED) & _is_international(trimmed, number), full)
+    for size in sizes:
+        of_size = plan.filter(F.length("prefijo") == size).select(
+            F.col("prefijo").alias(f"__prefijo_{size}"),
+            F.struct("codigo", "minimo", "maximo", "criterio").alias(f"__rango_{size}"),
+        )
+        of_size = F.broadcast(of_size) if small else of_size
+        prefix = F.when(F.length(asked) >= size, F.substring(asked, 1, size))
+        rows = rows.join(of_size, prefix == F.col(f"__prefijo_{size}"), "left").drop(f"__prefijo_{size}")
+    found = F.coalesce(*[F.col(f"__rango_{size}") for size in reversed(sizes)])
+    rows = rows.withColumn("__rango", found)
+    known = F.coalesce(F.col("__rango.codigo"), F.lit(""))
+    valid = F.coalesce(F.length(full).between(F.col("__rango.minimo"), F.col("__rango.maximo")), F.lit(False))
+    label = _diagnose(c, trimmed, number, _diagnose_international(trimmed, number, full, known, valid))
+    judged = rows.withColumn("__etiqueta", label)
+    return judged.select(
+        *df.columns,
+        F.col("__etiqueta").alias(output),
+        F.when((F.col("__etiqueta") == VALID) & _is_international(trimmed, number), F.col("__rango.criterio")).alias(basis),
+    )
+
+
 def is_invalid(diagnosis: Column) -> Column:
     """A blank cell is not an invalid number."""
     return ~diagnosis.isin(VALID, BLANK)

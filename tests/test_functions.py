@@ -5,6 +5,7 @@ import unicodedata
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pulcro.functions import country, dates, email, phone, text
 from pulcro.functions import unicode_tables as U
 
@@ -256,3 +257,33 @@ def test_date_targets(texts, target, expected):
 def test_unknown_date_preset(texts):
     with pytest.raises(ValueError):
         dates.standardise(texts(["1/1/2024"]), ["v"], preset="x")
+
+
+def test_both_forms_of_the_numbering_plan_agree(spark, apply):
+    import random
+
+    from checks import phone_numbers
+    from pulcro.functions import phone_plan
+
+    rng = random.Random(5)
+    codes = sorted(phone_plan.national_ranges())
+    numbers = [f"+{c} {n}" for c, both in phone_numbers.BY_HAND.items() for n in both]
+    numbers += [f"+{rng.choice(codes)}{rng.choice(['', '0', '1'])}{rng.randrange(10 ** rng.randrange(1, 12))}" for _ in range(3000)]
+    numbers += ["", None, "9999-8888", "+", "+1", "0044 20 7946 0018", "abc", "22", "+504 2222-3333-"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, t string")
+    rows = phone.with_plan_diagnosis(df, "t").withColumn("r", phone.diagnose(F.col("t"))).collect()
+    assert len(rows) == len(numbers)
+    assert [r for r in rows if r["diagnostico"] != r["r"]] == []
+    by = {r["t"]: r["criterio"] for r in rows}
+    assert by["+504 9123 4567"] == phone_plan.BY_RANGE and by["9999-8888"] is None and by["+1"] is None
+    assert {r["criterio"] for r in rows} == {None, phone_plan.BY_RANGE, phone_plan.BY_LENGTH}
+
+
+def test_a_range_added_to_the_plan_decides(spark):
+    from pulcro.functions import phone_plan
+
+    more = spark.createDataFrame([("50499", "504", 12, 12, "portados")], phone_plan.PLAN_SCHEMA)
+    plan = phone_plan.default_plan(spark).unionByName(more)
+    df = spark.createDataFrame([("+504 9912 34567",), ("+504 9912 3456",), ("+504 9812 3456",)], "t string")
+    rows = phone.with_plan_diagnosis(df, "t", plan).collect()
+    assert [r["criterio"] for r in rows] == ["portados", None, phone_plan.BY_RANGE]

@@ -353,5 +353,5 @@ def test_files_that_cannot_be_read_are_set_apart(spark, tmp_path):
         "b.csv.gz": inspection.TRUNCATED, "d.csv": inspection.NOT_UTF_8, "e.csv": inspection.UTF_16,
         "f.csv": inspection.BINARY, "g.csv": inspection.EMPTY, "i.csv": inspection.UTF_32, "j.csv.gz": inspection.TRUNCATED,
     }
-    assert read.rows.count() == 6001 and read.bad.count() == 0
-    assert sorted(r["fila"] for r in read.rows.select("fila").collect()) == list(range(6001))
+    assert read.rows.count() == 6002 and read.bad.count() == 0
+    assert sorted(r["fila"] for r in read.rows.select("fila").collect()) == list(range(6002))
