@@ -176,7 +176,7 @@ def national_pattern(code: str) -> str:
         before = "".join(f"(?!{other})" for other, size in longer if size > k)
         branches.append(f"{before}{first}\\d{{{low - k},{high - k}}}")
         longer.append((first, k))
-    trunk = "0?" if code in TRUNK_ZERO else "1?" if code == "1" else ""
+    trunk = "0?(?!0)" if code in TRUNK_ZERO else "1?" if code == "1" else ""
     return f"{trunk}(?:{'|'.join(branches)})"
 
 
@@ -190,6 +190,8 @@ def plan_rows() -> list[tuple[str, str, int | None, int | None, str | None]]:
     for code, items in national_ranges().items():
         trunks = ["", "0"] if code in TRUNK_ZERO else ["", "1"] if code == "1" else [""]
         rows[code] = (code, code, None, None, None)
+        if "0" in trunks:  # no national number begins with the trunk digit
+            rows[f"{code}00"] = (f"{code}00", code, None, None, None)
         for trunk, (first, low, high) in itertools.product(reversed(trunks), items):
             basis, extra = BY_RANGE if first else BY_LENGTH, len(code) + len(trunk)
             for digits in itertools.product(*_digits(first)):
