@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +73,12 @@ PLACES = {
     "washington": "US",
 }
 
-#: Characters of a text that are searched together; a stretch also sees the start of the next one.
-STRETCH = 512
+#: Beginnings of names that one pattern looks for; names that share one are told apart by a join.
+BEGINNINGS = 4096
+#: Characters of the longest beginning.
+LONGEST_BEGINNING = 16
+
+INSIDE_WORD = r"[\p{L}\p{N}]"
 
 
 def by_length(places: Mapping[str, str]) -> list[tuple[str, str]]:
@@ -87,7 +92,7 @@ def lookup(folded: Column, places: Mapping[str, str] = PLACES, word_boundary=Fal
 
     def hit(name: str) -> Column:
         if word_boundary:
-            return folded.rlike(rf"(?<![\p{{L}}\p{{N}}])\Q{name}\E(?![\p{{L}}\p{{N}}])")
+            return folded.rlike(rf"(?<!{INSIDE_WORD})\Q{name}\E(?!{INSIDE_WORD})")
         return folded.contains(name)
 
     return F.coalesce(*[F.when(hit(name), F.lit(code)) for name, code in ordered])
@@ -109,6 +114,62 @@ def with_country_code(
     )
 
 
+def _trie_pattern(words: Iterable[str]) -> str:
+    """One alternation over the words, a branch for each next character."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def told(node: dict) -> str:
+        if "" in node:  # what begins here is looked up by all its lengths
+            return ""
+        branches = [f"\\x{{{ord(c):x}}}{told(below)}" for c, below in sorted(node.items())]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+    return told(root)
+
+
+@dataclass(frozen=True)
+class NameIndex:
+    """``pattern`` finds every place where a name may begin, with as many characters as names have;
+    names are keyed by their first ``longest`` characters, so by all of them if they have fewer:
+    ``sizes`` are the lengths of these keys."""
+
+    pattern: str
+    sizes: tuple[int, ...]
+    longest: int
+
+
+def name_index(names: DataFrame, word_boundary: bool = False) -> NameIndex | None:
+    """Index over the beginnings of ``nombre``; None without names.
+
+    As many characters are taken as leave about ``BEGINNINGS`` different beginnings, so the index has
+    the same size for any number of names. Only beginnings come to the driver.
+    """
+    spans = range(1, LONGEST_BEGINNING + 1)
+    seen = names.agg(
+        F.max(F.length("nombre")).alias("most"),
+        *[F.approx_count_distinct(F.left("nombre", F.lit(k))).alias(f"n{k}") for k in spans],
+    ).first()
+    if seen["most"] is None:
+        return None
+    longest = max([k for k in spans if seen[f"n{k}"] <= BEGINNINGS], default=1)
+    found = [r[0] for r in names.select(F.left("nombre", F.lit(longest))).distinct().collect()]
+    before = f"(?<!{INSIDE_WORD})" if word_boundary else ""
+    pattern = f"(?s){before}(?=({_trie_pattern(found)}.{{0,{seen['most'] + 1}}}))"
+    # A beginning that another one continues stands for both: the pattern stops at the shorter one.
+    return NameIndex(pattern, tuple(sorted({len(w) for w in found})), longest)
+
+
+def places_of_names(texts: DataFrame, index: NameIndex) -> DataFrame:
+    """(__texto, __resto): a row for each place of a text (``__plegado``) where a name may begin."""
+    hits = F.regexp_extract_all("__plegado", F.lit(index.pattern), F.lit(1))
+    return texts.select("__texto", F.explode(hits).alias("__resto"))
+
+
 def with_country_code_from(
     df: DataFrame,
     column: str,
@@ -120,10 +181,10 @@ def with_country_code_from(
 
     ``pos`` breaks ties between names of equal length. Entries without a name or a code are no
     names; of entries with one name the first by ``pos`` counts. Distinct folded texts are searched
-    once: every place of a text is joined, by as many characters as the shortest name has, with the
-    names that begin so, and the rest of the name is compared there. The way is the same for any
-    number of names; they are broadcast if they are counted to be few, else shuffled. Rows are
-    matched with their text by a key of bounded width, so they need no key of their own.
+    once, by a pattern over the beginnings of all names: only places where a name may begin become
+    rows, and these are joined with the names by their beginning. The way is the same for any number
+    of names; they are broadcast if they are counted to be few, else shuffled. Rows are matched with
+    their text by a key of bounded width, so they need no key of their own.
     """
     names = gazetteer.filter((F.col("nombre") != "") & F.col("codigo").isNotNull())
     ranked = materialise(
@@ -131,51 +192,26 @@ def with_country_code_from(
             F.min("pos").alias("pos"), F.min_by("codigo", "pos").alias("codigo")
         )
     )
-    sizes = ranked.agg(
-        F.min(F.length("nombre")).alias("least"), F.max(F.length("nombre")).alias("most")
-    ).first()
-    if sizes["least"] is None:
+    index = name_index(ranked, word_boundary)
+    if index is None:
         return df.withColumn(output, F.lit(None).cast("string"))
-    least, most = sizes["least"], sizes["most"]
     folded = text.fold_text(F.col(column).cast("string"))
     texts = (
         df.select(folded.alias("__plegado"))
-        .filter(F.length("__plegado") >= least)
+        .filter(F.col("__plegado") != "")
         .select(match_key(F.col("__plegado")).alias("__texto"), "__plegado")
         .groupBy("__texto")
         .agg(F.first("__plegado").alias("__plegado"))
     )
-    # Cut once into stretches, so that a place is found in a short text however long the whole is.
-    cut = F.regexp_extract_all("__plegado", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
-    stretch = F.col("__tramos")[F.col("__i")]
-    # A name may begin in a stretch and end in the following ones.
-    ahead = -(-most // STRETCH)
-    after = F.array_join(F.slice("__tramos", F.col("__i") + 2, ahead), "")
-    before = F.when(F.col("__i") > 0, F.right(F.col("__tramos")[F.col("__i") - 1], F.lit(1)))
-    places = (
-        texts.select("__texto", cut.alias("__tramos"))
-        .select("__texto", "__tramos", F.explode(F.sequence(F.lit(0), F.size("__tramos") - 1)).alias("__i"))
-        .select(
-            "__texto",
-            F.coalesce(before, F.lit("")).alias("__antes"),
-            F.length(stretch).alias("__largo"),
-            F.concat(stretch, F.left(after, F.lit(most))).alias("__tramo"),
-        )
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("__largo"))).alias("__pos"))
-        .select(
-            "__texto",
-            F.expr(f"substring(__tramo, __pos, {most + 1})").alias("__resto"),
-            F.expr("if(__pos > 1, substring(__tramo, __pos - 1, 1), __antes)").alias("__previo"),
-        )
-        .withColumn("__inicio", F.substring("__resto", 1, least))
-    )
-    keyed = ranked.select(F.substring("nombre", 1, least).alias("__inicio"), "nombre", "pos", "codigo")
+    # A place is asked for names of every length below the longest beginning, and for that.
+    starts = F.array(*[F.left("__resto", F.lit(k)) for k in index.sizes])
+    places = places_of_names(texts, index).select("*", F.explode(F.array_distinct(starts)).alias("__inicio"))
+    keyed = ranked.select(F.left("nombre", F.lit(index.longest)).alias("__inicio"), "nombre", "pos", "codigo")
     keyed = F.broadcast(keyed) if is_small(ranked) else keyed
     found = places.join(keyed, "__inicio").filter(F.col("__resto").startswith(F.col("nombre")))
     if word_boundary:
-        inside = r"[\p{L}\p{N}]"
         behind = F.expr("substring(__resto, length(nombre) + 1, 1)")
-        found = found.filter(~F.col("__previo").rlike(inside) & ~behind.rlike(inside))
+        found = found.filter(~behind.rlike(INSIDE_WORD))
     best = found.groupBy("__texto").agg(
         F.min_by("codigo", F.struct(-F.length("nombre"), "pos", "nombre")).alias(output)
     )

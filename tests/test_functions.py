@@ -133,9 +133,9 @@ def test_country_table(spark, texts):
 
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_country_table_of_any_size_with_repeated_and_long_texts(spark, texts, monkeypatch, few):
-    """Names broadcast or shuffled, names longer than a stretch, names that cross stretches."""
+    """Names broadcast or shuffled, told apart by their beginnings or by the join."""
     monkeypatch.setattr(country, "is_small", lambda df: df.count() <= few)
-    monkeypatch.setattr(country, "STRETCH", 7)
+    monkeypatch.setattr(country, "BEGINNINGS", 4096 if few else 2)
     names = [("peru", "PE", 0), ("chile", "CL", 1), ("peru", "XX", 2), ("republica de chile del sur", "RC", 3)]
     gazetteer = spark.createDataFrame(names, "nombre string, codigo string, pos int")
     given = ["de Perú", "a chile", None, "en peru", "x" * 50 + "chile" + "y" * 50, "a chile", "República de Chile del Sur", "per", ""]
@@ -146,6 +146,18 @@ def test_country_table_of_any_size_with_repeated_and_long_texts(spark, texts, mo
     assert country.with_country_code_from(texts(given), "v", gazetteer.limit(0)).filter("pais_codigo is not null").count() == 0
 
 
+def test_rows_of_the_name_search_follow_the_hits(spark):
+    names = spark.createDataFrame([(f"calle {i} norte",) for i in range(20_000)] + [("uk",), ("u.s.a.",)], "nombre string")
+    index = country.name_index(names)
+    assert len(index.pattern) < 500_000
+    texts = [("a", "avenida " * 25_000, 0), ("b", "calle 7 norte uk x" * 3, 6), ("c", "u.s.a. uxsxax cal le", 1), ("d", "", 0)]
+    df = spark.createDataFrame(texts, "__texto string, __plegado string, n int")
+    found = country.places_of_names(df, index).groupBy("__texto").count()
+    assert {r[0]: r[1] for r in found.collect()} == {t: n for t, _, n in texts if n}
+    inside = country.places_of_names(df, country.name_index(names, word_boundary=True)).groupBy("__texto").count()
+    assert {r[0]: r[1] for r in inside.collect()} == {"b": 4, "c": 1}
+
+
 def clean_in_python(value):
     if value is None:
         return None
