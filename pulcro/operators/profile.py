@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
 from .analysis import Analysis
 from .columns import as_text, known, match_key, missing, numeric_columns, scalar_columns, type_name
 from .metrics import frequencies, number_frequencies
@@ -110,17 +109,14 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
 
 
 def _counted_values(df: DataFrame, columns: list[str], numeric: list[str]) -> DataFrame:
-    """columna, valor (of numbers, as double), nulo, n of every distinct value."""
+    """columna, nulo, n of every distinct value."""
     plain = [n for n in numeric if not isinstance(df.schema[n].dataType, T.DecimalType)]
     parts = []
     if plain:
-        parts.append(number_frequencies(df, plain))
+        parts.append(number_frequencies(df, plain).select("columna", "nulo", "n"))
     others = [n for n in columns if n not in plain]
     if others:
-        as_number = F.when(F.col("columna").isin(*numeric), F.col("valor").try_cast("double"))
-        parts.append(
-            frequencies(df, others).select("columna", as_number.alias("valor"), "nulo", "n")
-        )
+        parts.append(frequencies(df, others).select("columna", "nulo", "n"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -134,9 +130,8 @@ PROFILE = (
 def columns_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, empty, distinct, repeated and descriptive statistics of every scalar column.
 
-    Counts, mean, deviation and extremes are one aggregation over one scan. Exact distinct counts
-    and quartiles come from a stored table of counted values, which can be as large as the input;
-    ``approximate`` takes sketches in the same aggregation instead and stores nothing. Statistics
+    Counts, mean, deviation and extremes are one aggregation over one scan, exact distinct counts a
+    shuffle of distinct values, exact quartiles three scans for all columns; ``approximate`` takes sketches in the same aggregation instead and stores nothing. Statistics
     are null for columns that are not numeric. The driver sees one row per column.
     """
     columns = scalar_columns(df)
@@ -184,10 +179,8 @@ def columns_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         # A null counts as one value, as in the exact form.
         repeated = F.col("duplicados") + F.greatest(F.col("vacios") - 1, F.lit(0))
         return described.withColumn("duplicados", repeated)
-    counted = materialise(_counted_values(df, columns, numeric))
-    quartiles = exact_quantiles(
-        df, numeric, [0.25, 0.5, 0.75], counted.filter(F.col("valor").isNotNull())
-    )
+    counted = _counted_values(df, columns, numeric)
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
     fixed = df.sparkSession.createDataFrame(
         [(n, *quartiles.get(n, [None] * 3)) for n in columns],
         "columna string, p25 double, p50 double, p75 double",

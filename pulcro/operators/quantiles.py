@@ -1,7 +1,8 @@
-"""Exact quantiles without sorting the table or gathering a column in one task."""
+"""Exact quantiles by radix selection: three scans for any number of columns and ranks."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 from math import ceil, floor
 
@@ -11,192 +12,130 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .columns import known
 
-#: Up to this many (estimated) distinct values are ranked by one task per column.
-RANKED_VALUES = 2_000_000
-BUCKETS = 4096
+#: Bits of the key that are still open after each scan.
+OPEN_BITS = (42, 21, 0)
+#: Buckets of a level that one window adds up; it finds the group of buckets first, then the bucket.
+GROUP_BITS = 11
 
+_NORMAL = 2.0**-1022
+_TINY = 2.0**-1074
 
-def _bucket(limits: Mapping[str, tuple[float, float]]) -> Column:
-    """Equal-width bucket of a value within its column; never decreases as the value grows."""
-    value, bucket = F.col("valor"), F.lit(0)
-    for name, (low, high) in limits.items():
-        span = high - low
-        if 0 < span < float("inf"):
-            place = F.when(F.isnan(value), BUCKETS).otherwise(
-                F.floor((value - low) / span * (BUCKETS - 1))
-            )
-            bucket = F.when(F.col("columna") == name, place).otherwise(bucket)
-    return bucket.cast("int")
 
+def sort_key(value: Column) -> Column:
+    """A long that orders doubles as they are ordered: the bits of their size, negative for negative ones.
 
-def _pick(
-    counted: DataFrame,
-    ranks: Mapping[str, Sequence[int]],
-    limits: Mapping[str, tuple[float, float]],
-) -> dict[tuple[str, int], float]:
-    """Values at zero-based ranks from a table (columna, valor, n) of counted values.
-
-    Buckets are counted first; only the values of buckets that hold a rank are put in order.
+    The exponent is estimated by a logarithm and put right by comparison; dividing by a power of two
+    and taking off the leading one are exact.
     """
-    wanted = F.create_map(
-        *[x for name, some in ranks.items()
-          for x in (F.lit(name), F.array(*[F.lit(r).cast("long") for r in some]))]
-    )
-    bucketed = counted.withColumn("tramo", _bucket(limits))
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("n").over(Window.partitionBy("columna").orderBy("tramo").rowsBetween(*so_far))
-    hit = (
-        bucketed.groupBy("columna", "tramo")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("hasta", upto)
-        .withColumn("antes", F.col("hasta") - F.col("n"))
-        .withColumn(
-            "rangos",
-            F.filter(
-                wanted[F.col("columna")],
-                lambda r: (r >= F.col("antes")) & (r < F.col("hasta")),
-            ),
-        )
-        .filter(F.size("rangos") > 0)
-        .select("columna", "tramo", "antes", "rangos")
-    )
-    within = F.sum("n").over(
-        Window.partitionBy("columna", "tramo").orderBy("valor").rowsBetween(*so_far)
+    size = F.abs(value)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+
+    def power(exponent: Column) -> Column:
+        return F.pow(F.lit(2.0), exponent)
+
+    exponent = guess + F.when(size >= power(guess + 1), 1).when(size < power(guess), -1).otherwise(0)
+    mantissa = ((size / power(exponent) - 1.0) * 2.0**52).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < _NORMAL, (size / _TINY).cast("long"))
+        .otherwise(F.shiftleft((exponent + 1023).cast("long"), 52) + mantissa)
     )
-    last = F.col("antes") + F.col("dentro")
-    found = (
-        bucketed.join(F.broadcast(hit), ["columna", "tramo"])  # at most one bucket per rank
-        .withColumn("dentro", within)
-        .select(
-            "columna",
-            "valor",
-            F.explode(
-                F.filter("rangos", lambda r: (r >= last - F.col("n")) & (r < last))
-            ).alias("rango"),
-        )
-        .collect()
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def from_sort_key(key: int) -> float:
+    (value,) = struct.unpack("<d", struct.pack("<q", abs(key)))
+    return -value if key < 0 else value
+
+
+def _level(keys: DataFrame, level: int, kept: Mapping[str, Sequence[int]] | None) -> DataFrame:
+    """columna, padre, tramo, n: rows by the bits known after this scan, inside the buckets ``kept``."""
+    tramo, padre = F.shiftright("clave", OPEN_BITS[level]), F.lit(0).cast("long")
+    if kept is not None:
+        padre = F.shiftright("clave", OPEN_BITS[level - 1])
+        lists = [x for name, some in kept.items() for x in (F.lit(name), F.array(*map(F.lit, some)))]
+        keys = keys.filter(F.array_contains(F.create_map(*lists)[F.col("columna")], padre))
+    return materialise(
+        keys.groupBy("columna", padre.alias("padre"), tramo.alias("tramo")).agg(F.count(F.lit(1)).alias("n"))
     )
-    return {(row["columna"], row["rango"]): row["valor"] for row in found}
 
 
-def _narrow(
-    df: DataFrame, value: Column, ranks: Sequence[int], ranked_values: int
-) -> dict[int, float]:
-    """Values at zero-based ranks of a column with too many distinct values to rank at once.
+def _locate(counts: DataFrame, wanted: list[tuple[str, int, list[int]]]) -> list[tuple[str, int, int, int, int]]:
+    """(columna, padre, rango, tramo, antes): the bucket that holds each rank of each parent bucket.
 
-    Each round narrows the values that can hold a rank to the error bound of an approximate
-    percentile. Rows below and inside a bracket are counted, so no rank is ever guessed.
+    ``wanted`` has columna, padre and ranks inside it. Groups of buckets are added up first, then the
+    buckets of those groups that hold a rank, so no window sees more than a few thousand rows.
     """
-    found: dict[int, float] = {}
-    accuracy = 10_000
-    open_ranks = {rank: (None, None) for rank in ranks}
-    while open_ranks:
-        rank, (low, high) = next(iter(open_ranks.items()))
-        inside, below = value.isNotNull(), F.lit(False)
-        if low is not None:
-            inside, below = value.between(low, high), value < low
-        part = df.filter(inside).select(value.alias("valor"))
-        size = df.agg(
-            F.count_if(below).alias("antes"),
-            F.count_if(inside).alias("dentro"),
-            F.approx_count_distinct(F.when(inside, value)).alias("valores"),
-            F.min(F.when(inside, value)).alias("minimo"),
-            F.max(F.when(inside, value)).alias("maximo"),
-        ).first()
-        if size["valores"] <= ranked_values:
-            counted = part.groupBy(F.lit("").alias("columna"), "valor").agg(
-                F.count(F.lit(1)).alias("n")
-            )
-            same = [r for r, span in open_ranks.items() if span == (low, high)]
-            picked = _pick(
-                counted,
-                {"": [r - size["antes"] for r in same]},
-                {"": (size["minimo"], size["maximo"])},
-            )
-            for r in same:
-                found[r] = picked[("", r - size["antes"])]
-                del open_ranks[r]
-            continue
-        middle, share = (rank - size["antes"] + 0.5) / size["dentro"], 2.0 / accuracy
-        bounds = part.agg(
-            F.percentile_approx(
-                "valor", [max(0.0, middle - share), min(1.0, middle + share)], accuracy
-            ).alias("p")
-        ).first()["p"]
-        check = df.agg(
-            F.count_if(value < bounds[0]).alias("antes"),
-            F.count_if(value <= bounds[1]).alias("hasta"),
-        ).first()
-        if check["antes"] <= rank < check["hasta"] and (bounds[0], bounds[1]) != (low, high):
-            for r in list(open_ranks):
-                if check["antes"] <= r < check["hasta"]:
-                    open_ranks[r] = (bounds[0], bounds[1])
-        else:
-            accuracy *= 10
-    return found
-
-
-def count_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """columna, valor, n: every non-null value of the columns, as double, with its count."""
-    return (
-        df.select(*[known(df, name).cast("double").alias(name) for name in names])
-        .unpivot([], list(names), "columna", "valor")
-        .filter(F.col("valor").isNotNull())
-        .groupBy("columna", "valor")
-        .agg(F.count(F.lit(1)).alias("n"))
+    asked = counts.sparkSession.createDataFrame(wanted, "columna string, padre long, rangos array<long>")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+
+    def reached(sums: DataFrame, group: list[str], order: str) -> DataFrame:
+        """Sums with the ranks that fall into them, counted from their start."""
+        total = F.sum("n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(*upto))
+        known_ = sums.withColumn("hasta", F.col("previo") + total)
+        start = F.col("hasta") - F.col("n")
+        inside = F.filter("rangos", lambda r: (r >= start) & (r < F.col("hasta")))
+        return known_.select("*", start.alias("antes"), inside.alias("dentro")).filter(F.size("dentro") > 0)
+
+    grouped = counts.withColumn("grupo", F.shiftright("tramo", GROUP_BITS))
+    sums = grouped.groupBy("columna", "padre", "grupo").agg(F.sum("n").alias("n"))
+    sums = sums.join(F.broadcast(asked), ["columna", "padre"]).withColumn("previo", F.lit(0).cast("long"))
+    groups = reached(sums, ["columna", "padre"], "grupo").select(
+        "columna", "padre", "grupo", F.col("antes").alias("previo"), F.col("dentro").alias("rangos")
     )
+    # At most one group for each rank.
+    inner = grouped.join(F.broadcast(groups), ["columna", "padre", "grupo"])
+    found = reached(inner, ["columna", "padre", "grupo"], "tramo")
+    rows = found.select("columna", "padre", "tramo", "antes", F.explode("dentro").alias("rango")).collect()
+    return [(r["columna"], r["padre"], r["rango"], r["tramo"], r["antes"]) for r in rows]
 
 
 def exact_quantiles(
-    df: DataFrame,
-    names: Sequence[str],
-    probabilities: Sequence[float],
-    counted: DataFrame | None = None,
-    ranked_values: int = RANKED_VALUES,
+    df: DataFrame, names: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Quantiles per column with linear interpolation; None for a column of nulls.
 
-    ``counted`` may give the counted values (see ``count_values``) if they are stored already.
+    Values become 64-bit keys in the same order. Each of three scans counts, for all columns at once
+    and with map-side combine, the next bits of the keys that can still hold a wanted rank; after the
+    third the keys at the ranks are known to the last bit. What is stored between scans are counts.
     """
     if not names:
         return {}
-    if counted is None:
-        counted = materialise(count_values(df, names))
-    counted = counted.filter(F.col("columna").isin(*names))
-    sizes = {
-        row["columna"]: row
-        for row in counted.groupBy("columna")
-        .agg(
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("distintos"),
-            F.min("valor").alias("minimo"),
-            F.max("valor").alias("maximo"),
-        )
-        .collect()  # one row per column
-    }
-    positions = {n: [p * (sizes[n]["n"] - 1) for p in probabilities] for n in names if n in sizes}
-    ranks = {
-        name: sorted({edge for x in some for edge in (floor(x), ceil(x))})
-        for name, some in positions.items()
-    }
-    small = [name for name in ranks if sizes[name]["distintos"] <= ranked_values]
-    picked: dict[tuple[str, int], float] = {}
-    if small:
-        chosen = counted.filter(F.col("columna").isin(*small))
-        limits = {name: (sizes[name]["minimo"], sizes[name]["maximo"]) for name in small}
-        picked = _pick(chosen, {name: ranks[name] for name in small}, limits)
-    for name in ranks:
-        if name not in small:
-            value = known(df, name).cast("double")
-            for rank, v in _narrow(df, value, ranks[name], ranked_values).items():
-                picked[(name, rank)] = v
+    values = df.select(*[(known(df, name).cast("double") + 0.0).alias(name) for name in names])
+    keys = (
+        values.unpivot([], list(names), "columna", "valor")
+        .filter(F.col("valor").isNotNull())
+        .select("columna", sort_key(F.col("valor")).alias("clave"))
+    )
+    first = _level(keys, 0, None)
+    sizes = {r["columna"]: r["n"] for r in first.groupBy("columna").agg(F.sum("n").alias("n")).collect()}
+    positions = {n: [p * (sizes[n] - 1) for p in probabilities] for n in names if n in sizes}
+    open_ranks = {
+        (name, 0): {rank: rank for x in some for rank in (floor(x), ceil(x))} for name, some in positions.items()
+    }  # ranks inside a bucket -> ranks in the column
+    if not open_ranks:
+        return {name: [None] * len(probabilities) for name in names}
+    counts, picked = first, {}
+    for level in range(len(OPEN_BITS)):
+        if level:
+            kept: dict[str, list[int]] = {}
+            for name, bucket in open_ranks:
+                kept.setdefault(name, []).append(bucket)
+            counts = _level(keys, level, kept)
+        found = _locate(counts, [(name, bucket, sorted(ranks)) for (name, bucket), ranks in open_ranks.items()])
+        following: dict[tuple[str, int], dict[int, int]] = {}
+        for name, parent, rank, bucket, before in found:
+            own = open_ranks[(name, parent)][rank]
+            following.setdefault((name, bucket), {})[rank - before] = own
+            picked[(name, own)] = bucket
+        open_ranks = following
 
     def at(name: str, x: float) -> float:
-        low, high = picked[(name, floor(x))], picked[(name, ceil(x))]
-        return low + (high - low) * (x - floor(x))
+        low, high = (from_sort_key(picked[(name, edge)]) for edge in (floor(x), ceil(x)))
+        return low + (high - low) * (x - floor(x)) if low != high else low
 
     return {
-        name: [at(name, x) for x in positions[name]] if name in ranks
-        else [None] * len(probabilities)
+        name: [at(name, x) for x in positions[name]] if name in positions else [None] * len(probabilities)
         for name in names
     }

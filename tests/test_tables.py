@@ -45,12 +45,37 @@ def test_nested_columns_are_left_out_of_the_metrics(spark, sf):
         metrics.quality_metrics(df, "embedding")
 
 
-@pytest.mark.parametrize("ranked_values", [quantiles.RANKED_VALUES, 50])
-def test_quantiles(spark, ranked_values):
-    """Also when a column has too many values to rank at once, with ties and heavy tails."""
+def test_sort_keys_are_the_bits_of_doubles(spark):
+    import math
+    import struct
+
+    random.seed(9)
+    values = [0.0, 5e-324, 2.0**-1022, 2.0**-1023, 1.0, math.inf, 1.7976931348623157e308]
+    values += [2.0**k for k in range(-1074, 1024, 7)] + [random.uniform(-1, 1) * 10.0 ** random.randrange(-320, 308) for _ in range(3000)]
+    values += [math.nextafter(2.0**k, s) for k in range(-1070, 1023, 11) for s in (0.0, math.inf)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.sort_key(F.col("v") + 0.0).alias("k"))
+    for v, k in df.collect():
+        (bits,) = struct.unpack("<q", struct.pack("<d", abs(v)))
+        assert k == (-bits if v < 0 else bits) and quantiles.from_sort_key(k) == v
+
+
+def test_quantiles_are_three_scans(spark, monkeypatch):
+    levels = []
+    real = quantiles._level
+    monkeypatch.setattr(quantiles, "_level", lambda *a: levels.append(a) or real(*a))
+    df = spark.createDataFrame([(float(i % 97), -1.0 / (i + 1), float("inf") if i > 90 else i * 1e300) for i in range(100)], "a double, b double, c double")
+    found = quantiles.exact_quantiles(df, ["a", "b", "c"], [0.0, 0.5, 1.0])
+    assert len(levels) == 3
+    assert found["b"] == [-1.0, pytest.approx((-1 / 50 - 1 / 51) / 2), -0.01]
+    assert found["c"][0] == 0.0 and found["c"][2] == float("inf")
+
+
+def test_quantiles(spark):
+    """With ties, heavy tails, nulls and negative numbers."""
     random.seed(7)
     data = {
-        "a": [random.lognormvariate(0, 5) for _ in range(4000)],
+        "a": [random.lognormvariate(0, 5) * random.choice([-1, 1, 1]) for _ in range(4000)],
         "b": [float(random.choice([1, 1, 1, 2, 3])) for _ in range(4000)],
         "c": [None if i % 3 else float(i) for i in range(4000)],
         "d": [None] * 4000,
@@ -59,7 +84,7 @@ def test_quantiles(spark, ranked_values):
         list(zip(*data.values())), "a double, b double, c double, d double"
     ).repartition(4)
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    found = quantiles.exact_quantiles(df, list(data), probabilities, ranked_values=ranked_values)
+    found = quantiles.exact_quantiles(df, list(data), probabilities)
     for name in "abc":
         known = [x for x in data[name] if x is not None]
         assert found[name] == pytest.approx(list(np.quantile(known, probabilities)))
