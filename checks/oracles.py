@@ -523,6 +523,15 @@ ORDER_TYPES = {
 }
 add("profile_columns", profile_sql("orders", ORDER_TYPES))
 add("profile_columns_lineitem", profile_sql("lineitem", LINE_TYPES))
+ORACLES["profile_merged_loads"] = (
+    "SELECT columna, tipo, vacios, cantidad, media, desviacion, minimo, maximo, true AS unicos_dentro, "
+    f"true AS cuartiles_dentro FROM ({profile_sql('lineitem', LINE_TYPES)})"
+)
+ORACLES["metrics_merged_loads"] = (
+    "SELECT * EXCLUDE (unicos, duplicados), true AS unicos_dentro FROM ("
+    + " UNION ALL ".join(metrics_sql("documents", c, True) for c in ("doc_id", "text", "lang", "source", "n_chars"))
+    + ")"
+)
 add(
     "profile_types",
     " UNION ALL ".join(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulcro.functions import country, dates, email, phone, text
-from pulcro.operators import analysis, catalogue, metrics, profile, rows
+from pulcro.operators import analysis, catalogue, incremental, metrics, profile, quantiles, rows
 from pulcro.operators.analysis import Analysis
 from pulcro.operators.duplicates import flag_duplicates
 from pulcro.plans import master, rulesets
@@ -369,6 +369,46 @@ def profile_columns_lineitem(spark, folder):
     return _rounded(profile.columns_profile(table(spark, folder, "lineitem")))
 
 
+def _merged_loads(spark, folder, name: str, key: str) -> DataFrame:
+    """State of a table that came in three loads, the last of them stored twice."""
+    path, df = scratch_path(spark, "cargas"), table(spark, folder, name)
+    for k in (0, 1, 2, 2):
+        incremental.store_load(df.filter(F.col(key) % 3 == k), path, f"carga_{k}")
+    return incremental.read_loads(spark, path)
+
+
+def _near(exact: str):
+    return F.abs(F.col("unicos") - F.col(exact)) <= 0.03 * F.col(exact)
+
+
+@query
+def profile_merged_loads(spark, folder):
+    """Merged loads equal the whole table: counts and moments exactly, distinct values within 3 %,
+    quartiles within 1 % of the ranks."""
+    df = table(spark, folder, "lineitem")
+    found = _rounded(incremental.finish_profile(_merged_loads(spark, folder, "lineitem", "l_orderkey")))
+    exact = profile.columns_profile(df).select("columna", F.col("unicos").alias("exactos"))
+    numbers = [r["columna"] for r in found.filter("cantidad IS NOT NULL").select("columna").collect()]
+    edges = quantiles.exact_quantiles(df, numbers, [0.24, 0.26, 0.49, 0.51, 0.74, 0.76])
+    bounds = spark.createDataFrame([(c, e) for c, e in edges.items()], "columna string, e array<double>")
+    inside = [F.col(p).between(F.round(F.col("e")[2 * i], 4), F.round(F.col("e")[2 * i + 1], 4)) for i, p in enumerate(("p25", "p50", "p75"))]
+    joined = found.join(exact, "columna").join(F.broadcast(bounds), "columna", "left")
+    return joined.select(
+        "columna", "tipo", "vacios", "cantidad", "media", "desviacion", "minimo", "maximo",
+        _near("exactos").alias("unicos_dentro"),
+        F.coalesce(inside[0] & inside[1] & inside[2], F.lit(True)).alias("cuartiles_dentro"),
+    )
+
+
+@query
+def metrics_merged_loads(spark, folder):
+    """The metrics of merged loads; distinct values within 3 %, repeats follow from them."""
+    found = incremental.finish_metrics(_merged_loads(spark, folder, "documents", "doc_id"))
+    exact = metrics.quality_metrics_all(table(spark, folder, "documents")).select("columna", F.col("unicos").alias("exactos"))
+    near = found.join(exact, "columna").withColumn("unicos_dentro", _near("exactos"))
+    return near.drop("unicos", "duplicados", "exactos")
+
+
 @query
 def report_columns(spark, folder):
     rules = {"p_name": ["Duplicados"], "p_brand": ["Caracteres especiales / símbolos"]}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .catalogue import HAS_DIGIT, HAS_LETTER, ONLY_LETTERS, SPECIAL, only_digits_pattern
 from .columns import KEY_BYTES, as_text, known, match_key, scalar_columns, type_of
 
-def _patterns() -> dict[str, str]:
+def pattern_tests() -> dict[str, str]:
     """Metric -> pattern whose matches it counts."""
     return {
         "contiene_numeros": HAS_DIGIT,
@@ -37,7 +37,7 @@ def quality_metrics(df: DataFrame, name: str, n: int = 10, approximate: bool = F
         nulls.alias("vacios"),
         distinct.alias("unicos"),
         F.count_if(F.length(value) > n).alias("longitud_mayor"),
-        *[F.count_if(value.rlike(p)).alias(metric) for metric, p in _patterns().items()],
+        *[F.count_if(value.rlike(p)).alias(metric) for metric, p in pattern_tests().items()],
     ).select(
         "vacios",
         (F.col("total") - F.col("unicos") - F.when(F.col("vacios") > 0, 1).otherwise(0)).alias(
@@ -45,7 +45,7 @@ def quality_metrics(df: DataFrame, name: str, n: int = 10, approximate: bool = F
         ),
         "unicos",
         "longitud_mayor",
-        *_patterns(),
+        *pattern_tests(),
     )
 
 
@@ -53,7 +53,7 @@ def _marks(value: Column) -> Column:
     """The pattern metrics of a value as bits of one integer."""
     bits = [
         F.when(value.rlike(pattern), F.lit(1 << bit)).otherwise(F.lit(0))
-        for bit, pattern in enumerate(_patterns().values())
+        for bit, pattern in enumerate(pattern_tests().values())
     ]
     return sum(bits[1:], bits[0])
 
@@ -137,7 +137,7 @@ def summarise(counted: DataFrame, n: int = 10) -> DataFrame:
         rows_where(F.col("largo") > n).alias("longitud_mayor"),
         *[
             rows_where(F.col("marcas").bitwiseAND(F.lit(1 << bit)) > 0).alias(metric)
-            for bit, metric in enumerate(_patterns())
+            for bit, metric in enumerate(pattern_tests())
         ],
         F.min("largo").alias("longitud_minima"),
         F.max("largo").alias("longitud_maxima"),
@@ -164,12 +164,12 @@ def quality_metrics_all(
             F.count_if(value.isNull()).alias(f"vacios_{i}"),
             distinct.alias(f"unicos_{i}"),
             F.count_if(F.length(value) > n).alias(f"longitud_mayor_{i}"),
-            *[F.count_if(value.rlike(p)).alias(f"{m}_{i}") for m, p in _patterns().items()],
+            *[F.count_if(value.rlike(p)).alias(f"{m}_{i}") for m, p in pattern_tests().items()],
             F.min(F.length(value)).alias(f"longitud_minima_{i}"),
             F.max(F.length(value)).alias(f"longitud_maxima_{i}"),
         ]
     told = cells.agg(F.count(F.lit(1)).alias("filas"), *parts)
-    names = ("longitud_mayor", *_patterns(), "longitud_minima", "longitud_maxima")
+    names = ("longitud_mayor", *pattern_tests(), "longitud_minima", "longitud_maxima")
 
     def entry(i: int, name: str) -> Column:
         empty = F.col(f"vacios_{i}")

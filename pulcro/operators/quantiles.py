@@ -9,8 +9,8 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .columns import known
+from ..session import stored
+from .columns import known, quoted
 
 #: Bits of the key that are still open after each scan.
 OPEN_BITS = (42, 21, 0)
@@ -21,27 +21,38 @@ _NORMAL = 2.0**-1022
 _TINY = 2.0**-1074
 
 
-def sort_key(value: Column) -> Column:
-    """A long that orders doubles as they are ordered: the bits of their size, negative for negative ones.
+def sort_keys(values: DataFrame) -> DataFrame:
+    """Doubles as longs in the same order: the bits of their size, negative for negative ones.
 
     The exponent is estimated by a logarithm and put right by comparison; dividing by a power of two
-    and taking off the leading one are exact.
+    and taking off the leading one are exact. Each step is a projection of its own, because what is
+    used several times in the next one is then computed once. There are no nulls to fear: they stay.
     """
-    size = F.abs(value)
-    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
-
-    def power(exponent: Column) -> Column:
-        return F.pow(F.lit(2.0), exponent)
-
-    exponent = guess + F.when(size >= power(guess + 1), 1).when(size < power(guess), -1).otherwise(0)
-    mantissa = ((size / power(exponent) - 1.0) * 2.0**52).cast("long")
-    bits = (
-        F.when(size == 0, F.lit(0).cast("long"))
-        .when(size == float("inf"), F.lit(2047 << 52))
-        .when(size < _NORMAL, (size / _TINY).cast("long"))
-        .otherwise(F.shiftleft((exponent + 1023).cast("long"), 52) + mantissa)
-    )
-    return F.when(value < 0, -bits).otherwise(bits)
+    names = values.columns
+    places = range(len(names))
+    steps = values.select(*[(F.col(quoted(n)) + 0.0).alias(f"v{i}") for i, n in enumerate(names)])
+    sizes = [F.abs(F.col(f"v{i}")) for i in places]
+    guesses = [F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)) for size in sizes]
+    steps = steps.select("*", *[F.when(sizes[i].isNotNull(), g).alias(f"g{i}") for i, g in enumerate(guesses)])
+    steps = steps.select("*", *[F.pow(F.lit(2.0), F.col(f"g{i}")).alias(f"p{i}") for i in places])
+    bits = []
+    for i, size in enumerate(sizes):
+        guess, power = F.col(f"g{i}"), F.col(f"p{i}")
+        over, under = size >= power * 2.0, size < power
+        exponent = guess + F.when(over, 1).when(under, -1).otherwise(0)
+        leading = power * F.when(over, 2.0).when(under, 0.5).otherwise(1.0)
+        bits.append(
+            F.when(size == 0, F.lit(0).cast("long"))
+            .when(size == float("inf"), F.lit(2047 << 52))
+            .when(size < _NORMAL, (size / _TINY).cast("long"))
+            .when(
+                size.isNotNull(),
+                F.shiftleft((exponent + 1023).cast("long"), 52) + ((size / leading - 1.0) * 2.0**52).cast("long"),
+            )
+        )
+    steps = steps.select(*[f"v{i}" for i in places], *[b.alias(f"b{i}") for i, b in enumerate(bits)])
+    signed = [F.when(F.col(f"v{i}") < 0, -F.col(f"b{i}")).otherwise(F.col(f"b{i}")) for i in places]
+    return steps.select(*[k.alias(n) for k, n in zip(signed, names)])
 
 
 def from_sort_key(key: int) -> float:
@@ -51,14 +62,35 @@ def from_sort_key(key: int) -> float:
 
 def _level(keys: DataFrame, level: int, kept: Mapping[str, Sequence[int]] | None) -> DataFrame:
     """columna, padre, tramo, n: rows by the bits known after this scan, inside the buckets ``kept``."""
-    tramo, padre = F.shiftright("clave", OPEN_BITS[level]), F.lit(0).cast("long")
-    if kept is not None:
-        padre = F.shiftright("clave", OPEN_BITS[level - 1])
-        lists = [x for name, some in kept.items() for x in (F.lit(name), F.array(*map(F.lit, some)))]
-        keys = keys.filter(F.array_contains(F.create_map(*lists)[F.col("columna")], padre))
-    return materialise(
-        keys.groupBy("columna", padre.alias("padre"), tramo.alias("tramo")).agg(F.count(F.lit(1)).alias("n"))
-    )
+    entries = []
+    for name in keys.columns if kept is None else kept:
+        key = F.col(quoted(name))
+        padre, inside = F.lit(0).cast("long"), key.isNotNull()
+        if kept is not None:
+            padre = F.shiftright(key, OPEN_BITS[level - 1])
+            inside = padre.isin(*kept[name])
+        tramo = F.shiftright(key, OPEN_BITS[level])
+        entry = F.struct(F.lit(name).alias("columna"), padre.alias("padre"), tramo.alias("tramo"))
+        entries.append(F.when(inside, entry))
+    rows = keys.select(F.explode(F.array(*entries)).alias("x")).filter("x IS NOT NULL").select("x.*")
+    return stored(rows.groupBy("columna", "padre", "tramo").agg(F.count(F.lit(1)).alias("n")), "tramos")
+
+
+def _inside(values: DataFrame, level: int, kept: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Values that lie in the buckets of a level, others null: only they need a key."""
+    step, last = 1 << OPEN_BITS[level], 2047 << 52
+
+    def edge(key: int) -> Column:
+        return F.lit(from_sort_key(max(-last, min(last, key))))
+
+    columns = []
+    for name, buckets in kept.items():
+        value = F.col(quoted(name))
+        inside = F.lit(False)
+        for b in sorted(set(buckets)):
+            inside = inside | value.between(edge(b * step), edge((b + 1) * step - 1))
+        columns.append(F.when(inside, value).alias(name))
+    return values.select(*columns)
 
 
 def _locate(counts: DataFrame, wanted: list[tuple[str, int, list[int]]]) -> list[tuple[str, int, int, int, int]]:
@@ -102,12 +134,8 @@ def exact_quantiles(
     """
     if not names:
         return {}
-    values = df.select(*[(known(df, name).cast("double") + 0.0).alias(name) for name in names])
-    keys = (
-        values.unpivot([], list(names), "columna", "valor")
-        .filter(F.col("valor").isNotNull())
-        .select("columna", sort_key(F.col("valor")).alias("clave"))
-    )
+    values = df.select(*[known(df, name).cast("double").alias(name) for name in names])
+    keys = sort_keys(values)
     first = _level(keys, 0, None)
     sizes = {r["columna"]: r["n"] for r in first.groupBy("columna").agg(F.sum("n").alias("n")).collect()}
     positions = {n: [p * (sizes[n] - 1) for p in probabilities] for n in names if n in sizes}
@@ -122,7 +150,7 @@ def exact_quantiles(
             kept: dict[str, list[int]] = {}
             for name, bucket in open_ranks:
                 kept.setdefault(name, []).append(bucket)
-            counts = _level(keys, level, kept)
+            counts = _level(sort_keys(_inside(values, level - 1, kept)), level, kept)
         found = _locate(counts, [(name, bucket, sorted(ranks)) for (name, bucket), ranks in open_ranks.items()])
         following: dict[tuple[str, int], dict[int, int]] = {}
         for name, parent, rank, bucket, before in found:

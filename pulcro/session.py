@@ -42,6 +42,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table whose order does not matter to the shared folder and reads it from there.
+
+    It is computed once; a checkpoint computes it a second time to write it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when a (cheap to scan) table holds at most ``max_rows`` rows; reads no further."""
     return df.limit(max_rows + 1).count() <= max_rows
