@@ -979,6 +979,7 @@ ORACLES["ruleset_delete_outcome"] = (
 )
 
 LATER = "(SELECT 'nuevo_' || c_name AS clave FROM customer WHERE c_custkey % 10 = 7 AND c_custkey % 3 <> 0)"
+ORACLES["ruleset_saved"] = ORACLES["ruleset_upsert"]
 ORACLES["ruleset_upsert_last_wins"] = (
     f"{W}, {INCOMING} SELECT {KEY.format('nombre')} AS clave, nombre, 'Vacíos' AS regla FROM nuevas "
     f"WHERE {KEY.format('nombre')} NOT IN (SELECT {KEY.format('clave')} FROM {LATER}) "
@@ -992,6 +993,6 @@ ORACLES["ruleset_apply_dashboard"] = (
 ORACLES["ruleset_apply_quality"] = f"{W}, {distribution('clientes', {'cli_email': ['Email']})}"
 add(
     "ruleset_exists",
-    "SELECT c_name AS nombre, c_custkey <> 5 AS existe FROM customer WHERE c_custkey IN (1, 2, 5) "
+    "SELECT ' ' || c_name || ' ' AS nombre, c_custkey % 5 <> 0 AS existe FROM customer "
     "UNION ALL SELECT 'no hay', false",
 )

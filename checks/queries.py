@@ -1109,13 +1109,24 @@ def ruleset_upsert(spark, folder):
 
 @query
 def ruleset_upsert_last_wins(spark, folder):
-    """Two incoming rule sets whose names give one key: the later one is stored."""
+    """Incoming rule sets whose names give one key, and the same names twice: the later one is stored."""
     first = _incoming(spark, folder)
     k = F.regexp_replace("nombre", "/", "_")
     later = first.filter(F.col("nombre").startswith("nuevo/")).withColumns({"nombre": k, "regla": F.lit("Email")})
     stored = rulesets.as_table(_parsed(spark, folder)).limit(0)
-    both = first.coalesce(1).unionByName(later.coalesce(1))
-    return rulesets.upsert(stored, both).select("clave", "nombre", "regla")
+    both = [first.withColumn("orden", F.lit(2)), later.withColumn("orden", F.lit(3))]
+    again = first.withColumns({"regla": F.lit("Duplicados"), "orden": F.lit(1)})
+    incoming = both[1].unionByName(both[0]).unionByName(again)
+    return rulesets.upsert(stored, incoming, "orden").select("clave", "nombre", "regla")
+
+
+@query
+def ruleset_saved(spark, folder):
+    """Saved key by key: the second call replaces its own keys only."""
+    path = scratch_path(spark, "reglas")
+    rulesets.save(rulesets.as_table(_parsed(spark, folder)), path)
+    rulesets.save(_incoming(spark, folder), path)
+    return rulesets.saved(spark, path)
 
 
 @query
@@ -1135,13 +1146,11 @@ def ruleset_apply_quality(spark, folder):
 
 @query
 def ruleset_exists(spark, folder):
-    """Whether rule sets are stored under some names: one of each kind, a broken one, none."""
+    """Whether rule sets are stored under the names of all customers, written with spaces, and under another."""
     stored = _parsed(spark, folder).withColumnRenamed("archivo", "clave")
-    names = table(spark, folder, "customer").filter("c_custkey IN (1, 2, 5)").select("c_name").collect()
-    asked = [r["c_name"] for r in names] + ["no hay"]
-    return spark.createDataFrame(
-        [(n, rulesets.exists(stored, f" {n} ")) for n in asked], "nombre string, existe boolean"
-    )
+    names = table(spark, folder, "customer").select(F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("nombre"))
+    names = names.unionByName(spark.range(1).select(F.lit("no hay").alias("nombre")))
+    return rulesets.which_exist(stored, names)
 
 
 def _unwanted(spark, folder) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .columns import as_text, check_all, column, known, missing, text_columns
+from .columns import as_text, check_all, column, known, missing, text_columns, type_of
 
 
 def keep_values(df: DataFrame, name: str | None, values: Sequence) -> DataFrame:
@@ -151,15 +152,29 @@ def _digest(columns: Iterable[Column], seed: str) -> Column:
     return F.xxhash64(F.lit(seed), *cells)
 
 
+def _place(df: DataFrame, order: str, tie: Column) -> Column:
+    """Order and 62 bits of the cells as one decimal; smaller is earlier, a null order is last."""
+    kind, value = type_of(df, order), column(df, order)
+    if isinstance(kind, T.DateType):
+        value = F.unix_date(value)
+    elif isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    elif not isinstance(kind, T.IntegralType):
+        raise TypeError(f"rows cannot be put in the order of {order}: {kind.simpleString()}")
+    first = F.coalesce(value.cast("decimal(19,0)"), F.lit(Decimal(2**63)))
+    return first * F.lit(Decimal(2**62)) + F.shiftrightunsigned(tie, 2)
+
+
 def drop_duplicate_rows(
     df: DataFrame, columns: Iterable[str] | None = None, order: str = "fila"
 ) -> DataFrame:
     """The first row, by ``order``, of every group of equal rows; all its cells are of one row.
 
-    A null ``order`` comes last. Of several rows that are first, one is chosen by its cells. Groups
-    shrink to the least order before the shuffle, so a row repeated through a third of the table
-    costs one row per task; then rows meet the least order of their group, named by 128 bits of the
-    key. No window or sort of whole groups is needed.
+    ``order`` is a whole number, a date or a time; null comes last. Of several rows that are first,
+    one is chosen by its cells. Order and cells make one number, so one scan finds the first place of
+    every group by hash aggregation, combined before the shuffle: a key that holds a third of the
+    table, with whatever order or none, costs one row per task. Rows then meet the winners once,
+    named by 128 bits of the key. No window or sort of whole groups is needed.
     """
     keys = check_all(df, columns) if columns is not None else [n for n in df.columns if n != order]
     others = [n for n in df.columns if n not in keys and n != order]
@@ -168,12 +183,12 @@ def drop_duplicate_rows(
         first = df.groupBy(*keyed).agg(F.min(order).alias(order))
         return first.select(*[column(df, n) for n in df.columns])
     group = ["__g1", "__g2"]
-    named = df.withColumns({g: _digest(keyed, g) for g in group})
-    least = named.groupBy(*group).agg(F.min(order).alias("__least"))
-    first = named.join(least, group).where(column(df, order).eqNullSafe(F.col("__least")))
-    first = first.withColumn("__tie", _digest([column(df, n) for n in others], "tie"))
-    chosen = first.groupBy(*group).agg(F.min("__tie").alias("__chosen"))
-    whole = first.join(chosen, group).where(F.col("__tie") == F.col("__chosen"))
+    named = df.withColumns({
+        **{g: _digest(keyed, g) for g in group},
+        "__place": _place(df, order, _digest([column(df, n) for n in others], "tie")),
+    })
+    winners = named.groupBy(*group).agg(F.min("__place").alias("__place"))
+    whole = named.join(winners, [*group, "__place"], "left_semi")
     # What is left of a group is one row, or the same row several times.
     return whole.select(*[column(df, n) for n in df.columns]).distinct()
 

@@ -26,6 +26,10 @@ TABLE = (
     "clave", "tipo", "nombre", "fecha", "columna", "pos", "regla", "parametro",
     "validar_email", "validar_telefono",
 )
+TABLE_SCHEMA = (
+    "clave string, tipo string, nombre string, fecha string, columna string, pos int, regla string, "
+    "parametro string, validar_email boolean, validar_telefono boolean"
+)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -170,15 +174,55 @@ def stamp(rule_sets: DataFrame, moment: Column | None = None) -> DataFrame:
     )
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def last_of_key(incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Of incoming rule sets with one key, also those of one name, the last; without ``order`` after.
+
+    ``order`` is a column of ``incoming``, the same in all rows of a rule set; null is first. Of rule
+    sets of one place in it, or without it, the greatest name is the last.
+    """
+    place = F.struct(F.col(order) if order else F.lit(0), "nombre").alias("__lugar")
+    placed = incoming.select("*", place)
+    last = placed.groupBy("clave").agg(F.max("__lugar").alias("__ultimo"))
+    chosen = placed.join(last, "clave").where(F.col("__lugar").eqNullSafe(F.col("__ultimo")))
+    return chosen.select(*TABLE)
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
     """The table with the incoming rule sets put in place of those stored under the same key.
 
-    Names that differ can share a key; of such incoming rule sets the last one is stored.
+    Names that differ can share a key; of such incoming rule sets the last one by ``order`` is
+    stored, see ``last_of_key``.
+    """
+    keys = incoming.select("clave").distinct()
+    return stored.join(keys, "clave", "left_anti").unionByName(last_of_key(incoming, order))
+
+
+def save(incoming: DataFrame, path: str, order: str | None = None) -> None:
+    """Writes incoming rule sets below ``path``, a folder a key; other keys are not read or written.
+
+    A rule set takes the place of the one under its key as a whole; saving again changes nothing.
     """
-    numbered = incoming.withColumn("__orden", F.monotonically_increasing_id())
-    last = numbered.groupBy("clave").agg(F.max_by("nombre", "__orden").alias("__ultimo"))
-    chosen = incoming.join(last, "clave").where(F.col("nombre").eqNullSafe(F.col("__ultimo")))
-    return stored.join(last, "clave", "left_anti").unionByName(chosen.drop("__ultimo"))
+    (
+        last_of_key(incoming, order)
+        .repartition("clave")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("clave")
+        .parquet(path)
+    )
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """All rule sets saved below ``path``."""
+    # The given schema keeps keys that look like numbers as they are.
+    return spark.read.schema(TABLE_SCHEMA).parquet(path).select(*TABLE)
+
+
+def which_exist(keyed: DataFrame, names: DataFrame, key: str = "clave") -> DataFrame:
+    """(nombre, existe) for every name asked for, by one join."""
+    keys = keyed.select(F.col(key).alias("__clave")).distinct().withColumn("__hay", F.lit(True))
+    asked = names.select("nombre", text.safe_name(F.col("nombre")).alias("__clave"))
+    return asked.join(keys, "__clave", "left").select("nombre", F.col("__hay").isNotNull().alias("existe"))
 
 
 def delete(stored: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

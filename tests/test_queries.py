@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tools.compare import bag
@@ -55,6 +56,8 @@ def test_rule_pass_is_one_scan(spark, sf):
 def test_first_of_equal_rows_sorts_no_groups(spark, sf):
     plan = QUERIES["drop_duplicate_rows_by_key"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Window" not in plan
+    # One scan finds the winners, one meets them.
+    assert plan.count("FileScan") == 2
 
 
 def test_approximate_profile_stores_nothing_and_shuffles_one_row(spark, sf):
@@ -91,3 +94,17 @@ def test_duplicate_rows_keep_whole_rows(spark):
     found = {r["k"]: tuple(r) for r in rows.drop_duplicate_rows(df, ["k"]).collect()}
     assert found["a"] in given and found["b"] in [(2, "b", "z"), (2, "b", "w")] and found[None] == (1, None, "n")
     assert len(found) == 3
+
+
+def test_a_key_of_a_third_of_the_rows_keeps_its_first(spark):
+    from pulcro.operators import rows
+
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("k")).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
+        F.when(F.col("id") % 3 != 0, F.col("id")).alias("fila"), (F.col("id") % 50).alias("c"),
+    )
+    found = {r["k"]: (r["fila"], r["c"]) for r in rows.drop_duplicate_rows(df, ["k"]).collect()}
+    assert len(found) == 501 and found["k"][0] is None
+    assert all(row[0] == next(i for i in (int(k[1:]), int(k[1:]) + 500, int(k[1:]) + 1000) if i % 3) for k, row in found.items() if k != "k")
+    with pytest.raises(TypeError):
+        rows.drop_duplicate_rows(df.withColumn("fila", F.lit("x")), ["k"])
