@@ -291,6 +291,13 @@ ORACLES["row_category"] = (
     + ", ".join(f"categoria_{c}" for c in FULL)
     + " FROM cat"
 )
+ORACLES["sql_row_category"] = ORACLES["row_category"]
+ORACLES["sql_diagnoses"] = (
+    f"{W}{PHONES} SELECT c.fila, {email_case('cli_email')} AS email, d.diagnostico AS telefono, "
+    "regexp_replace(trim(cli_nombre), '[^a-zA-Z0-9_-]', '_', 'g') AS nombre, length(cli_nombre) > 10 AS largo, "
+    "coalesce(contains(upper(cli_direccion), 'MÉXICO'), false) AS mexico FROM clientes c JOIN diagnosticos d "
+    f"ON d.origen = 'cliente' AND d.fila = c.fila WHERE NOT ({blank('cli_nombre')})"
+)
 ORACLES["row_any_error"] = (
     f"{W}, {categories('clientes', SMALL)} SELECT fila, "
     + " OR ".join(f"categoria_{c} <> 'Correcto'" for c in SMALL)
@@ -313,6 +320,7 @@ ORACLES["error_report_written"] = (
 )
 ORACLES["category_distribution"] = f"{W}, {distribution('clientes', FULL)}"
 ORACLES["column_error_rate"] = f"{W}, {rates('clientes', FULL)} SELECT * FROM tasas"
+ORACLES["stream_error_rate"] = ORACLES["column_error_rate"]
 ORACLES["column_error_rate_prefiltered"] = (
     f"{W}, elegidos AS (SELECT * FROM clientes WHERE segmento IN ('BUILDING', 'MACHINERY')), "
     f"{rates('elegidos', SMALL)} SELECT * FROM tasas"

@@ -17,11 +17,12 @@ from pulcro.functions import country, dates, email, phone, text
 from pulcro.operators import analysis, catalogue, incremental, metrics, profile, quantiles, rows
 from pulcro.operators.analysis import Analysis
 from pulcro.operators.duplicates import flag_duplicates
-from pulcro.plans import master, rulesets
+from pulcro.plans import master, rulesets, sql_functions
 from pulcro.plans.cleaning import ALL_TEXT, CleaningPlan, Replacement
 from pulcro.session import scratch_path
 from pulcro.sinks import tables
 from pulcro.sources import delimited, numbering, promotion, workbook
+from pulcro.streaming import loads
 
 from . import phone_numbers
 from .views import ASSIGNMENTS, clientes, faltantes, proveedores, table
@@ -173,6 +174,31 @@ def row_category(spark, folder):
     return _clientes_analysis(spark, folder).row_categories("fila").drop("algun_error")
 
 
+@query
+def sql_row_category(spark, folder):
+    """The categories of all analysed columns from SQL text alone."""
+    names = sql_functions.function_name
+    sql_functions.register_functions(spark)
+    cases = []
+    for c, rules in ASSIGNMENTS["clientes_full"].items():
+        tests = " ".join(f"WHEN {names(rule)}({c}) THEN '{rule}'" for rule in rules)
+        cases.append(f"CASE {tests} ELSE 'Correcto' END AS categoria_{c}")
+    return spark.sql(f"SELECT fila, {', '.join(cases)} FROM {{clientes}}", clientes=clientes(spark, folder))
+
+
+@query
+def sql_diagnoses(spark, folder):
+    """Diagnoses, safe names and rules with a parameter, in SQL; a filter by a rule."""
+    sql_functions.register_functions(spark)
+    return spark.sql(
+        "SELECT fila, diagnostico_email(cli_email) AS email, diagnostico_telefono(cli_telefono) AS telefono, "
+        "nombre_seguro(cli_nombre) AS nombre, regla_longitud_mayor_a_n(cli_nombre, 10) AS largo, "
+        "regla_contiene_un_valor_especifico(cli_direccion, 'méxico') AS mexico FROM {clientes} "
+        "WHERE NOT regla_vacios(cli_nombre)",
+        clientes=clientes(spark, folder),
+    )
+
+
 @query
 def row_any_error(spark, folder):
     small = _clientes_analysis(spark, folder, "clientes_small")
@@ -211,6 +237,17 @@ def column_error_rate(spark, folder):
     return _clientes_analysis(spark, folder).column_error_rate()
 
 
+@query
+def stream_error_rate(spark, folder):
+    """Customers that arrive in two loads; the second run starts anew from the checkpoint."""
+    given, target = clientes(spark, folder), scratch_path(spark, "flujo")
+    rules = ASSIGNMENTS["clientes_full"]
+    for part in (0, 1):
+        given.filter(F.col("fila") % 2 == part).write.mode("append").parquet(f"{target}/llegadas")
+        loads.StreamedAnalysis(spark, given.schema, rules, target).run_available(f"{target}/llegadas")
+    return loads.StreamedAnalysis(spark, given.schema, rules, target).column_error_rate()
+
+
 @query
 def column_error_rate_prefiltered(spark, folder):
     """Filter first, then rules: duplicates and percentages refer to the rows kept."""
