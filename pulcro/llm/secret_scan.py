@@ -57,15 +57,16 @@ ALLOWED = (
 
 
 def _spans(text: str, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<a, b, hit>> of the leftmost non-overlapping matches: characters before, length, text.
+
+    Matches and what lies between them are both taken once from the whole text and laid side by side.
+    """
     regex = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    hits = f"regexp_extract_all({text}, {regex}, 0)"
-    gaps = f"split({text}, {regex}, -1)"
-    return F.expr(
-        f"if(size({hits}) = 0, cast(array() as array<struct<a:bigint,b:bigint,hit:string>>), "
-        f"transform({hits}, (h, i) -> struct(cast(length({gaps}[i]) as bigint) as a, "
-        "cast(length(h) as bigint) as b, h as hit)))"
+    pairs = (
+        f"zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1), (h, gap) -> if(h is null, null, "
+        "struct(cast(length(gap) as bigint) as a, cast(length(h) as bigint) as b, h as hit)))"
     )
+    return F.expr(f"filter({pairs}, s -> s is not null)")
 
 
 def _placed(steps: str) -> Column:
@@ -78,6 +79,22 @@ def _placed(steps: str) -> Column:
     )
 
 
+def _running_greatest(array: str) -> str:
+    """SQL for the greatest of all elements up to and including each one, in chunks of 512."""
+    chunks = (
+        f"transform(sequence(0, greatest(cast(ceil(size({array}) / 512.0) as int) - 1, 0)), "
+        f"k -> slice({array}, k * 512 + 1, 512))"
+    )
+    bases = (
+        f"aggregate({chunks}, array(-1L), (acc, c) -> concat(acc, array("
+        "greatest(element_at(acc, -1), array_max(c)))))"
+    )
+    return (
+        f"flatten(zip_with({chunks}, slice({bases}, 1, size({chunks})), (c, b) -> slice("
+        "aggregate(c, array(b), (acc, x) -> concat(acc, array(greatest(element_at(acc, -1), x)))), 2, size(c))))"
+    )
+
+
 def window_entropy(hit: str, kind: CharClass) -> str:
     """SQL: the greatest entropy, in bits, of any window of ``kind.window`` symbols of ``hit``."""
     w, n = kind.window, len(kind.alphabet)
@@ -122,7 +139,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Kinds: assign, access, hex (the base scan) and entropy, for candidates that overlap no span of
     the base scan. Offsets count code points, the end is exclusive. A null or empty text has none.
-    One row per input row, repeated rows included; other columns are not read.
+    One row per input row, repeated rows included; other columns are not read. Time is linear in the
+    text and its spans, but for sorting them.
     """
     found = docs.select("doc_id", text_or_empty().alias("text"))
     kinds = (("assign", ASSIGN), ("access", ACCESS), ("hex", f"{HEX[:-1]}{{{MIN_HEX},}}"), ("entropy", CANDIDATE))
@@ -133,11 +151,16 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         "assign", F.expr(f"filter(assign, s -> length(regexp_extract(s.hit, {value}, 2)) >= {MIN_VALUE})")
     ).withColumn("access", F.expr(f"filter(access, s -> length(s.hit) >= {MIN_ACCESS})"))
     found = found.withColumn("entropy", F.expr(f"filter(entropy, s -> {_is_secret('s.hit')})"))
-    found = found.withColumn("base", F.expr("concat(assign, access, hex)"))
+    # A span overlaps none of the base if none that begins before its end ends behind its start: base
+    # spans by start and candidates by end are put in one order, with the greatest end so far.
+    bases = "transform(concat(assign, access, hex), s -> struct(s.start as at, 1 as base, s.end as end, s as span))"
     found = found.withColumn(
-        "entropy",
-        F.expr("filter(entropy, s -> not exists(base, b -> b.start < s.end and s.start < b.end))"),
+        "events",
+        F.expr(f"array_sort(concat({bases}, transform(entropy, s -> struct(s.end as at, 0 as base, -1L as end, s as span))))"),
     )
+    found = found.withColumn("ends", F.expr(_running_greatest("transform(events, e -> e.end)")))
+    alone = "zip_with(events, ends, (e, most) -> if(e.base = 0 and most <= e.span.start, e.span, null))"
+    found = found.withColumn("entropy", F.expr(f"filter({alone}, s -> s is not null)"))
     ranked = ", ".join(
         f"transform({k}, s -> struct(s.start as start, {i} as rank, '{k}' as kind, s.end as end, s.hit as hit))"
         for i, (k, _) in enumerate(kinds)
