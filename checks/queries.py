@@ -580,15 +580,10 @@ def dates_all_columns(spark, folder):
 
 @query
 def dates_formats(spark, folder):
-    """Order dates as text, rewritten to every target format."""
-    df = table(spark, folder, "orders").select("o_orderkey", "o_orderdate").select(
-        "o_orderkey",
-        *[F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias(f"f{i}")
-          for i in range(len(dates.TARGETS))],
-    )
-    for i, target in enumerate(dates.TARGETS):
-        df = dates.standardise(df, [f"f{i}"], target)
-    return df
+    """Order dates as text, read once and written in every target format."""
+    text_date = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("fecha")
+    df = table(spark, folder, "orders").select("o_orderkey", text_date)
+    return dates.to_formats(df, "fecha", {f"f{i}": t for i, t in enumerate(dates.TARGETS)}).drop("fecha")
 
 
 # ---------------------------------------------------------------- rows and columns

@@ -7,7 +7,7 @@ column of arbitrary text raises no exception inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,27 +115,22 @@ def _month(token: Column) -> Column:
     return F.when(token.rlike(r"^\d"), token.try_cast("int")).otherwise(named)
 
 
-def standardise(
-    df: DataFrame, columns: Iterable[str], target: str = DEFAULT_TARGET, preset: str = DEFAULT
-) -> DataFrame:
-    """Rewrites the dates of the columns; values that are not dates stay as they are.
+def _with_parsed(df: DataFrame, columns: list[str], preset: str) -> tuple[DataFrame, list[str]]:
+    """Adds, for each column, the date in its values as eight digits (``__fecha_n_i``), null where there is none.
 
-    Every step is a projection of its own, so nothing is computed twice per value.
+    Every step is a projection of its own, so nothing is computed twice per value. Also returns the
+    columns that were added.
     """
     if preset not in (DEFAULT, DAYFIRST_COMPAT):
         raise ValueError(f"unknown date preset: {preset}")
-    columns = list(columns)
-    if not columns:
-        return df
     digit_first, name_first = _shapes(preset)
-    order, separator = TARGETS.get(target, TARGETS[DEFAULT_TARGET])
-    steps: list[dict[str, Column]] = [{} for _ in range(5)]
+    steps: list[dict[str, Column]] = [{} for _ in range(4)]
     helpers: list[str] = []
     for i, name in enumerate(columns):
         value = F.col(f"`{name}`").cast("string")
         names = [f"__fecha_{part}_{i}" for part in ("texto", "partes", "a", "m", "d", "n")]
         helpers += names
-        t, found, year, month, day, number = map(F.col, names)
+        t, found, year, month, day, _ = map(F.col, names)
         steps[0][names[0]] = F.regexp_replace(text.strip(value), _WEEKDAY, "")
         steps[1][names[1]] = F.split(
             F.when(t.rlike(r"^\d"), _rewrite(t, digit_first)).otherwise(_rewrite(t, name_first)),
@@ -150,13 +145,38 @@ def standardise(
             .when(may_swap & _is_date(year, day, month), year * 10000 + day * 100 + month)
             .cast("string")
         )
-        pieces = {
-            "y": F.substring(number, 1, 4),
-            "m": F.substring(number, 5, 2),
-            "d": F.substring(number, 7, 2),
-        }
-        formatted = F.concat_ws(separator, *[pieces[part] for part in order])
-        steps[4][name] = F.when(number.isNotNull(), formatted).otherwise(value)
     for step in steps:
         df = df.withColumns(step)
-    return df.drop(*helpers)
+    return df, helpers
+
+
+def _formatted(value: Column, number: Column, target: str) -> Column:
+    """The date in the target format; values without a date stay as they are."""
+    order, separator = TARGETS.get(target, TARGETS[DEFAULT_TARGET])
+    pieces = {
+        "y": F.substring(number, 1, 4),
+        "m": F.substring(number, 5, 2),
+        "d": F.substring(number, 7, 2),
+    }
+    written = F.concat_ws(separator, *[pieces[part] for part in order])
+    return F.when(number.isNotNull(), written).otherwise(value)
+
+
+def standardise(
+    df: DataFrame, columns: Iterable[str], target: str = DEFAULT_TARGET, preset: str = DEFAULT
+) -> DataFrame:
+    """Rewrites the dates of the columns; values that are not dates stay as they are."""
+    columns = list(columns)
+    if not columns:
+        return df
+    parsed, helpers = _with_parsed(df, columns, preset)
+    values = [F.col(f"`{name}`").cast("string") for name in columns]
+    written = {name: _formatted(v, F.col(f"__fecha_n_{i}"), target) for i, (name, v) in enumerate(zip(columns, values))}
+    return parsed.withColumns(written).drop(*helpers)
+
+
+def to_formats(df: DataFrame, column: str, outputs: Mapping[str, str], preset: str = DEFAULT) -> DataFrame:
+    """Adds the dates of a column in several formats, ``outputs``: new column -> format; parsed once."""
+    parsed, helpers = _with_parsed(df, [column], preset)
+    value, number = F.col(f"`{column}`").cast("string"), F.col("__fecha_n_0")
+    return parsed.withColumns({name: _formatted(value, number, target) for name, target in outputs.items()}).drop(*helpers)
