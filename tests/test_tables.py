@@ -226,3 +226,52 @@ def test_master_products(spark):
     )
     found = master.products(df, "codigo", "precio").orderBy("fila").collect()
     assert [r["valido"] for r in found] == [True, False, False, False]
+
+
+def test_profiles_merge_in_any_grouping(spark, tmp_path):
+    from pulcro.operators import incremental
+
+    data = [(i, None if i % 7 == 0 else i * 0.5 if i % 5 else float("nan"), "x" * (i % 13) if i % 11 else None) for i in range(600)]
+    df = spark.createDataFrame(data, "k long, v double, t string")
+    parts = [incremental.load_profile(df.filter(F.col("k") % 4 == n)) for n in range(4)]
+    flat = incremental.merge_profiles(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    pair = incremental.merge_profiles(parts[2].unionByName(parts[0]))
+    nested = incremental.merge_profiles(pair.unionByName(parts[3]).unionByName(parts[1]))
+    exact = {r["columna"]: r for r in profile.columns_profile(df).collect()}
+    for state in (flat, nested):
+        for row in incremental.finish_profile(state).collect():
+            own = exact[row["columna"]]
+            for name in ("tipo", "vacios", "cantidad", "minimo", "maximo"):
+                assert row[name] == own[name]
+            assert abs(row["unicos"] - own["unicos"]) <= 0.03 * own["unicos"] + 1
+            for name in ("media", "desviacion"):
+                assert row[name] == pytest.approx(own[name])
+    told = {r["columna"]: r for r in incremental.finish_metrics(flat).collect()}
+    for row in metrics.quality_metrics_all(df).collect():
+        for name in ("vacios", "longitud_mayor", "contiene_numeros", "solo_letras", "longitud_minima", "longitud_maxima"):
+            assert told[row["columna"]][name] == row[name]
+
+
+def test_loads_are_replaced_and_may_be_empty(spark, tmp_path):
+    from pulcro.operators import incremental
+
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0)], "k long, v double")
+    path = str(tmp_path / "cargas")
+    for rows, load in ((df, "a"), (df.filter("k > 1"), "b"), (df.limit(0), "c"), (df.filter("k = 1"), "a")):
+        incremental.store_load(rows, path, load)
+    rows = {r["columna"]: r for r in incremental.finish_profile(incremental.read_loads(spark, path)).collect()}
+    assert (rows["v"]["cantidad"], rows["v"]["vacios"], rows["v"]["media"], rows["v"]["maximo"]) == (2, 1, 3.0, 4.0)
+    only = incremental.finish_profile(incremental.read_loads(spark, path, ["c"])).first()
+    assert only["cantidad"] == 0 and only["media"] is None and only["p50"] is None
+
+
+def test_dates_in_several_formats_are_parsed_once(spark):
+    from pulcro.functions import dates
+
+    df = spark.createDataFrame([("3 de enero",), ("2024-03-04 10:00",), (None,), ("04/03/2024",)], "f string")
+    first, second = list(dates.TARGETS)[:2]
+    both = dates.to_formats(df, "f", {"a": first, "b": second})
+    one, two = dates.standardise(df, ["f"], first), dates.standardise(df, ["f"], second)
+    assert [r["a"] for r in both.collect()] == [r["f"] for r in one.collect()]
+    assert [r["b"] for r in both.collect()] == [r["f"] for r in two.collect()]
+    assert [r["f"] for r in both.collect()] == [r["f"] for r in df.collect()]
