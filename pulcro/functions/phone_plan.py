@@ -113,7 +113,7 @@ LENGTHS = {
     (4, 12): "352 358",
     (5, 8): "500 676 677 678 685 688 690",
     (6, 6): "298 299 508 672 681 687",
-    (6, 9): "252 355 376 385 689",
+    (6, 9): "252 355 376 689",
     (6, 12): "378 381",
     (7, 7): "220 238 239 246 248 291 297 592 597 673 674 679 680 691 692 960",
     (7, 8): "230 241 267 269 599 670 675 686 975",

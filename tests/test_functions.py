@@ -6,7 +6,7 @@ import unicodedata
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pulcro.functions import country, dates, email, phone, text
+from pulcro.functions import country, dates, email, phone, phone_plan, text
 from pulcro.functions import unicode_tables as U
 
 @pytest.mark.parametrize(
@@ -93,9 +93,9 @@ def test_phone_hn(apply):
 def test_calling_codes_are_prefix_free():
     codes = set(phone.numbering_plan())
     assert not [(a, b) for a in codes for b in codes if a != b and b.startswith(a)]
-    listed = [c for group in phone.NATIONAL_LENGTHS.values() for c in group.split()]
+    listed = [c for group in phone_plan.LENGTHS.values() for c in group.split()]
     assert len(listed) == len(set(listed))
-    assert not set(listed) & set(phone.NATIONAL_PATTERNS)
+    assert not set(listed) & set(phone_plan.RANGES)
 
 
 ADDRESSES = {
@@ -275,7 +275,6 @@ def test_both_forms_of_the_numbering_plan_agree(spark, apply):
     import random
 
     from checks import phone_numbers
-    from pulcro.functions import phone_plan
 
     rng = random.Random(5)
     codes = sorted(phone_plan.national_ranges())
@@ -292,7 +291,6 @@ def test_both_forms_of_the_numbering_plan_agree(spark, apply):
 
 
 def test_a_range_added_to_the_plan_decides(spark):
-    from pulcro.functions import phone_plan
 
     more = spark.createDataFrame([("50499", "504", 12, 12, "portados")], phone_plan.PLAN_SCHEMA)
     plan = phone_plan.default_plan(spark).unionByName(more)
