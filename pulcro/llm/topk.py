@@ -154,7 +154,7 @@ def _search_pair(pair, k: int) -> pd.DataFrame:
         for row, (i, m) in enumerate(zip(flat, n.tolist(), strict=True)):
             if m:
                 out.append((i, np.arange(m), products[row, :m]))
-    parts = []
+    places, found, scores = [], [], []
     for i, at, score in out:
         good = (score >= floor[i]) & (vrow[at] != qrow[i])
         at, score = at[good], score[good]
@@ -164,21 +164,21 @@ def _search_pair(pair, k: int) -> pd.DataFrame:
             at, score = at[score >= least], score[score >= least]
             best = np.lexsort((vid[at], ~vknown[at], -score))[:k]
             at, score = at[best], score[best]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "query_row": np.full(len(at), qrow[i]),
-                    "query_id": np.full(len(at), qid[i]),
-                    "vec_row": vrow[at],
-                    "vec_id": pd.array(vid[at], dtype="Int64"),
-                    "score": score,
-                }
-            )
-        )
-        parts[-1].loc[~vknown[at], "vec_id"] = pd.NA
-    if not parts:
-        return pd.DataFrame({c.split()[0]: pd.array([], dtype="Int64") for c in HITS.split(", ")})
-    return pd.concat(parts, ignore_index=True)
+        places.append(np.full(len(at), i))
+        found.append(at)
+        scores.append(score)
+    # One frame for the pair: frames a query cost more than the products.
+    none = [np.empty(0, np.int64)]
+    place, at, score = (np.concatenate(x or none) for x in (places, found, scores))
+    return pd.DataFrame(
+        {
+            "query_row": qrow[place],
+            "query_id": qid[place],
+            "vec_row": vrow[at],
+            "vec_id": pd.arrays.IntegerArray(vid[at].copy(), ~vknown[at]),
+            "score": score,
+        }
+    )
 
 
 def top_k(embeddings: DataFrame, query_step: int = 20, k: int = 20) -> DataFrame:
