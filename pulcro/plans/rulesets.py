@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ TABLE_SCHEMA = (
     "parametro string, validar_email boolean, validar_telefono boolean"
 )
 
+#: Column that names the save a row came with; later saves have greater names.
+SAVE = "guardado"
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(archivo, cuerpo) of the JSON files of a folder, one rule set each."""
@@ -197,25 +202,32 @@ def upsert(stored: DataFrame, incoming: DataFrame, order: str | None = None) ->
     return stored.join(keys, "clave", "left_anti").unionByName(last_of_key(incoming, order))
 
 
+def _next_save(spark: SparkSession, path: str) -> str:
+    """Name of a new save below ``path``, greater than those of all finished ones."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    last = max([name for name in found if name.startswith(f"{SAVE}=")], default=f"{SAVE}=0")
+    number = int(last.removeprefix(f"{SAVE}=").split("-")[0]) + 1
+    return f"{number:012d}-{uuid.uuid4().hex}"
+
+
 def save(incoming: DataFrame, path: str, order: str | None = None) -> None:
-    """Writes incoming rule sets below ``path``, a folder a key; other keys are not read or written.
+    """Writes incoming rule sets below ``path``, a folder a save; other rule sets are not read or written.
 
     A rule set takes the place of the one under its key as a whole; saving again changes nothing.
     """
-    (
-        last_of_key(incoming, order)
-        .repartition("clave")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("clave")
-        .parquet(path)
-    )
+    name = _next_save(incoming.sparkSession, path)
+    last_of_key(incoming, order).write.parquet(f"{path}/{SAVE}={name}")
 
 
 def saved(spark: SparkSession, path: str) -> DataFrame:
-    """All rule sets saved below ``path``."""
-    # The given schema keeps keys that look like numbers as they are.
-    return spark.read.schema(TABLE_SCHEMA).parquet(path).select(*TABLE)
+    """All rule sets saved below ``path``: of each key the rows of its last save; an empty key is null."""
+    every = spark.read.schema(f"{TABLE_SCHEMA}, {SAVE} string").parquet(path)
+    last = every.groupBy("clave").agg(F.max(SAVE).alias(SAVE))
+    rows = every.join(last, ["clave", SAVE])
+    return rows.withColumn("clave", F.nullif("clave", F.lit(""))).select(*TABLE)
 
 
 def which_exist(keyed: DataFrame, names: DataFrame, key: str = "clave") -> DataFrame:

@@ -355,3 +355,20 @@ def test_files_that_cannot_be_read_are_set_apart(spark, tmp_path):
     }
     assert read.rows.count() == 6002 and read.bad.count() == 0
     assert sorted(r["fila"] for r in read.rows.select("fila").collect()) == list(range(6002))
+
+
+def test_rule_sets_are_saved_in_a_folder_a_save(spark, tmp_path):
+    path = str(tmp_path / "reglas")
+    fields = "clave string, nombre string, regla string"
+    empty = spark.createDataFrame([], rulesets.TABLE_SCHEMA)
+
+    def save(rows):
+        rulesets.save(empty.unionByName(spark.createDataFrame(rows, fields), allowMissingColumns=True), path)
+
+    save([(f"k{i}", "a", "Email") for i in range(300)] + [("", "sin", "Email"), (None, "nunca", "Email")])
+    assert len([p for p in (tmp_path / "reglas").iterdir() if p.is_dir()]) == 1
+    for _ in range(2):  # saving again changes nothing
+        save([("k1", "b", "Vacíos"), ("k1", "b", "Texto"), ("007", "c", "Vacíos")])
+    rows = [(r["clave"], r["nombre"], r["regla"]) for r in rulesets.saved(spark, path).collect()]
+    assert len(rows) == 299 + 2 + 1 + 1 and ("007", "c", "Vacíos") in rows and (None, "sin", "Email") in rows
+    assert sorted(r for r in rows if r[0] == "k1") == [("k1", "b", "Texto"), ("k1", "b", "Vacíos")]
