@@ -135,8 +135,8 @@ def _trie_pattern(words: Iterable[str]) -> str:
 @dataclass(frozen=True)
 class NameIndex:
     """``pattern`` finds every place where a name may begin, with as many characters as names have;
-    names are keyed by their first ``longest`` characters, so by all of them if they have fewer:
-    ``sizes`` are the lengths of these keys."""
+    names begin with their first ``longest`` characters, or are shorter: ``sizes`` are the lengths of
+    these beginnings."""
 
     pattern: str
     sizes: tuple[int, ...]
@@ -182,8 +182,9 @@ def with_country_code_from(
     ``pos`` breaks ties between names of equal length. Entries without a name or a code are no
     names; of entries with one name the first by ``pos`` counts. Distinct folded texts are searched
     once, by a pattern over the beginnings of all names: only places where a name may begin become
-    rows, and these are joined with the names by their beginning. The way is the same for any number
-    of names; they are broadcast if they are counted to be few, else shuffled. Rows are matched with
+    rows. A beginning tells the lengths of its names, and the places are joined with the whole names.
+    The way is the same for any number of names; they are broadcast if they are counted to be few,
+    else shuffled. Rows are matched with
     their text by a key of bounded width, so they need no key of their own.
     """
     names = gazetteer.filter((F.col("nombre") != "") & F.col("codigo").isNotNull())
@@ -203,12 +204,22 @@ def with_country_code_from(
         .groupBy("__texto")
         .agg(F.first("__plegado").alias("__plegado"))
     )
-    # A place is asked for names of every length below the longest beginning, and for that.
+    # A place asks for every beginning, and for the whole names of those lengths that its beginning
+    # has: names are met by equality, however many share a beginning.
     starts = F.array(*[F.left("__resto", F.lit(k)) for k in index.sizes])
     places = places_of_names(texts, index).select("*", F.explode(F.array_distinct(starts)).alias("__inicio"))
-    keyed = ranked.select(F.left("nombre", F.lit(index.longest)).alias("__inicio"), "nombre", "pos", "codigo")
-    keyed = F.broadcast(keyed) if is_small(ranked) else keyed
-    found = places.join(keyed, "__inicio").filter(F.col("__resto").startswith(F.col("nombre")))
+    lengths = materialise(
+        ranked.groupBy(F.left("nombre", F.lit(index.longest)).alias("__inicio"))
+        .agg(F.collect_set(F.length("nombre")).alias("__largos"))
+    )
+    lengths = F.broadcast(lengths) if is_small(lengths) else lengths
+    asked = (
+        places.join(lengths, "__inicio")
+        .select("__texto", "__resto", F.explode("__largos").alias("__largo"))
+        .filter(F.length("__resto") >= F.col("__largo"))
+        .withColumn("nombre", F.expr("left(__resto, __largo)"))
+    )
+    found = asked.join(F.broadcast(ranked) if is_small(ranked) else ranked, "nombre")
     if word_boundary:
         behind = F.expr("substring(__resto, length(nombre) + 1, 1)")
         found = found.filter(~behind.rlike(INSIDE_WORD))

@@ -297,3 +297,19 @@ def test_a_range_added_to_the_plan_decides(spark):
     df = spark.createDataFrame([("+504 9912 34567",), ("+504 9912 3456",), ("+504 9812 3456",)], "t string")
     rows = phone.with_plan_diagnosis(df, "t", plan).collect()
     assert [r["criterio"] for r in rows] == ["portados", None, phone_plan.BY_RANGE]
+
+
+def test_names_that_share_a_beginning_do_not_meet_every_place(spark, texts, monkeypatch):
+    """Places are joined with whole names, so rows do not grow with the names of one beginning."""
+    monkeypatch.setattr(country, "is_small", lambda df: False)
+    monkeypatch.setattr(country, "BEGINNINGS", 1)
+    names = spark.range(3000).select(
+        F.concat(F.lit("calle "), "id").alias("nombre"), F.concat(F.lit("C"), "id").alias("codigo"), F.col("id").alias("pos")
+    )
+    df = country.with_country_code_from(texts([f"Cálle {i}, x" for i in range(500)] + ["calle", "calle 29991"]), "v", names)
+    rows = {r["v"]: r["pais_codigo"] for r in df.collect()}
+    assert rows["Cálle 499, x"] == "C499" and rows["calle 29991"] == "C2999" and rows["calle"] is None
+    assert sum(code is not None for code in rows.values()) == 501
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("nombre" in line for line in joins) and not any("StartsWith" in line for line in joins)
