@@ -3,14 +3,13 @@
 Words are counted over all training documents. The most frequent ones, a bounded list, are looked up
 where the text is read; only the rest is joined with the counts by shuffle. The model knows the most
 frequent of these words; others are one unknown word, spelled out by their share of the counts. It is
-trained by truncated backpropagation on stretches of every training document, in parallel on all
+trained by truncated backpropagation on every word of every training document, in parallel on all
 partitions, and the weights are averaged after each round.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +24,9 @@ from pulcro.llm.recurrent import Gru, Weights, score, train
 #: At most so many words are sent to all executors, each of at most so many bytes.
 FREQUENT_WORDS, FREQUENT_BYTES = 200_000, 64
 VOCABULARY, CLASSES, HIDDEN = 1024, 32, 24
-#: Of each stretch of a training document one window is learnt from, in chunks that gradients span.
-STRETCH, WINDOW, CHUNK, LANES, ROUNDS, RATE = 512, 32, 16, 64, 3, 0.01
+#: Training documents are learnt from in windows of so many words, in chunks that gradients span; each
+#: window in one of the rounds, many side by side, so that the cost of a step is shared by them.
+WINDOW, CHUNK, LANES, ROUNDS, RATE = 32, 16, 512, 3, 0.01
 SEED = 9
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
@@ -79,20 +79,22 @@ def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weights": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
 
-def fit(windows: DataFrame, model: Gru) -> Gru:
-    """Trains on the stored ``windows`` (a binary of 16-bit word numbers a row), round by round."""
+def fit(texts: DataFrame, model: Gru, end: int) -> Gru:
+    """Trains on the stored ``texts`` (``ids``, a binary of 16-bit word numbers a row), round by round."""
     for turn in range(ROUNDS):
         weights, classes = model.w, model.classes
 
         def learn(batches: Iterator[pd.DataFrame], turn=turn, weights=weights, classes=classes) -> Iterator[pd.DataFrame]:
             own, n = Gru(classes, {k: v.copy() for k, v in weights.items()}), 0
             for batch in batches:
-                flat = np.frombuffer(b"".join(batch["windows"]), dtype=np.uint16)
-                n += train(own, flat.reshape(-1, WINDOW + 1)[turn::ROUNDS], CHUNK, LANES, RATE / (1 + turn))
+                found = [_windows(np.frombuffer(x, dtype=np.uint16), end) for x in batch["ids"]]
+                # A text alone decides which of its windows a round takes.
+                part = np.concatenate([w[(turn + len(w)) % ROUNDS :: ROUNDS] for w in found])
+                n += train(own, part, CHUNK, LANES, RATE / (1 + turn))
             if n:
                 yield pd.DataFrame({"weights": [_packed(own.w)], "n": [n]})
 
-        learnt = store(windows.mapInPandas(learn, "weights binary, n long"), "weights")
+        learnt = store(texts.mapInPandas(learn, "weights binary, n long"), "weights")
         # Averages of a few at a time, so that neither a task nor the driver reads them all.
         while learnt.count() > 16:
             learnt = store(learnt.repartition(-(-learnt.count() // 16)).mapInPandas(_mean, learnt.schema), "weights")
@@ -161,10 +163,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 ids = numbers[at].astype(np.uint16)
                 rare = Counter(own[i] for i in np.flatnonzero(at < 0).tolist())
                 beyond = at >= size
-                windows = b"" if held_out else _windows(ids, int(number[0]), doc_id)
                 out.append(
                     (doc_id, held_out, len(own), int(has[at].sum()), float(logs[at].sum()), float(logs[at[beyond]].sum()),
-                     int(beyond.sum()), int((at < 0).sum()), ids.tobytes(), windows, list(rare), list(rare.values()))
+                     int(beyond.sum()), int((at < 0).sum()), ids.tobytes(), list(rare), list(rare.values()))
                 )
             names = [field.split()[0] for field in fields.split(", ")]
             yield pd.DataFrame(out, columns=names[1:]).assign(row=batch["row"].to_numpy())
@@ -172,7 +173,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     fields = (
         f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, beyond_logs double, "
-        "n_beyond long, n_rare long, ids binary, windows binary, words array<binary>, times array<int>"
+        "n_beyond long, n_rare long, ids binary, words array<binary>, times array<int>"
     )
     encoded = store(
         slim.select(F.monotonically_increasing_id().alias("row"), "*").mapInPandas(encode, fields), "encoded"
@@ -189,8 +190,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         )
     )
     model = Gru.start(shares[order] + 0.1, HIDDEN, CLASSES, SEED)
-    model = fit(encoded.where(F.octet_length("windows") > 0).select("windows"), model)
-    classes, weights, end = model.classes, model.w, int(number[0])
+    end = int(number[0])
+    model = fit(encoded.where(~F.col("held_out")).select("ids"), model, end)
+    classes, weights = model.classes, model.w
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Gru(classes, weights)
@@ -218,13 +220,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows(ids: np.ndarray, end: int, doc_id) -> bytes:
-    """One window of each stretch of a text, at a place that its id decides; short ends are filled."""
+def _windows(ids: np.ndarray, end: int) -> np.ndarray:
+    """Windows (n, WINDOW + 1) that predict every word of a text, the first one from ``end``.
+
+    Windows lie side by side; the last one ends with the text, so some words are in two. A text that is
+    shorter than a window is filled with ``end``.
+    """
     text = np.r_[np.uint16(end), ids]
-    out = []
-    for start in range(0, len(ids), STRETCH):
-        room = min(STRETCH, len(ids) - start) - WINDOW
-        at = start + (zlib.crc32(f"{doc_id}/{start}".encode()) % (room + 1) if room > 0 else 0)
-        part = text[at : at + WINDOW + 1]
-        out.append(np.pad(part, (0, WINDOW + 1 - len(part)), constant_values=end))
-    return np.concatenate(out).astype(np.uint16).tobytes()
+    if len(ids) <= WINDOW:
+        return np.pad(text, (0, WINDOW - len(ids)), constant_values=end)[None]
+    starts = np.minimum(np.arange(0, len(ids), WINDOW), len(ids) - WINDOW)
+    return np.lib.stride_tricks.sliding_window_view(text, WINDOW + 1)[starts]

@@ -114,3 +114,16 @@ def test_training_learns_an_order():
     for _ in range(8):
         train(model, windows, 16, 32, 0.02)
     assert score(model, text, 29)[0] > before + 10
+
+
+def test_every_word_of_a_training_text_is_learnt():
+    from pulcro.llm.lm_scoring import ROUNDS, WINDOW, _windows
+
+    for n in (1, 31, 32, 33, 64, 65, 5000):
+        ids = np.arange(1, n + 1).astype(np.uint16)
+        found = _windows(ids, 0)
+        assert found.shape[1] == WINDOW + 1
+        assert set(found[:, 1:].ravel()) - {0} == set(range(1, n + 1)) and len(found) == -(-n // WINDOW)
+        assert found[0, 0] == 0 and all(b == a + 1 for row in found for a, b in zip(row, row[1:]) if b)
+        rounds = [found[(t + len(found)) % ROUNDS :: ROUNDS] for t in range(ROUNDS)]
+        assert sum(map(len, rounds)) == len(found)
