@@ -17,10 +17,6 @@ NULL_TOKENS = (
 # Characters a stored name may not hold. Fixed value.
 UNSAFE = r"[^a-zA-Z0-9_\-]"
 
-ASCII, NOT_ASCII = r"[\x{0}-\x{7f}]", r"[^\x{0}-\x{7f}]"
-HANGUL = r"[\x{ac00}-\x{d7a3}]"
-
-
 def strip(c: Column) -> Column:
     """Without white space at both ends (Unicode white space, not only U+0020)."""
     return F.trim(c, F.lit(U.spaces()))
@@ -55,20 +51,21 @@ def _jamo(ch: Column) -> Column:
 def _expand(c: Column) -> Column:
     """Characters that fold to several ones: ligatures, fractions, Hangul syllables and the like.
 
-    Only texts that hold such a character are taken apart, into stretches of ASCII and single other
-    characters; each of these is looked up once, so the work is one pass over the text.
+    Only texts that may hold such a character are taken apart, into stretches of characters that surely
+    fold to at most one and single other ones. Few of the others are found in the table, which Spark
+    reads entry by entry, so a translation tells first which are.
     """
-    many = U.foldings()[2]
+    many, sure = U.foldings()[2], U.never_expanded()
     entries = [F.split(F.lit("\x02".join(part)), "\x02") for part in (many, many.values())]
     table = F.map_from_arrays(*entries)
-    without = F.translate(c, "".join(many), "")
-    stretches = F.regexp_extract_all(c, F.lit(f"{ASCII}+|{NOT_ASCII}"), F.lit(0))
+    stretches = F.regexp_extract_all(c, F.lit(f"[{sure}]+|[^{sure}]"), F.lit(0))
     expanded = F.transform(
         stretches,
-        lambda part: F.when(part.rlike(NOT_ASCII), F.coalesce(F.try_element_at(table, part), _jamo(part))).otherwise(part),
+        lambda part: F.when(F.length(part) > 1, part)
+        .when(F.translate(part, "".join(many), "") == "", F.try_element_at(table, part))
+        .otherwise(_jamo(part)),
     )
-    found = (F.octet_length(without) < F.octet_length(c)) | c.rlike(HANGUL)
-    return F.when(c.rlike(NOT_ASCII) & found, F.array_join(expanded, "")).otherwise(c)
+    return F.when(c.rlike(f"[^{sure}]"), F.array_join(expanded, "")).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:

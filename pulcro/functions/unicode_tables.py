@@ -99,6 +99,16 @@ def foldings() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), many
 
 
+@lru_cache(maxsize=None)
+def never_expanded(ranges: int = 48) -> str:
+    """ASCII and the longest ranges of characters that fold to at most one, as the body of a regex class."""
+    edges = [0x7F, *sorted(map(ord, foldings()[2])), HANGUL_FIRST, HANGUL_LAST, 0x110000]
+    edges = sorted(set(edges))
+    gaps = [(b - a, a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a > 2 and (a, b) != (HANGUL_FIRST, HANGUL_LAST)]
+    longest = sorted(sorted(gaps, reverse=True)[:ranges], key=lambda gap: gap[1])
+    return r"\x{0}-\x{7f}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for _, a, b in longest)
+
+
 def _translation(pairs: dict[str, str]) -> tuple[str, str]:
     """Arguments of ``translate``: characters without a counterpart come last and are dropped."""
     kept = {a: b for a, b in pairs.items() if b}
