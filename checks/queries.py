@@ -780,7 +780,8 @@ def promote_types_notice(spark, folder):
 def _written(spark, df: DataFrame, order: str, name: str) -> str:
     """The table as delimited files whose paths follow ``order``."""
     path = scratch_path(spark, name)
-    tables.write_csv(df.repartitionByRange(4, order).sortWithinPartitions(order), path)
+    files = max(4, -(-df.count() // 50_000))
+    tables.write_csv(df.repartitionByRange(files, order).sortWithinPartitions(order), path)
     return path
 
 
