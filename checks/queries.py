@@ -644,7 +644,8 @@ def row_number_excel(spark, folder):
 @query
 def row_number_stored(spark, folder):
     """Rows after a shuffle have no order of their own: their numbers are a permutation."""
-    shuffled = table(spark, folder, "lineitem").repartition(5, "l_partkey")
+    rows = table(spark, folder, "lineitem")
+    shuffled = rows.repartition(max(5, -(-rows.count() // 500_000)), "l_partkey")
     return numbering.with_row_number(shuffled).agg(
         F.count(F.lit(1)).alias("filas"),
         F.count_distinct("fila").alias("distintas"),
