@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import unicode_tables as U
-from ..session import is_small, materialise
+from ..session import is_small, materialise, stored
 from . import inspection
 from .numbering import number_across_files, number_lines
 
 #: Records that are numbered together.
 BLOCK = 65_536
+#: The lines of more files than that are stored once: opening many small files takes longer than reading them.
+MANY_FILES = 256
 
 
 @dataclass(frozen=True)
@@ -251,15 +253,11 @@ def read_delimited_files(
     are set apart and the rest is read. A file without the header row is reported too. An error is
     raised only if no file has one.
     """
-    seen = materialise(inspection.inspect_files(spark, path))
+    seen = stored(inspection.inspect_files(spark, path), "archivos")
     apart = materialise(seen.filter(F.col("problema").isNotNull()).select("archivo"))
     lines = _lines(spark.read.option("ignoreCorruptFiles", "true"), path)
-    if not apart.isEmpty():
-        if not is_small(apart):
-            raise ValueError("too many unreadable files")
-        # Broadcast, so that lines stay in the order of their split.
-        lines = lines.join(F.broadcast(apart), "archivo", "left_anti")
-    read, headed, counts = _read(lines, header_row, skip_rows, separator, null_tokens)
+    apart = None if apart.isEmpty() else apart
+    read, headed, counts = _read(lines, header_row, skip_rows, separator, null_tokens, apart)
     headed = headed.withColumn("__cabeza", F.lit(True))
     problem = F.coalesce("problema", F.when(F.col("__cabeza").isNull(), inspection.NO_HEADER))
     files = seen.join(headed, "archivo", "left").join(counts, "archivo", "left")
@@ -268,30 +266,52 @@ def read_delimited_files(
 
 
 def _lines(reader: DataFrameReader, path: str) -> DataFrame:
-    return reader.text(path).select(
+    """The lines with their file and the split they are read from.
+
+    Every later pass reads them anew, so the lines of many files are stored. A task writes the lines of
+    a split one after the other; what is read back of them by one task is then a split by itself.
+    """
+    read = reader.text(path)
+    lines = read.select(
         F.col("value").alias("registro"),
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
     )
+    if len(read.inputFiles()) <= MANY_FILES:
+        return lines
+    place = F.struct("bloque", F.col("_metadata.file_block_start").alias("parte"))
+    return stored(lines, "lineas").select("registro", "archivo", place.alias("bloque"))
 
 
 def _read(
-    lines: DataFrame, header_row: int, skip_rows: Collection[int], separator: str, null_tokens: bool
+    lines: DataFrame, header_row: int, skip_rows: Collection[int], separator: str, null_tokens: bool,
+    apart: DataFrame | None = None,
 ) -> tuple[Delimited, DataFrame, DataFrame]:
-    """The table, the files that have a header (archivo), and records per file (archivo, n)."""
+    """The table, the files that have a header (archivo), and records per file (archivo, n).
+
+    Lines are numbered in the order of their split, so files that are set ``apart`` go afterwards: they
+    may be too many for a broadcast.
+    """
+    bad_files = None if apart is None else F.broadcast(apart) if is_small(apart) else apart
+
+    def good(df: DataFrame) -> DataFrame:
+        return df if bad_files is None else df.join(bad_files, "archivo", "left_anti")
+
     opens, _ = _quote_states(F.col("registro"), separator)
     filled = F.col("registro").rlike(U.NOT_SPACE)
     kept = filled & ~F.col("registro_n").isin(*skip_rows) if skip_rows else filled
     tests = {"abiertas": opens, "vacias": ~filled}
     numbered = number_lines(lines, F.lit(True), "registro_n", tests)
-    seen = numbered.files.agg(F.sum("abiertas").alias("abiertas"), F.sum("vacias").alias("vacias")).first()
+    files = good(numbered.files)
+    seen = files.agg(F.sum("abiertas").alias("abiertas"), F.sum("vacias").alias("vacias")).first()
     if skip_rows or seen["vacias"]:
-        placed = number_lines(numbered.lines, kept, "pos").lines.select("archivo", "pos", "registro")
+        again = numbered.lines if skip_rows else lines
+        placed = number_lines(again, kept, "pos").lines.select("archivo", "pos", "registro")
     else:
         placed = numbered.lines.select("archivo", F.col("registro_n").alias("pos"), "registro")
-    placed = placed.withColumn("rota", F.lit(False))
+    placed = good(placed).withColumn("rota", F.lit(False))
     if seen["abiertas"]:
-        several = materialise(numbered.files.filter("abiertas > 0").select("archivo"))
+        several = materialise(files.filter("abiertas > 0").select("archivo"))
         several = F.broadcast(several) if is_small(several) else several
         apart = numbered.lines.withColumnRenamed("registro_n", "orden").join(several, "archivo", "left_semi")
         # Stored: header, counts and rows read them, and finding them takes several shuffles.

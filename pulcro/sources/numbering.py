@@ -9,7 +9,7 @@ from types import MappingProxyType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small, materialise
+from ..session import is_small, materialise, stored
 
 #: Bits of ``monotonically_increasing_id`` that count rows inside a partition.
 _OFFSET_BITS = 33
@@ -108,7 +108,7 @@ def number_lines(
     )
     before = Window.partitionBy("archivo").orderBy("bloque")
     upto = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))
-    starts = materialise(splits.withColumn("__antes", upto - F.col("n")))
+    starts = stored(splits.withColumn("__antes", upto - F.col("n")), "cortes")
     side = starts.select("archivo", "bloque", "__primera", "__antes", F.col("n").alias("__n"))
     side = F.broadcast(side) if is_small(starts) else side
     offset = F.col("__id") - F.col("__primera")

@@ -372,3 +372,21 @@ def test_rule_sets_are_saved_in_a_folder_a_save(spark, tmp_path):
     rows = [(r["clave"], r["nombre"], r["regla"]) for r in rulesets.saved(spark, path).collect()]
     assert len(rows) == 299 + 2 + 1 + 1 and ("007", "c", "Vacíos") in rows and (None, "sin", "Email") in rows
     assert sorted(r for r in rows if r[0] == "k1") == [("k1", "b", "Texto"), ("k1", "b", "Vacíos")]
+
+
+@pytest.mark.parametrize("many", [1_000, 0])
+def test_many_files_bad_ones_too_many_for_a_broadcast(spark, tmp_path, monkeypatch, many):
+    """Lines stored once or read where they lie, and joins by shuffle, give the same rows."""
+    for i in range(6):
+        (tmp_path / f"a{i}.csv").write_text(f'k,v\n{i},x\n\n{i}1,"two\nlines"\n{i}2,"open\n{i}3,z\n')
+        (tmp_path / f"b{i}.csv").write_bytes(f"k,v\n{i},é\n".encode("ISO-8859-1"))
+    monkeypatch.setattr(delimited, "MANY_FILES", many, raising=False)
+    monkeypatch.setattr(delimited, "is_small", lambda *_: False)
+    read = delimited.read_delimited_files(spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in read.rows.collect())
+    cells = [[(f"{i}", "x"), (f"{i}1", "two\nlines"), None, (f"{i}3", "z")] for i in range(6)]
+    assert rows == [(n, *c) for n, c in enumerate(sum(cells, [])) if c]
+    assert sorted(r["registro"] for r in read.bad.collect()) == [f'{i}2,"open' for i in range(6)]
+    files = {r["archivo"].rsplit("/", 1)[1]: (r["filas"], r["problema"]) for r in read.files.collect()}
+    good, bad = (4, None), (0, inspection.NOT_UTF_8)
+    assert files == {f"{c}{i}.csv": good if c == "a" else bad for c in "ab" for i in range(6)}
