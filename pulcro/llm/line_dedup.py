@@ -31,17 +31,24 @@ class LineRuns:
     """Levelled sorted runs of (h1, h2, n, keeper), a key once a run; each is a bucketed table in the shared folder.
 
     Runs are dealt to buckets and sorted by hash when they are written, so a batch is merged with
-    them without moving them again.
+    them without moving them again. There are as many buckets as shuffles have parts: a part then holds
+    whole buckets, and a run is one file a bucket instead of one for every part and bucket.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int = 32):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
+    def _dealt(self, run: DataFrame) -> DataFrame:
+        if self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return run.repartition(*KEY)
+        return run.repartition(self.buckets, *KEY)
+
     def _write(self, run: DataFrame) -> str:
         name = f"llm_line_run_{uuid.uuid4().hex}"
         (
-            run.repartition(self.buckets, *KEY)
+            self._dealt(run)
             .write.bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
             .option("path", scratch_path(self.spark, name))

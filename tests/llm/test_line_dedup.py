@@ -64,5 +64,15 @@ def test_runs_are_levelled(spark):
     assert rows == {1: (5, 10), 2: (2, 10), 3: (2, 9), 4: (2, 8), 5: (2, 7), 6: (2, 6)}
 
 
+def test_a_run_is_one_file_a_bucket(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(spark)
+    for k in range(3):
+        runs.add(spark.range(k * 300, k * 300 + 1000).selectExpr("id AS h1", "id * 7 AS h2", "1L AS n", "id AS top").repartition(13))
+    assert all(len(run.inputFiles()) <= parts for run in runs.runs())
+    assert runs.merged().agg({"n": "sum"}).first()[0] == 3000
+    runs.drop()
+
+
 def test_stays_in_the_jvm(spark, sf):
     assert "Python" not in op8_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
