@@ -1,4 +1,4 @@
-"""Exact quantiles by radix selection: three scans for any number of columns and ranks."""
+"""Exact quantiles by radix selection: three scans of the distinct values for any number of columns and ranks."""
 
 from __future__ import annotations
 
@@ -21,16 +21,16 @@ _NORMAL = 2.0**-1022
 _TINY = 2.0**-1074
 
 
-def sort_keys(values: DataFrame) -> DataFrame:
+def sort_keys(values: DataFrame, names: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Doubles as longs in the same order: the bits of their size, negative for negative ones.
 
     The exponent is estimated by a logarithm and put right by comparison; dividing by a power of two
     and taking off the leading one are exact. Each step is a projection of its own, because what is
-    used several times in the next one is then computed once. There are no nulls to fear: they stay.
+    used several times in the next one is then computed once. There are no nulls to fear: they stay. Columns to ``keep`` come along, before the keys of ``names``.
     """
-    names = values.columns
-    places = range(len(names))
-    steps = values.select(*[(F.col(quoted(n)) + 0.0).alias(f"v{i}") for i, n in enumerate(names)])
+    names = values.columns if names is None else names
+    places, along = range(len(names)), [F.col(quoted(n)) for n in keep]
+    steps = values.select(*along, *[(F.col(quoted(n)) + 0.0).alias(f"v{i}") for i, n in enumerate(names)])
     sizes = [F.abs(F.col(f"v{i}")) for i in places]
     guesses = [F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)) for size in sizes]
     steps = steps.select("*", *[F.when(sizes[i].isNotNull(), g).alias(f"g{i}") for i, g in enumerate(guesses)])
@@ -50,9 +50,9 @@ def sort_keys(values: DataFrame) -> DataFrame:
                 F.shiftleft((exponent + 1023).cast("long"), 52) + ((size / leading - 1.0) * 2.0**52).cast("long"),
             )
         )
-    steps = steps.select(*[f"v{i}" for i in places], *[b.alias(f"b{i}") for i, b in enumerate(bits)])
+    steps = steps.select(*along, *[f"v{i}" for i in places], *[b.alias(f"b{i}") for i, b in enumerate(bits)])
     signed = [F.when(F.col(f"v{i}") < 0, -F.col(f"b{i}")).otherwise(F.col(f"b{i}")) for i in places]
-    return steps.select(*[k.alias(n) for k, n in zip(signed, names)])
+    return steps.select(*along, *[k.alias(n) for k, n in zip(signed, names)])
 
 
 def from_sort_key(key: int) -> float:
@@ -60,37 +60,25 @@ def from_sort_key(key: int) -> float:
     return -value if key < 0 else value
 
 
-def _level(keys: DataFrame, level: int, kept: Mapping[str, Sequence[int]] | None) -> DataFrame:
+def _counted(values: DataFrame) -> DataFrame:
+    """i, n, v, stored: the place of a column, the rows of a value of it that is not null, and its key."""
+    cells = [x for i, name in enumerate(values.columns) for x in (F.lit(i), F.col(quoted(name)) + F.lit(0.0))]
+    rows = values.select(F.stack(F.lit(len(values.columns)), *cells).alias("i", "v")).filter("v IS NOT NULL")
+    counted = rows.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    return stored(sort_keys(counted, ["v"], keep=["i", "n"]), "valores")
+
+
+def _level(counted: DataFrame, names: Sequence[str], level: int, kept: Mapping[str, Sequence[int]] | None) -> DataFrame:
     """columna, padre, tramo, n: rows by the bits known after this scan, inside the buckets ``kept``."""
-    entries = []
-    for name in keys.columns if kept is None else kept:
-        key = F.col(quoted(name))
-        padre, inside = F.lit(0).cast("long"), key.isNotNull()
-        if kept is not None:
-            padre = F.shiftright(key, OPEN_BITS[level - 1])
-            inside = padre.isin(*kept[name])
-        tramo = F.shiftright(key, OPEN_BITS[level])
-        entry = F.struct(F.lit(name).alias("columna"), padre.alias("padre"), tramo.alias("tramo"))
-        entries.append(F.when(inside, entry))
-    rows = keys.select(F.explode(F.array(*entries)).alias("x")).filter("x IS NOT NULL").select("x.*")
-    return stored(rows.groupBy("columna", "padre", "tramo").agg(F.count(F.lit(1)).alias("n")), "tramos")
-
-
-def _inside(values: DataFrame, level: int, kept: Mapping[str, Sequence[int]]) -> DataFrame:
-    """Values that lie in the buckets of a level, others null: only they need a key."""
-    step, last = 1 << OPEN_BITS[level], 2047 << 52
-
-    def edge(key: int) -> Column:
-        return F.lit(from_sort_key(max(-last, min(last, key))))
-
-    columns = []
-    for name, buckets in kept.items():
-        value = F.col(quoted(name))
-        inside = F.lit(False)
-        for b in sorted(set(buckets)):
-            inside = inside | value.between(edge(b * step), edge((b + 1) * step - 1))
-        columns.append(F.when(inside, value).alias(name))
-    return values.select(*columns)
+    padre = F.lit(0).cast("long") if kept is None else F.shiftright("v", OPEN_BITS[level - 1])
+    rows = counted.select("i", "n", padre.alias("padre"), F.shiftright("v", OPEN_BITS[level]).alias("tramo"))
+    if kept is not None:
+        buckets = [(names.index(name), b) for name, some in kept.items() for b in sorted(set(some))]
+        inside = counted.sparkSession.createDataFrame(buckets, "i int, padre long")  # a few a column
+        rows = rows.join(F.broadcast(inside), ["i", "padre"])
+    counts = rows.groupBy("i", "padre", "tramo").agg(F.sum("n").alias("n"))
+    columna = F.get(F.array(*[F.lit(name) for name in names]), F.col("i"))
+    return stored(counts.select(columna.alias("columna"), "padre", "tramo", "n"), "tramos")
 
 
 def _locate(counts: DataFrame, wanted: list[tuple[str, int, list[int]]]) -> list[tuple[str, int, int, int, int]]:
@@ -128,15 +116,16 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles per column with linear interpolation; None for a column of nulls.
 
-    Values become 64-bit keys in the same order. Each of three scans counts, for all columns at once
-    and with map-side combine, the next bits of the keys that can still hold a wanted rank; after the
-    third the keys at the ranks are known to the last bit. What is stored between scans are counts.
+    Rows are counted by value, all columns in one shuffle with map-side combine. The distinct values become
+    64-bit keys in the same order and are stored. Each of three scans of them adds up the next bits of the
+    keys that can still hold a wanted rank; after the third the keys at the ranks are known to the last
+    bit. The table itself is read once.
     """
     if not names:
         return {}
     values = df.select(*[known(df, name).cast("double").alias(name) for name in names])
-    keys = sort_keys(values)
-    first = _level(keys, 0, None)
+    counted = _counted(values)
+    first = _level(counted, values.columns, 0, None)
     sizes = {r["columna"]: r["n"] for r in first.groupBy("columna").agg(F.sum("n").alias("n")).collect()}
     positions = {n: [p * (sizes[n] - 1) for p in probabilities] for n in names if n in sizes}
     open_ranks = {
@@ -150,7 +139,7 @@ def exact_quantiles(
             kept: dict[str, list[int]] = {}
             for name, bucket in open_ranks:
                 kept.setdefault(name, []).append(bucket)
-            counts = _level(sort_keys(_inside(values, level - 1, kept)), level, kept)
+            counts = _level(counted, values.columns, level, kept)
         found = _locate(counts, [(name, bucket, sorted(ranks)) for (name, bucket), ranks in open_ranks.items()])
         following: dict[tuple[str, int], dict[int, int]] = {}
         for name, parent, rank, bucket, before in found:

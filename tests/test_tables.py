@@ -60,6 +60,20 @@ def test_sort_keys_are_the_bits_of_doubles(spark):
         assert k == (-bits if v < 0 else bits) and quantiles.from_sort_key(k) == v
 
 
+def test_quantiles_read_the_table_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    df = spark.range(1000).selectExpr("cast(id % 50 AS double) AS a", "cast(id AS double) AS b")
+    df = df.mapInPandas(counted, df.schema)
+    assert quantiles.exact_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0]) == {"a": [0.0, 24.5, 49.0], "b": [0.0, 499.5, 999.0]}
+    assert rows.value == 1000
+
+
 def test_quantiles_are_three_scans(spark, monkeypatch):
     levels = []
     real = quantiles._level
