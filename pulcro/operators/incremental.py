@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import as_text, known, match_key, numeric_columns, scalar_columns, type_name
-from .metrics import pattern_tests
+from .metrics import pattern_tests, text_tests
 
 #: Size of the sketches: distinct counts have a standard error of 0.8 %, ranks one of about 0.3 %.
 DISTINCT_BITS = 14
@@ -26,25 +26,31 @@ def load_profile(df: DataFrame, n: int = 10) -> DataFrame:
     """
     columns = scalar_columns(df)
     numeric = set(numeric_columns(df))
+    # Texts and keys are projected once; inside the aggregation each of its functions would make its own.
+    told = df.select(
+        *[(known(df, c).cast("double") if c in numeric else F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)],
+        *[as_text(df, c).alias(f"t{i}") for i, c in enumerate(columns)],
+    )
+    texts = {f"t{i}": F.col(f"t{i}") for i in range(len(columns))}
+    told = told.select("*", *[F.when(t.isNotNull(), match_key(t)).alias(f"k{n}") for n, t in texts.items()])
     parts = []
     for i, name in enumerate(columns):
-        value, told = known(df, name), as_text(df, name)
-        number = value.cast("double") if name in numeric else F.lit(None).cast("double")
+        number, text = F.col(f"v{i}"), F.col(f"t{i}")
         parts += [
-            F.count_if(value.isNull()).alias(f"vacios_{i}"),
-            F.hll_sketch_agg(F.when(value.isNotNull(), match_key(told)), DISTINCT_BITS).alias(f"distintos_{i}"),
+            F.count_if(text.isNull()).alias(f"vacios_{i}"),
+            F.hll_sketch_agg(F.col(f"kt{i}"), DISTINCT_BITS).alias(f"distintos_{i}"),
             F.count(number).alias(f"cantidad_{i}"),
             F.avg(number).alias(f"media_{i}"),
             (F.var_pop(number) * F.count(number)).alias(f"m2_{i}"),
             F.min(number).alias(f"minimo_{i}"),
             F.max(number).alias(f"maximo_{i}"),
             (F.kll_sketch_agg_double(number, RANK_SIZE) if name in numeric else F.lit(None).cast("binary")).alias(f"rangos_{i}"),
-            F.count_if(F.length(told) > n).alias(f"longitud_mayor_{i}"),
-            *[F.count_if(told.rlike(p)).alias(f"{m}_{i}") for m, p in pattern_tests().items()],
-            F.min(F.length(told)).alias(f"longitud_minima_{i}"),
-            F.max(F.length(told)).alias(f"longitud_maxima_{i}"),
+            F.count_if(F.length(text) > n).alias(f"longitud_mayor_{i}"),
+            *[F.count_if(test).alias(f"{m}_{i}") for m, test in text_tests(df.schema[name].dataType, text).items()],
+            F.min(F.length(text)).alias(f"longitud_minima_{i}"),
+            F.max(F.length(text)).alias(f"longitud_maxima_{i}"),
         ]
-    stats = df.agg(F.count(F.lit(1)).alias("filas"), *parts)
+    stats = told.agg(F.count(F.lit(1)).alias("filas"), *parts)
     names = (
         "vacios", "distintos", "cantidad", "media", "m2", "minimo", "maximo", "rangos", "longitud_mayor",
         *pattern_tests(), "longitud_minima", "longitud_maxima",

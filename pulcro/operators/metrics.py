@@ -22,6 +22,25 @@ def pattern_tests() -> dict[str, str]:
     }
 
 
+def text_tests(dtype: T.DataType, text: Column) -> dict[str, Column]:
+    """Metric -> whether the text form of a value of the type matches its pattern; null for a null.
+
+    Texts of integers and doubles have few forms, which are told apart without patterns: a sign and ASCII
+    digits; and besides a point, perhaps an exponent, or an infinity.
+    """
+    signed = text.startswith("-")
+    yes, no = F.when(text.isNotNull(), F.lit(True)), F.when(text.isNotNull(), F.lit(False))
+    if isinstance(dtype, T.IntegralType):
+        answers = (yes, no, ~signed, no, signed)
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        infinite = text.endswith("y")
+        answers = (~infinite, infinite | text.contains("E"), no, infinite & ~signed, ~infinite | signed)
+    else:
+        return {metric: text.rlike(pattern) for metric, pattern in pattern_tests().items()}
+    names = ("contiene_numeros", "contiene_letras", "solo_numeros", "solo_letras", "caracteres_especiales")
+    return dict(zip(names, answers, strict=True))
+
+
 def quality_metrics(df: DataFrame, name: str, n: int = 10, approximate: bool = False) -> DataFrame:
     """The nine metrics of one column in one aggregation over one scan.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.views import clientes, table
+from pulcro.operators.columns import as_text
 from pulcro.operators import metrics, profile, quantiles, rows
 from pulcro.plans import master
 from pulcro.plans.cleaning import ALL_TEXT, CleaningPlan, Replacement
@@ -60,6 +61,20 @@ def test_sort_keys_are_the_bits_of_doubles(spark):
         assert k == (-bits if v < 0 else bits) and quantiles.from_sort_key(k) == v
 
 
+def test_text_tests_are_the_patterns(spark):
+    import math
+
+    doubles = [0.0, -0.0, 1.5, -2.0, 1e7, 9999999.0, -1e-4, 0.001, 5e-324, math.inf, -math.inf, math.nan, None, 1e300]
+    wholes = [0, 1, -1, 2**31 - 1, -(2**31), None, 7, 10, -10, 99, 100, 5, 6, 8]
+    df = spark.createDataFrame([(d, d, w, w) for d, w in zip(doubles, wholes)], "d double, f float, i int, l long")
+    for name in df.columns:
+        text = as_text(df, name)
+        tests = metrics.text_tests(df.schema[name].dataType, text)
+        for metric, pattern in metrics.pattern_tests().items():
+            wrong = df.where(~tests[metric].eqNullSafe(text.rlike(pattern)))
+            assert "RLIKE" not in str(tests[metric]).upper() and wrong.count() == 0
+
+
 def test_quantiles_read_the_table_once(spark):
     rows = spark.sparkContext.accumulator(0)
 
