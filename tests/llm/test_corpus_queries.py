@@ -1,13 +1,16 @@
 """Queries that SQL can say equal their SQL; all are registered under their numbers."""
 
 import re
+import time
 from pathlib import Path
 
 import __spark_entry__ as contract
 import duckdb
 import pytest
+from pulcro.llm.common import CLEANUP_SETTING, store
 from pulcro.llm.oracles import ORACLES
 from pulcro.llm.queries import QUERIES
+from pyspark.sql import functions as F
 from tools.compare import bag
 
 
@@ -32,3 +35,21 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert bag(df.columns, df.collect()) == bag(names, result.fetchall())
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffles():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before, given = shuffles(), spark.conf.get(CLEANUP_SETTING)
+    rows = spark.range(20_000).repartition(4, "id").groupBy((F.col("id") % 1000).alias("k")).count()
+    store(rows, "counts")
+    assert spark.conf.get(CLEANUP_SETTING) == given
+    written = None
+    for _ in range(20):
+        written = shuffles() - before
+        if not written:
+            break
+        time.sleep(0.5)
+    assert not written
