@@ -131,7 +131,7 @@ def columns_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, empty, distinct, repeated and descriptive statistics of every scalar column.
 
     Counts, mean, deviation and extremes are one aggregation over one scan, exact distinct counts a
-    shuffle of distinct values, exact quartiles three scans for all columns; ``approximate`` takes sketches in the same aggregation instead and stores nothing. Statistics
+    shuffle of distinct values, exact quartiles one more for all columns; ``approximate`` takes sketches in the same aggregation instead and stores nothing. Statistics
     are null for columns that are not numeric. The driver sees one row per column.
     """
     columns = scalar_columns(df)
