@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ VOCABULARY, CLASSES, HIDDEN = 1024, 32, 24
 #: Training documents are learnt from in windows of so many words, in chunks that gradients span; each
 #: window in one of the rounds, many side by side, so that the cost of a step is shared by them.
 WINDOW, CHUNK, LANES, ROUNDS, RATE = 32, 16, 512, 3, 0.01
+#: Words scored together: with many texts the lanes stay full while the longest ones are read.
+SCORED_WORDS = 2_000_000
 SEED = 9
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
@@ -159,7 +162,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             out = []
             for doc_id, held_out, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
                 own = words_of(text)
-                at = np.fromiter((place.get(w, -1) for w in own), dtype=np.int64, count=len(own))
+                at = np.fromiter(map(place.get, own, repeat(-1)), dtype=np.int64, count=len(own))
                 ids = numbers[at].astype(np.uint16)
                 rare = Counter(own[i] for i in np.flatnonzero(at < 0).tolist())
                 beyond = at >= size
@@ -196,7 +199,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Gru(classes, weights)
-        for batch in batches:
+        for batch in _gathered(batches, SCORED_WORDS):
             texts = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in batch["ids"]]
             yield batch.drop(columns="ids").assign(model=score(own, texts, end) / math.log(10))
 
@@ -220,6 +223,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def _gathered(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they hold ``words`` word numbers in ``ids``."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(map(len, batch["ids"])) // 2
+        if size >= words:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _windows(ids: np.ndarray, end: int) -> np.ndarray:
     """Windows (n, WINDOW + 1) that predict every word of a text, the first one from ``end``.
 

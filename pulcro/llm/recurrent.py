@@ -7,15 +7,48 @@ import heapq
 import numpy as np
 
 Weights = dict[str, np.ndarray]
+#: Words whose probabilities are computed at a time, so that their tables stay in the cache.
+BLOCK = 4096
+#: Just below the largest array whose release raises the bound up to which freed memory is kept.
+HELD_BYTES = 31 << 20
+
+
+def keep_memory() -> None:
+    """Makes the C library keep freed memory of this size: new pages cost more than the arithmetic on them."""
+    np.empty(HELD_BYTES, dtype=np.uint8)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Of both signs without overflow; overwrites ``x``, an array of its own."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def softmax(x: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each column of ``x``, which is overwritten, and the logs of those in rows ``wanted``.
+
+    A column is a case: sums over few rows are sums of long vectors.
+    """
+    columns = np.arange(x.shape[1])
+    x -= x.max(0)
+    logs = x[wanted, columns]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= total
+    return x, logs - np.log(total)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def summed_rows(values: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their ``numbers``, 0 to n - 1."""
+    order = np.argsort(numbers.astype(np.uint16) if n <= 1 << 16 else numbers, kind="stable")
+    named = numbers[order]
+    starts = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    out[named[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
 class Gru:
@@ -53,32 +86,48 @@ class Gru:
         }
         return Gru(classes, weights)
 
-    def step(self, words: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """State after ``words``, one per lane; ``keep`` gets what the way back needs."""
-        w, n = self.w, h.shape[1]
-        x = w["x"][words] + w["b"]
-        u = h @ w["u"]
+    def step(self, words: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """State after ``words``, one per lane."""
+        return self._step((self.w["x"] + self.w["b"])[words], h)
+
+    def _step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """State after words with inputs ``x``, overwritten; ``keep`` gets what the way back needs."""
+        n = h.shape[1]
+        u = h @ self.w["u"]
         gates = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        out = new + z * (h - new)
+        new = r * u[:, 2 * n :]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
         if keep is not None:
-            keep.append((words, h, z, r, new, u[:, 2 * n :]))
+            keep.append((h, z, r, new, u[:, 2 * n :]))
         return out
 
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order that puts rows of a class side by side; (from, to) of rows and of words of each."""
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(classes[order], np.arange(len(self.firsts)))
+        bounds = zip(cuts[:-1].tolist(), cuts[1:].tolist(), self.firsts[:-1].tolist(), self.firsts[1:].tolist(), strict=True)
+        return order, [(i, j, a, b) for i, j, a, b in bounds if j > i and b > a + 1]
+
     def log_probs(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each word after its state."""
-        w, classes = self.w, self.classes[words]
-        rows = np.arange(len(words))
-        out = log_softmax(h @ w["c"] + w["cb"])[rows, classes]
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.firsts)))
-        for k in np.unique(classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            a, b = self.firsts[k], self.firsts[k + 1]
-            if b - a > 1:
-                part = log_softmax(h[at] @ w["o"][a:b].T + w["ob"][a:b])
-                out[at] += part[np.arange(len(at)), words[at] - a]
+        w, out = self.w, np.empty(len(words), dtype=h.dtype)
+        for at in range(0, len(words), BLOCK):
+            classes = self.classes[words[at : at + BLOCK]]
+            order, parts = self._by_class(classes)
+            hs, targets = h[at : at + BLOCK][order], words[at : at + BLOCK][order]
+            logits = w["c"].T @ hs.T
+            logits += w["cb"][:, None]
+            logs = _logs(logits, classes[order])
+            for i, j, a, b in parts:
+                logits = w["o"][a:b] @ hs[i:j].T
+                logits += w["ob"][a:b, None]
+                logs[i:j] += _logs(logits, targets[i:j] - a)
+            out[at : at + BLOCK][order] = logs
         return out
 
     def gradients(self, seen: np.ndarray, h: np.ndarray) -> tuple[float, Weights, np.ndarray]:
@@ -88,56 +137,81 @@ class Gru:
         the window is taken as given, which truncates the way back there.
         """
         w, n = self.w, h.shape[1]
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        grads = {k: np.zeros_like(v) for k, v in w.items() if k in ("o", "ob")}
         keep: list = []
-        states = []
-        for words in seen[:-1]:
-            h = self.step(words, h, keep)
-            states.append(h)
-        hs, targets = np.concatenate(states), seen[1:].reshape(-1)
+        steps, lanes = len(seen) - 1, seen.shape[1]
+        hs = np.empty((steps, lanes, n), dtype=h.dtype)
+        inputs = (w["x"] + w["b"])[seen[:-1]]
+        for t in range(steps):
+            h = hs[t] = self._step(inputs[t], h, keep)
+        targets = seen[1:].reshape(-1)
         total = len(targets)
+        # Rows in the order of the classes of their targets, so that those of a class are one slice.
+        order, parts = self._by_class(self.classes[targets])
+        states, targets = hs.reshape(-1, n)[order], targets[order]
         classes = self.classes[targets]
-        rows = np.arange(total)
-        logs = log_softmax(hs @ w["c"] + w["cb"])
-        loss = -float(logs[rows, classes].sum())
-        d = np.exp(logs)
-        d[rows, classes] -= 1
-        d /= total
-        grads["c"], grads["cb"] = hs.T @ d, d.sum(0)
-        dh = d @ w["c"].T
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.firsts)))
-        for k in np.unique(classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            a, b = self.firsts[k], self.firsts[k + 1]
-            if b - a == 1:
-                continue
-            logs = log_softmax(hs[at] @ w["o"][a:b].T + w["ob"][a:b])
-            inner = np.arange(len(at))
-            loss -= float(logs[inner, targets[at] - a].sum())
-            d = np.exp(logs)
-            d[inner, targets[at] - a] -= 1
-            d /= total
-            grads["o"][a:b] += d.T @ hs[at]
-            grads["ob"][a:b] += d.sum(0)
-            dh[at] += d @ w["o"][a:b]
-        lanes = seen.shape[1]
-        back = np.zeros_like(states[0])
-        for t in range(len(keep) - 1, -1, -1):
-            words, before, z, r, new, un = keep[t]
-            back = back + dh[t * lanes : (t + 1) * lanes]
-            d_new = back * (1 - z) * (1 - new * new)
-            d_z = back * (before - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            np.add.at(grads["x"], words, d_x)
-            grads["b"] += d_x.sum(0)
-            grads["u"] += before.T @ d_u
-            back = back * z + d_u @ w["u"].T
+        logits = w["c"].T @ states.T
+        logits += w["cb"][:, None]
+        d, logs = softmax(logits, classes)
+        loss = -float(logs.sum())
+        d[classes, np.arange(total)] -= 1
+        grads["c"], grads["cb"] = states.T @ d.T, d.sum(1)
+        dh = d.T @ w["c"].T
+        for i, j, a, b in parts:
+            logits = w["o"][a:b] @ states[i:j].T
+            logits += w["ob"][a:b, None]
+            d, logs = softmax(logits, targets[i:j] - a)
+            loss -= float(logs.sum())
+            d[targets[i:j] - a, np.arange(j - i)] -= 1
+            grads["o"][a:b] = d @ states[i:j]
+            grads["ob"][a:b] = d.sum(1)
+            dh[i:j] += d.T @ w["o"][a:b]
+        for k in ("c", "cb", "o", "ob"):
+            grads[k] /= total
+        dh /= total
+        after = np.empty_like(dh)
+        after[order] = dh
+        after = after.reshape(steps, lanes, n)
+        back = np.zeros_like(hs[0])
+        d_xs, d_us = np.empty((2, steps, lanes, 3 * n), dtype=h.dtype)
+        before = np.empty_like(hs)
+        for t in range(steps - 1, -1, -1):
+            before[t], z, r, new, un = keep[t]
+            d_x, d_u = d_xs[t], d_us[t]
+            back += after[t]
+            d_z, d_r, d_new = d_x[:, :n], d_x[:, n : 2 * n], d_x[:, 2 * n :]
+            # new: back * (1 - z) * (1 - new²); z: back * (before - new) * z * (1 - z); r: d_new * un * r * (1 - r)
+            rest = 1 - z
+            np.multiply(back, rest, out=d_new)
+            np.subtract(before[t], new, out=d_z)
+            d_z *= z
+            d_z *= back
+            d_z *= rest
+            new *= new
+            np.subtract(1, new, out=new)
+            d_new *= new
+            np.subtract(1, r, out=rest)
+            rest *= un
+            np.multiply(d_new, r, out=d_u[:, 2 * n :])
+            np.multiply(d_u[:, 2 * n :], rest, out=d_r)
+            d_u[:, : 2 * n] = d_x[:, : 2 * n]
+            back *= z
+            back += d_u @ w["u"].T
+        d_xs = d_xs.reshape(-1, 3 * n)
+        grads["x"] = summed_rows(d_xs, seen[:-1].reshape(-1), len(w["x"]))
+        grads["b"] = grads["x"].sum(0)
+        grads["u"] = before.reshape(-1, n).T @ d_us.reshape(-1, 3 * n)
         return loss / total, grads, h
 
 
+def _logs(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Logs of the shares that rows ``wanted`` have of each column of ``x``, which is overwritten."""
+    x -= x.max(0)
+    logs = x[wanted, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    return logs - np.log(x.sum(0))
+
+
 class Adam:
     def __init__(self, weights: Weights, rate: float):
         self.w, self.rate, self.t = weights, rate, 0
@@ -150,14 +224,24 @@ class Adam:
         scale = min(1.0, 1.0 / max(size, 1e-9))
         for k, g in grads.items():
             g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.99**self.t)
-            self.w[k] -= (self.rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            g *= 0.01
+            v *= 0.99
+            v += g
+            np.divide(v, 1 - 0.99**self.t, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= self.rate / (1 - 0.9**self.t)
+            self.w[k] -= g
 
 
 def train(model: Gru, windows: np.ndarray, steps: int, lanes: int, rate: float) -> int:
     """One pass over ``windows`` (n, k * steps + 1): the state is carried along each; words seen."""
+    keep_memory()
     adam = Adam(model.w, rate)
     hidden = model.w["u"].shape[0]
     for at in range(0, len(windows), lanes):
@@ -178,6 +262,7 @@ def score(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512, steps
     out = np.zeros(len(texts))
     if not texts:
         return out
+    keep_memory()
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     heap = [(0, k) for k in range(min(lanes, len(texts)))]
     dealt: list[list[int]] = [[] for _ in heap]
@@ -192,6 +277,7 @@ def score(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512, steps
     hidden = model.w["u"].shape[0]
     h = np.zeros((len(words), hidden), dtype=np.float32)
     last = np.full(len(words), end, dtype=np.int64)
+    inputs = model.w["x"] + model.w["b"]
     for start in range(0, int(lengths[0]), steps):
         live = int(np.searchsorted(-lengths, -start, "left"))
         width = min(steps, int(lengths[0]) - start)
@@ -205,8 +291,10 @@ def score(model: Gru, texts: list[np.ndarray], end: int, lanes: int = 512, steps
         before = last[:live]
         for t in range(width):
             # The end of a text was read: the next one begins from the empty state.
-            h = model.step(before, h * (before != end)[:, None])
-            states[t] = h
+            ended = before == end
+            if ended.any():
+                h[ended] = 0
+            h = states[t] = model._step(inputs[before], h)
             before = block[t]
         last = before
         valid = whose.reshape(-1) >= 0

@@ -1,8 +1,10 @@
 import math
+import resource
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pulcro.llm.lm_scoring import score_documents
 from pulcro.llm.queries import op9_lm_scoring
@@ -127,3 +129,28 @@ def test_every_word_of_a_training_text_is_learnt():
         assert found[0, 0] == 0 and all(b == a + 1 for row in found for a, b in zip(row, row[1:]) if b)
         rounds = [found[(t + len(found)) % ROUNDS :: ROUNDS] for t in range(ROUNDS)]
         assert sum(map(len, rounds)) == len(found)
+
+
+def test_sums_by_word_and_probabilities_equal_the_plain_ones():
+    from pulcro.llm.lm_scoring import _gathered
+    from pulcro.llm.recurrent import softmax, summed_rows
+
+    random = np.random.default_rng(6)
+    values, numbers = random.standard_normal((500, 7)), random.integers(3, 40, 500)
+    plain = np.zeros((50, 7))
+    np.add.at(plain, numbers, values)
+    assert np.allclose(summed_rows(values, numbers, 50), plain)
+    x, wanted = random.standard_normal((9, 20)) * 300, random.integers(0, 9, 20)
+    top = x - x.max(0)
+    shares, logs = softmax(x.copy(), wanted)
+    assert np.allclose(shares, np.exp(top) / np.exp(top).sum(0))
+    assert np.allclose(logs, top[wanted, range(20)] - np.log(np.exp(top).sum(0)))
+    frames = [pd.DataFrame({"row": [i, -i], "ids": [b"ab" * n, b""]}) for i, n in enumerate((3, 0, 4, 9, 1))]
+    put = list(_gathered(iter(frames), 5))
+    assert [len(f) for f in put] == [6, 2, 2] and pd.concat(put)["row"].tolist() == pd.concat(frames)["row"].tolist()
+    # Arrays that live for a step are not mapped anew each time: a page costs more than its arithmetic.
+    model, windows = Gru.start(np.arange(1025, 0, -1).astype(float), 24, 32, 1), random.integers(0, 1025, (1024, 33))
+    train(model, windows.astype(np.uint16), 16, 512, 0.01)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    train(model, windows.astype(np.uint16), 16, 512, 0.01)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 4 * 1000
