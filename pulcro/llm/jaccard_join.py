@@ -115,6 +115,39 @@ def _first_nodes(runs: int):
     return first
 
 
+def _hubbed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets that look like the hub of their node, once a batch and hub, and (node, sid) of those that do not."""
+    for batch in batches:
+        if len(batch):
+            values, hubs = (
+                np.frombuffer(b"".join(batch[c]), dtype=np.uint32).reshape(-1, PLACES).astype(np.uint8)
+                for c in ("sketch", "hub_sketch")
+            )
+            near = (values == hubs).sum(1) >= ALIKE * PLACES
+            links = batch.loc[near, ["sid", "hub"]].drop_duplicates()
+            apart = batch.loc[~near, ["node", "sid"]]
+            yield pd.concat([links[links["sid"] != links["hub"]], apart])[["node", "sid", "hub"]].astype("Int64")
+
+
+def _crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets apart from the hub of a node and what they are connected with in a piece of it.
+
+    All others of the piece look like the hub, so whatever looks like one of them goes to the hub.
+    """
+    for whole in sorted_groups(batches, "piece"):
+        for _, part in whole.groupby("piece"):
+            values = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint32).reshape(-1, PLACES).astype(np.uint8)
+            apart, sids = part["apart"].to_numpy(), part["sid"].to_numpy()
+            same = np.zeros((int(apart.sum()), len(part)), dtype=np.uint8)
+            for k in range(PLACES):
+                same += values[apart, k, None] == values[None, :, k]
+            alike = same >= ALIKE * PLACES
+            own, label = sids[apart], _labels(alike[:, apart])
+            linked = alike[:, ~apart].any(1)
+            left, right = np.r_[part["hub"].to_numpy()[apart][linked], own[label]], np.r_[own[linked], own]
+            yield pd.DataFrame({"a": left, "b": right})[left != right]
+
+
 def _next_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
@@ -167,16 +200,51 @@ def _grouped(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
+def _without_hubs(large: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes (node, sid, size, hub) that must be split, and edges (a, b) found in the others.
+
+    Sets that look like the least set of their node, the hub, are connected by it and need not meet
+    again. If few are apart from it, they are compared with all sets of the node, in pieces, at no more
+    than the cost of a small node; so a large group of near copies costs no more than its size.
+    """
+    chosen = large.select(F.col("hub").alias("sid")).distinct().join(nodes, "sid")
+    chosen = store(chosen.select(F.col("sid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hubs")
+    hubs = F.broadcast(chosen) if is_small(chosen) else chosen
+    hubbed = store(
+        large.join(nodes, "sid").join(hubs, "hub").select("node", "sid", "sketch", "hub", "hub_sketch")
+        .mapInPandas(_hubbed, "node long, sid long, hub long"),
+        "hubbed",
+    )
+    links = hubbed.where("node is null").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    apart = hubbed.where("node is not null").select("node", "sid", F.lit(True).alias("apart"))
+    counts = store(apart.groupBy("node").agg(F.count("*").alias("many")), "apart")
+    counts = F.broadcast(counts) if is_small(counts) else counts
+    few = F.col("many") * F.col("size") <= NODE_SETS**2
+    told = large.join(counts, "node")
+    members = told.where(few).join(apart, ["node", "sid"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    pieces = F.ceil(F.col("size") / NODE_SETS).cast("int")
+    own = F.array(F.pmod(F.xxhash64("sid"), pieces).cast("int"))
+    dealt = members.withColumn("at", F.explode(F.when(F.col("apart"), F.sequence(F.lit(0), pieces - 1)).otherwise(own)))
+    dealt = dealt.select(F.xxhash64("node", "at").alias("piece"), "sid", "hub", "apart").join(nodes, "sid")
+    crossed = _grouped(dealt, "piece").mapInPandas(_crossed, "a long, b long")
+    edges = store(links.unionByName(crossed).distinct(), "alike")
+    return store(told.where(~few).drop("many"), "large"), edges
+
+
 def _alike(nodes: DataFrame, runs: int) -> DataFrame:
     """Edges (a, b) between sets that met in a node and look alike, from distinct sketches."""
     records = store(nodes.mapInPandas(_first_nodes(runs), "sid long, node long"), "nodes")
     edges = []
     for depth in range(1, LAST_DEPTH + 1):
-        sizes = records.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+        sizes = records.groupBy("node").agg(F.count("*").alias("size"), F.min("sid").alias("hub")).where(F.col("size") > 1)
         met = store(records.join(sizes, "node"), "met")
         small = F.col("size") <= NODE_SETS
         leaves = met.where(small).select("node", "sid")
         large = met.where(~small)
+        some = not large.isEmpty()
+        if some:
+            large, found = _without_hubs(large, nodes)
+            edges.append(found)
         if depth == LAST_DEPTH:
             # What draws cannot part is compared in pairs of blocks, so nothing is left out.
             blocks = F.ceil(F.col("size") / NODE_SETS * 2).cast("int")
@@ -186,7 +254,7 @@ def _alike(nodes: DataFrame, runs: int) -> DataFrame:
             leaves = leaves.unionByName(dealt.select(pair.alias("node"), "sid"))
         found = _grouped(leaves.join(nodes, "sid"), "node").mapInPandas(_stars, "a long, b long")
         edges.append(store(found.distinct(), "alike"))
-        if depth == LAST_DEPTH or large.isEmpty():
+        if depth == LAST_DEPTH or not some or large.isEmpty():
             break
         records = store(large.select("node", "sid").join(nodes, "sid").mapInPandas(_next_nodes, "sid long, node long"), "nodes")
     whole = edges[0]

@@ -114,3 +114,20 @@ def test_recall_holds_down_to_the_last_depth():
     assert met.mean() >= 0.9995
     assert jaccard_join.recall_of(runs, depth) >= jaccard_join.RECALL
     assert jaccard_join.recall_of(20, depth) < 0.993
+
+
+def test_a_large_group_of_near_copies_is_not_split_again(spark, monkeypatch):
+    """Rows of split nodes do not grow with the copies of a large group, and no link is lost."""
+    kept, plain = [], jaccard_join.store
+
+    def counting(df, name, *by):
+        out = plain(df, name, *by)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "store", counting)
+    monkeypatch.setattr(jaccard_join, "NODE_SETS", 64)
+    texts = [*variants(3, 250, words=150), *(f"x{i} " * 3 + f"y{i} z" for i in range(40)), *variants(4, 8, words=150)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    first, *split = [n for name, n in kept if name == "nodes"]
+    assert first > 250 * 40 and sum(split) < first / 10
