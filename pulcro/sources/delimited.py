@@ -18,7 +18,7 @@ from .numbering import number_across_files, number_lines
 #: Records that are numbered together.
 BLOCK = 65_536
 #: The lines of more files than that are stored once: opening many small files takes longer than reading them.
-MANY_FILES = 256
+MANY_FILES = inspection.MANY_FILES
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def read_delimited(
     together from lines, in their splits. Columns are matched by name; a column that a file does
     not have is null in its rows. Line breaks inside quotes are read as ``\\n``.
     """
-    return _read(_lines(spark.read, path), header_row, skip_rows, separator, null_tokens)[0]
+    return _read(_lines(spark, spark.read, path), header_row, skip_rows, separator, null_tokens)[0]
 
 
 def read_delimited_files(
@@ -255,7 +255,7 @@ def read_delimited_files(
     """
     seen = stored(inspection.inspect_files(spark, path), "archivos")
     apart = materialise(seen.filter(F.col("problema").isNotNull()).select("archivo"))
-    lines = _lines(spark.read.option("ignoreCorruptFiles", "true"), path)
+    lines = _lines(spark, spark.read.option("ignoreCorruptFiles", "true"), path)
     apart = None if apart.isEmpty() else apart
     read, headed, counts = _read(lines, header_row, skip_rows, separator, null_tokens, apart)
     headed = headed.withColumn("__cabeza", F.lit(True))
@@ -265,22 +265,26 @@ def read_delimited_files(
     return FilesRead(read.rows, read.bad, files)
 
 
-def _lines(reader: DataFrameReader, path: str) -> DataFrame:
+def _lines(spark: SparkSession, reader: DataFrameReader, path: str) -> DataFrame:
     """The lines with their file and the split they are read from.
 
-    Every later pass reads them anew, so the lines of many files are stored. A task writes the lines of
-    a split one after the other; what is read back of them by one task is then a split by itself.
+    Every later pass reads them anew, so the lines of many files are stored, batch by batch: opening many
+    small files takes longer than reading them. A task writes the lines of a split one after the other; what
+    is read back of them by one task is then a split by itself.
     """
-    read = reader.text(path)
-    lines = read.select(
+    many = inspection.by_batches(spark, path, lambda files: _placed(reader.text(files)), "lineas", MANY_FILES)
+    if many is None:
+        return _placed(reader.text(path))
+    place = F.struct("bloque", F.col("_metadata.file_block_start").alias("parte"))
+    return many.select("registro", "archivo", place.alias("bloque"))
+
+
+def _placed(read: DataFrame) -> DataFrame:
+    return read.select(
         F.col("value").alias("registro"),
         F.col("_metadata.file_path").alias("archivo"),
         F.col("_metadata.file_block_start").alias("bloque"),
     )
-    if len(read.inputFiles()) <= MANY_FILES:
-        return lines
-    place = F.struct("bloque", F.col("_metadata.file_block_start").alias("parte"))
-    return stored(lines, "lineas").select("registro", "archivo", place.alias("bloque"))
 
 
 def _read(

@@ -1,5 +1,6 @@
 """Readers, type promotion, row numbers, rule sets, sinks."""
 
+import gzip
 import json
 import zipfile
 from decimal import Decimal
@@ -390,3 +391,28 @@ def test_many_files_bad_ones_too_many_for_a_broadcast(spark, tmp_path, monkeypat
     files = {r["archivo"].rsplit("/", 1)[1]: (r["filas"], r["problema"]) for r in read.files.collect()}
     good, bad = (4, None), (0, inspection.NOT_UTF_8)
     assert files == {f"{c}{i}.csv": good if c == "a" else bad for c in "ab" for i in range(6)}
+
+
+def test_many_files_are_read_in_batches(spark, tmp_path, monkeypatch):
+    """No index holds more files than a batch; odd names, hidden ones and empty files are as in one reading."""
+    for i, name in enumerate(["d=1/a.csv", "d=1/b.csv", "d=2/[c].csv", "d=3/x*y{z}.csv", "e/f/g h.csv", "top.csv", "z?.csv"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"k,v\n{i},x\n{i},y\n")
+    for name in ("_SUCCESS", ".hidden.csv", "_tmp/h.csv", "d=1/.part.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("k,v\n9,hidden\n")
+    (tmp_path / "d=2/none.csv").write_text("")
+    (tmp_path / "d=3/cut.csv.gz").write_bytes(gzip.compress(b"k,v\n8,z\n")[:-6])
+    sizes = []
+    inspect = inspection._inspected
+    monkeypatch.setattr(inspection, "_inspected", lambda s, files: sizes.append(len(files)) or inspect(s, files))
+    monkeypatch.setattr(inspection, "BATCH_FILES", 2)
+    monkeypatch.setattr(inspection, "MANY_FILES", 3)
+    monkeypatch.setattr(delimited, "MANY_FILES", 3)
+    before = spark.conf.get(inspection.LISTING_SETTING)
+    read = delimited.read_delimited_files(spark, str(tmp_path))
+    assert sorted((r["k"], r["v"]) for r in read.rows.collect()) == [(str(i), v) for i in range(7) for v in "xy"]
+    assert [r["fila"] for r in read.rows.orderBy("fila").collect()] == list(range(14))
+    problems = sorted(r["problema"] for r in read.files.collect() if r["problema"])
+    assert problems == [inspection.EMPTY, inspection.TRUNCATED] and read.files.count() == 9
+    assert sorted(sizes) == [1, 2, 2, 2, 2] and spark.conf.get(inspection.LISTING_SETTING) == before
